@@ -21,15 +21,26 @@ def relabel(df: DataFrame, labels: dict[str, str]) -> DataFrame:
     return df.withColumnsRenamed({c: labels[c] for c in df.columns if c in labels})
 
 
-def between_dates(df: DataFrame, column: str, start, end) -> DataFrame:
-    """Both bounds included; rows without a date drop."""
-    return df.filter(within(column, start, end))
+def filter_by(df: DataFrame, condition, **bounds) -> DataFrame:
+    """Rows that meet a condition on bounds, passed to it as columns by name.
+
+    A bound may be a scalar subquery. Named once, it is planned once however
+    often the condition uses it; the optimizer puts it, or a literal, back into
+    the comparisons, so they still reach the scan.
+    """
+    named = {f"_{name}": D.as_date(value) for name, value in bounds.items()}
+    return df.withColumns(named).filter(condition(*[F.col(name) for name in named])).drop(*named)
 
 
 def within(column: str, start, end) -> Column:
     return (F.col(column) >= D.as_date(start)) & (F.col(column) <= D.as_date(end))
 
 
+def between_dates(df: DataFrame, column: str, start, end) -> DataFrame:
+    """Both bounds included; rows without a date drop."""
+    return filter_by(df, lambda a, b: within(column, a, b), start=start, end=end)
+
+
 def latest(df: DataFrame, column: str) -> Column:
     """Largest value of a column as a scalar subquery.
 
@@ -42,17 +53,20 @@ def latest(df: DataFrame, column: str) -> Column:
 def in_month(df: DataFrame, column: str, year_month: str | None = None) -> DataFrame:
     """Rows of one 'yyyy-MM' month, by default the month of the latest date."""
     anchor = latest(df, column) if year_month is None else date.fromisoformat(year_month + "-01")
-    start = D.month_start(anchor)
-    return df.filter((F.col(column) >= start) & (F.col(column) < F.add_months(start, 1)))
+    value = F.col(column)
+    return filter_by(
+        df, lambda a: (value >= a) & (value < F.add_months(a, 1)), start=D.month_start(anchor)
+    )
 
 
-def in_year(columns, anchor) -> Column:
-    """Any of the dates lies in the calendar year of `anchor`."""
-    start = D.year_start(anchor)
-    end = F.add_months(start, 12)
-    return reduce(
-        lambda a, b: a | b, [(F.col(c) >= start) & (F.col(c) < end) for c in columns]
-    )
+def in_year(df: DataFrame, columns, anchor) -> DataFrame:
+    """Rows with any of the dates in the calendar year of `anchor`."""
+
+    def inside(start):
+        end = F.add_months(start, 12)
+        return reduce(lambda a, b: a | b, [(F.col(c) >= start) & (F.col(c) < end) for c in columns])
+
+    return filter_by(df, inside, start=D.year_start(anchor))
 
 
 def stays_overlapping(entry: str, exit: str, start, end) -> Column:

@@ -16,13 +16,11 @@ def month_calendar(df: DataFrame, start, end) -> DataFrame:
 
     `df` only lends its session, so bounds may be scalar subqueries.
     """
-    first, last = D.month_ceil(start), D.month_start(end)
-    months = F.sequence(first, F.greatest(first, last), F.expr(ONE_MONTH))
-    return (
-        df.sparkSession.range(1)
-        .select(F.explode(months).alias("month"))
-        .filter(F.col("month") <= last)
+    bounds = df.sparkSession.range(1).select(
+        D.month_ceil(start).alias("first"), D.month_start(end).alias("last")
     )
+    months = F.sequence("first", F.greatest("first", "last"), F.expr(ONE_MONTH))
+    return bounds.select("last", F.explode(months).alias("month")).filter("month <= last").select("month")
 
 
 def overlap_count(df: DataFrame, start, end, s: CaseSchema = CASES) -> DataFrame:
@@ -32,18 +30,20 @@ def overlap_count(df: DataFrame, start, end, s: CaseSchema = CASES) -> DataFrame
     testing every stay against every month but needs no range join. Both ends
     are clamped to the asked period, so a mistyped exit year adds no rows.
     """
-    entry, exit = F.col(s.icu_in), F.col(s.icu_out)
-    first, last = D.month_ceil(start), D.month_start(end)
-    lo = F.greatest(D.month_start(entry), first)
-    hi = F.least(D.month_start(exit), last)
-    ends = [D.month_start(entry), D.month_start(exit)]
-    asked = [F.when((m >= first) & (m <= last), m) for m in ends]
+    stays = df.select(
+        F.col(s.icu_in).alias("entry"),
+        F.col(s.icu_out).alias("exit"),
+        D.month_ceil(start).alias("first"),
+        D.month_start(end).alias("last"),
+    )
+    ends = [D.month_start(F.col("entry")), D.month_start(F.col("exit"))]
+    asked = [F.when(m.between(F.col("first"), F.col("last")), m) for m in ends]
     own = F.array_distinct(F.array_compact(F.array(*asked)))
+    lo, hi = F.greatest(ends[0], "first"), F.least(ends[1], "last")
     spanned = F.when(lo <= hi, F.sequence(lo, hi, F.expr(ONE_MONTH)))
-    months = F.when(exit >= entry, spanned).otherwise(own)
     counts = (
-        df.filter(P.stays_overlapping(s.icu_in, s.icu_out, first, F.last_day(last)))
-        .select(F.explode(months).alias("month"))
+        stays.filter(P.stays_overlapping("entry", "exit", F.col("first"), F.last_day("last")))
+        .select(F.explode(F.when(F.col("exit") >= F.col("entry"), spanned).otherwise(own)).alias("month"))
         .groupBy("month")
         .agg(F.count("*").alias("n"))
     )
@@ -54,7 +54,8 @@ def overlap_count(df: DataFrame, start, end, s: CaseSchema = CASES) -> DataFrame
 
 def stays_in_period(df: DataFrame, start, end, s: CaseSchema = CASES) -> DataFrame:
     """Cases with a stay overlapping one period."""
-    return df.filter(P.stays_overlapping(s.icu_in, s.icu_out, start, end))
+    touching = lambda a, b: P.stays_overlapping(s.icu_in, s.icu_out, a, b)
+    return P.filter_by(df, touching, start=start, end=end)
 
 
 def icu_admission_rate(df: DataFrame, start=None, end=None, s: CaseSchema = CASES) -> DataFrame:
@@ -105,7 +106,7 @@ def icu_occupancy_by_state(
     """
     last = P.latest(cases, s.notified_on) if as_of is None else D.as_date(as_of)
     first = D.month_start(last)
-    stays = cases.filter(P.in_year([s.icu_in, s.icu_out], last))
+    stays = P.in_year(cases, [s.icu_in, s.icu_out], last)
     patients = pivot_bed_class(stays_in_period(stays, first, last, s), s).toDF(
         "state", "adult_patients", "pediatric_patients", "neonatal_patients"
     )

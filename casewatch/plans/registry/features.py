@@ -59,7 +59,7 @@ def in_month(spark, sf_dir):
 from cases where year(icu_in) = 2000 or year(icu_out) = 2000""")
 def in_year(spark, sf_dir):
     """Stays that begin or end in a year."""
-    cases = load_cases(spark, sf_dir).filter(P.in_year(["icu_in", "icu_out"], "2000-06-15"))
+    cases = P.in_year(load_cases(spark, sf_dir), ["icu_in", "icu_out"], "2000-06-15")
     return text_dates(cases.select("case_id", "icu_in", "icu_out"))
 
 

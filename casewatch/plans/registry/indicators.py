@@ -9,7 +9,7 @@ from casewatch.operators.features import beds_per_state_month, with_case_feature
 from casewatch.plans import report as Rep
 from casewatch.plans.fixtures import (
     AS_OF, BED_FEATURES_SQL, BEDS_SQL, CASES_SQL, FEATURES_SQL, STATE_CASES_SQL,
-    load_beds, load_cases, text_dates,
+    load, load_beds, load_cases, text_dates,
 )
 from casewatch.plans.registry import query
 
@@ -56,8 +56,8 @@ from (select state, count(*) as n from cases where state is not null
 def cases_per_state_and_population(spark, sf_dir):
     """Cases of the month per 100,000 inhabitants; customers stand for people."""
     cases = load_cases(spark, sf_dir, state=True)
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_nationkey")
-    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    customer = load(spark, sf_dir, "customer").select("c_nationkey")
+    nation = load(spark, sf_dir, "nation")
     per_key = customer.groupBy("c_nationkey").agg(F.count("*").alias("population"))
     population = per_key.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
         F.col("n_name").alias("state"), "population"

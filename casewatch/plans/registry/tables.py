@@ -11,7 +11,7 @@ from casewatch.contracts import case_contract, CASES
 from casewatch.operators import upsert as U
 from casewatch.operators.features import case_features
 from casewatch.plans.fixtures import (
-    AS_OF, BEDS_SQL, CASES_SQL, FEATURES_SQL, load, load_beds, load_cases, text_dates,
+    AS_OF, BEDS_SQL, CASES_SQL, FEATURES_SQL, TABLES, load, load_beds, load_cases, text_dates,
 )
 from casewatch.plans.registry import query
 from casewatch.session import shared_dir
@@ -235,8 +235,7 @@ def read_with_contract(spark, sf_dir):
 def incremental_ingest_table(spark, sf_dir):
     """Files streamed once into a keyed table; a second run finds nothing new."""
     name = fresh_name("ingested")
-    schema = load(spark, sf_dir, "orders").schema
     for _ in range(2):
-        stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/orders.parquet*")
+        stream = spark.readStream.schema(TABLES["orders"]).parquet(f"{sf_dir}/orders.parquet*")
         incremental_ingest(stream.select("o_orderkey", "o_orderstatus", "o_totalprice"), name, ["o_orderkey"])
     return T.read_table(spark, name)

@@ -6,8 +6,8 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from casewatch.functions.text import MARKDOWN_STEPS, html_to_markdown as to_markdown
-from casewatch.operators import dictionary as X
+from casewatch.functions import text as X
+from casewatch.operators import dictionary as W
 from casewatch.operators.hits import enrich_hits as enrich
 from casewatch.plans.fixtures import CASES_SQL, load, load_cases
 from casewatch.plans.registry import query
@@ -17,11 +17,17 @@ from casewatch.sources.reports import find_report
 
 def markdown_sql(column: str) -> str:
     """The page clean-up as nested SQL calls."""
-    sql = column
-    for pattern, replacement in MARKDOWN_STEPS:
-        literal = replacement.replace("$1", r"\1").replace("$2", r"\2")
-        sql = f"regexp_replace({sql}, '{pattern}', '{literal}', 'g')"
-    return sql
+
+    def patterns(sql, steps):
+        for pattern, replacement in steps:
+            literal = replacement.replace("$1", r"\1").replace("$2", r"\2")
+            sql = f"regexp_replace({sql}, '{pattern}', '{literal}', 'g')"
+        return sql
+
+    sql = patterns(column, X.MARKDOWN_TAGS)
+    for plain, replacement in X.MARKDOWN_TEXTS:
+        sql = f"replace({sql}, '{plain}', '{replacement}')"
+    return f"trim({patterns(sql, X.MARKDOWN_BLANKS)}, '{X.BLANKS}')"
 
 
 @query("""with t as (select *, sum(case when role <> 'assistant' then 1 else 0 end)
@@ -33,7 +39,7 @@ def stitch_rows(spark, sf_dir):
     turns = load(spark, sf_dir, "conversations").withColumn(
         "role", F.when(F.col("role") != "assistant", F.col("role"))
     )
-    return X.stitch_rows(turns, "conv_id", "turn", "role", ["text"])
+    return W.stitch_rows(turns, "conv_id", "turn", "role", ["text"])
 
 
 DICTIONARY_SQL = """select source as "column", regexp_replace(text, '\\n\\s*', ' ', 'g') as description
@@ -51,7 +57,7 @@ def written(spark, sf_dir):
 def column_dictionary(spark, sf_dir):
     """Descriptions of listed codes, plus further ones."""
     documents = load(spark, sf_dir, "documents")
-    return X.column_dictionary(
+    return W.column_dictionary(
         documents, ["src0", "src1", "src2"], "source", "text", written(spark, sf_dir)
     )
 
@@ -60,7 +66,7 @@ def column_dictionary(spark, sf_dir):
 def missing_descriptions(spark, sf_dir):
     """Names without an entry in another table."""
     names = load(spark, sf_dir, "documents").select("doc_id")
-    return X.missing_descriptions(names, load(spark, sf_dir, "labels"), "doc_id")
+    return W.missing_descriptions(names, load(spark, sf_dir, "labels"), "doc_id")
 
 
 HITS_SQL = """hits as (select url, regexp_extract(url, '/(en|de|fr|es)/', 1) as topic,
@@ -91,7 +97,7 @@ def enrich_hits(spark, sf_dir):
 @query(f"select page_id, {markdown_sql('html')} as markdown from pages")
 def html_to_markdown(spark, sf_dir):
     """Every page as Markdown."""
-    return load(spark, sf_dir, "pages").select("page_id", to_markdown("html").alias("markdown"))
+    return load(spark, sf_dir, "pages").select("page_id", X.html_to_markdown("html").alias("markdown"))
 
 
 @query(f"""with r as (select url as path, {markdown_sql('html')} as content,

@@ -86,8 +86,7 @@ def report_series(cases: DataFrame, as_of: date, s: CaseSchema = CASES) -> DataF
 
 def report_context(*parts: DataFrame) -> DataFrame:
     """One-row frames side by side; of two columns with a name the later wins."""
-    columns: dict[str, Column] = {}
-    for part in parts:
-        for name in part.columns:
-            columns[name] = part.select(name).scalar().alias(name)
-    return parts[0].sparkSession.range(1).select(*columns.values())
+    wholes = [part.select(F.struct("*")).scalar().alias(f"_{i}") for i, part in enumerate(parts)]
+    owner = {name: i for i, part in enumerate(parts) for name in part.columns}
+    rows = parts[0].sparkSession.range(1).select(*wholes)
+    return rows.select(*[F.col(f"_{i}.{name}") for name, i in owner.items()])

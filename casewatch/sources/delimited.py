@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import zipfile
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -72,6 +74,19 @@ def _typed(column, data_type, date_format):
     return F.trim(column).try_cast(data_type)
 
 
+def _first_member(content: bytes, names, sep: str, encoding: str):
+    """Named cells of each fitting line of an archive's first member, streamed."""
+    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        with archive.open(archive.namelist()[0]) as member:
+            lines = csv.reader(io.TextIOWrapper(member, encoding, newline=""), delimiter=sep)
+            header = next(lines)
+            at = [header.index(n) for n in names]
+            for cells in lines:
+                if 0 < len(cells) <= len(header):
+                    cells += [""] * (len(header) - len(cells))
+                    yield [None if cells[i] in NULL_TEXTS else cells[i] for i in at]
+
+
 def read_zipped_csv(
     spark: SparkSession, path, schema: T.StructType, sep: str = ";",
     encoding: str = "latin-1", date_format: str = CASE_DATE_FORMAT,
@@ -88,21 +103,18 @@ def read_zipped_csv(
     text_schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
 
     def unpack(batches):
-        import pandas as pd
+        import pyarrow as pa
 
+        text = pa.schema([(n, pa.string()) for n in names])
         for batch in batches:
-            for content in batch["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    with archive.open(archive.namelist()[0]) as member:
-                        chunks = pd.read_csv(
-                            member, sep=sep, encoding=encoding, on_bad_lines="skip", dtype=str,
-                            keep_default_na=False, na_values=list(NULL_TEXTS), chunksize=batch_rows,
-                        )
-                        for chunk in chunks:
-                            yield chunk[names].astype(object).where(chunk[names].notna(), None)
+            for content in batch.column("content"):
+                rows = _first_member(content.as_py(), names, sep, encoding)
+                while chunk := list(islice(rows, batch_rows)):
+                    columns = [pa.array(c, pa.string()) for c in zip(*chunk)]
+                    yield pa.RecordBatch.from_arrays(columns, schema=text)
 
     archives = spark.read.format("binaryFile").load(path).select("content")
-    rows = archives.mapInPandas(unpack, text_schema)
+    rows = archives.mapInArrow(unpack, text_schema)
     if partitions:
         rows = rows.repartition(partitions)
     return apply_contract(rows, schema, date_format)
