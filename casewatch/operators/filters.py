@@ -82,8 +82,7 @@ def stays_overlapping(entry: str, exit: str, start, end) -> Column:
 def with_codes(df: DataFrame, column: str, codes) -> DataFrame:
     """Rows whose code is in a list, or in a one-column DataFrame of codes."""
     if isinstance(codes, DataFrame):
-        renamed = codes.toDF("_code").distinct()
-        return df.join(renamed, F.col(column) == F.col("_code"), "left_semi")
+        return df.join(codes.toDF("_code"), F.col(column) == F.col("_code"), "left_semi")
     return df.filter(F.col(column).isin(list(codes)))
 
 

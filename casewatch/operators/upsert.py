@@ -42,8 +42,12 @@ def upsert(
     such rows of the source are added every time.
     """
     keys = list(keys)
-    newer = keep_latest(source, keys, order_by, on_duplicate).select(*target.columns)
-    has_null = _any_null(keys)
+    return merge(target, keep_latest(source, keys, order_by, on_duplicate), keys)
+
+
+def merge(target: DataFrame, newer: DataFrame, keys) -> DataFrame:
+    """`upsert` of a batch that has each key once."""
+    newer, has_null = newer.select(*target.columns), _any_null(keys)
     kept = target.filter(~has_null).join(newer.select(*keys), keys, "left_anti")
     return kept.select(*target.columns).unionByName(target.filter(has_null)).unionByName(newer)
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from contextlib import contextmanager
 from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from casewatch.operators.upsert import keep_latest, upsert
+from casewatch.operators.upsert import keep_latest, merge
 from casewatch.session import shared_dir
 
 
@@ -65,31 +64,58 @@ def write_table(
     moves only the new rows. A table keeps its layout when none is given.
     """
     spark = df.sparkSession
+    _finish_replacement(spark, name)
     exists = table_exists(spark, name)
     if exists and not partition_by and not bucket_by:
         partition_by, bucket_by = table_layout(spark, name)
     if merge_schema and exists:
         empty = read_table(spark, name).limit(0)
         df = empty.unionByName(df, allowMissingColumns=True)
+    if bucket_by:
+        df = df.repartition(bucket_by[0], *bucket_by[1])
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
+    if mode == "append" and exists:
+        _writer(df, partition_by, bucket_by).mode("append").saveAsTable(name)
+    else:
+        keeps_layout = exists and not partition_by and table_layout(spark, name) == ([], bucket_by)
+        in_place = keeps_layout and _same_columns(spark, name, df)
+        _replace(df, name, partition_by, bucket_by, in_place)
+
+
+def _writer(df: DataFrame, partition_by, bucket_by):
     writer = df.write.format("parquet")
     if partition_by:
-        writer = df.hint("rebalance", *partition_by).write.partitionBy(*partition_by)
+        writer = writer.partitionBy(*partition_by)
     if bucket_by:
-        count, columns = bucket_by
-        by_bucket = df.repartition(count, *columns)
-        writer = by_bucket.write.bucketBy(count, *columns).sortBy(*columns)
-    if mode == "append" and exists:
-        writer.mode("append").saveAsTable(name)
-        return
-    location = _next_location(spark, name)
-    if exists and not (partition_by or bucket_by) and _same_columns(spark, name, df):
-        df.write.mode("overwrite").parquet(location)
+        writer = writer.bucketBy(bucket_by[0], *bucket_by[1]).sortBy(*bucket_by[1])
+    return writer
+
+
+def _write_beside(df: DataFrame, name: str, partition_by, bucket_by) -> tuple[str, str]:
+    """Write a complete table next to `name`; returns its name and folder."""
+    staged, location = f"{name}_staged", _next_location(df.sparkSession, name)
+    df.sparkSession.sql(f"DROP TABLE IF EXISTS {staged}")
+    _writer(df, partition_by, bucket_by).option("path", location).saveAsTable(staged)
+    return staged, location
+
+
+def _replace(df: DataFrame, name: str, partition_by, bucket_by, in_place: bool) -> None:
+    """Let a newly written table take the name; `in_place` is one catalog change."""
+    spark = df.sparkSession
+    staged, location = _write_beside(df, name, partition_by, bucket_by)
+    if in_place:
         spark.sql(f"ALTER TABLE {name} SET LOCATION '{location}'")
-        return
-    staged = f"{name}_staged"
-    writer.mode("overwrite").option("path", location).saveAsTable(staged)
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    spark.sql(f"ALTER TABLE {staged} RENAME TO {name}")
+        spark.sql(f"DROP TABLE {staged}")
+    else:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        spark.sql(f"ALTER TABLE {staged} RENAME TO {name}")
+
+
+def _finish_replacement(spark: SparkSession, name: str) -> None:
+    """Complete a replacement that stopped between its two catalog changes."""
+    if not table_exists(spark, name) and table_exists(spark, f"{name}_staged"):
+        spark.sql(f"ALTER TABLE {name}_staged RENAME TO {name}")
 
 
 def table_layout(spark: SparkSession, name: str):
@@ -148,64 +174,72 @@ def upsert_table(
 ) -> None:
     """Merge a batch into a catalog table by key; creates the table if absent.
 
-    A partitioned table rewrites only the partitions the batch touches: those it
-    writes to and those that now hold an older version of one of its keys. A
-    rerun after a failure gives the same table.
+    The batch is reduced to one row per key and staged first: it is then read
+    several times without being computed again, and its size is known when Spark
+    chooses the joins. A partitioned table rewrites only the partitions the batch
+    touches: those it writes to and those that hold an older version of one of its
+    keys. A rerun after a failure gives the same table.
     """
-    spark = source.sparkSession
+    spark, keys = source.sparkSession, list(keys)
+    _finish_replacement(spark, name)
+    newer = _stage(keep_latest(source, keys, order_by, on_duplicate), name)
     if not table_exists(spark, name):
-        rows = keep_latest(source, keys, order_by, on_duplicate)
-        write_table(rows, name, partition_by=partition_by)
+        write_table(newer, name, partition_by=partition_by)
         return
-    parts, _ = table_layout(spark, name)
+    parts, buckets = table_layout(spark, name)
+    target = read_table(spark, name)
+    newer = newer.select(*target.columns)
     if parts:
-        _upsert_partitions(source, name, list(keys), order_by, on_duplicate, parts)
+        _upsert_partitions(newer, target, name, keys, parts)
+    elif buckets:
+        # the kept rows stay in the bucket they are read from; only new ones move
+        moved = newer.repartition(buckets[0], *buckets[1])
+        _replace(merge(target, moved, keys), name, (), buckets, in_place=True)
     else:
-        write_table(upsert(read_table(spark, name), source, keys, order_by, on_duplicate), name)
+        write_table(merge(target, newer, keys), name)
 
 
-def _upsert_partitions(source, name, keys, order_by, on_duplicate, parts):
-    spark = source.sparkSession
-    target = read_table(spark, name)
-    newer = keep_latest(source, keys, order_by, on_duplicate).select(*target.columns)
+def _stage(df: DataFrame, name: str) -> DataFrame:
+    spark = df.sparkSession
+    folder = f"{shared_dir(spark)}/staging/{name}"
+    df.write.mode("overwrite").parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def _upsert_partitions(newer, target, name, keys, parts):
+    """Write the affected partitions anew and point the table at them, one by one.
+
+    No file of the table is touched before that, and every row that moves between
+    partitions is one of the batch, so a rerun completes what a lost driver left.
+    """
+    spark = newer.sparkSession
     # Only lists of partition values come to the driver, as long as the table
     # has partitions; the catalog holds the same list there.
-    marked = newer.select(*keys, F.lit(True).alias("_newer"))
-    holding = (
-        target.select(*dict.fromkeys([*keys, *parts]))
-        .join(marked, keys, "left")
-        .groupBy(*parts)
-        .agg(F.count("_newer").alias("replaced"), F.count("*").alias("rows"))
-        .filter(F.col("replaced") > 0)
-        .collect()
-    )
-    written = {tuple(r) for r in newer.select(*parts).distinct().collect()}
-    emptied = [tuple(r)[:-2] for r in holding if r.replaced == r.rows]
-    affected = written | {tuple(r)[:-2] for r in holding}
+    holding = _partition_values(target.join(newer.select(*keys), keys, "left_semi"), parts)
+    affected = holding | _partition_values(newer, parts)
     if not affected:
         return
-    rows = target.filter(_partitions(parts, affected))
-    merged = upsert(rows, newer, keys).select(*target.columns)
-    with _overwriting_partitions(spark):
-        merged.hint("rebalance", *parts).write.insertInto(name, overwrite=True)
-    for values in set(emptied) - written:
-        spec = ", ".join(f"{p} = {_literal(v)}" for p, v in zip(parts, values))
-        spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({spec})")
-
-
-@contextmanager
-def _overwriting_partitions(spark):
-    """Overwrite replaces the partitions written to and leaves the others."""
-    setting = "spark.sql.sources.partitionOverwriteMode"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, "dynamic")
-    try:
-        yield
-    finally:
-        spark.conf.set(setting, before)
-
-
-def _partitions(parts, affected):
+    merged = merge(target.filter(_in_partitions(parts, affected)), newer, keys)
+    rebalanced = merged.select(*target.columns).hint("rebalance", *parts)
+    staged, _ = _write_beside(rebalanced, name, parts, None)
+    filled = _partition_values(read_table(spark, staged), parts)
+    for values in affected:
+        spec = "PARTITION (" + ", ".join(f"{p} = {_literal(v)}" for p, v in zip(parts, values)) + ")"
+        if values not in filled:  # all its rows moved to another one
+            spark.sql(f"ALTER TABLE {name} DROP IF EXISTS {spec}")
+            continue
+        described = spark.sql(f"DESCRIBE EXTENDED {staged} {spec}").filter("col_name = 'Location'")
+        spark.sql(f"ALTER TABLE {name} ADD IF NOT EXISTS {spec}")
+        spark.sql(f"ALTER TABLE {name} {spec} SET LOCATION '{described.first().data_type}'")
+    spark.sql(f"DROP TABLE {staged}")
+    spark.catalog.refreshTable(name)
+
+
+def _partition_values(df: DataFrame, parts) -> set[tuple]:
+    return {tuple(r) for r in df.select(*parts).distinct().collect()}
+
+
+def _in_partitions(parts, affected):
     """Predicate on partition columns alone, so that the scan prunes by it."""
     return reduce(
         lambda a, b: a | b,
