@@ -57,6 +57,6 @@ def collapse_newlines(column) -> Column:
     return F.regexp_replace(column, r"\n\s*", " ")
 
 
-def object_path(column) -> Column:
+def to_object_path(column) -> Column:
     """Public object-store URL to the path Spark reads it by."""
     return F.concat(F.lit("s3a:/"), F.substring_index(column, "amazonaws.com", -1))

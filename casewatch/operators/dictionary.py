@@ -24,10 +24,11 @@ def stitch_rows(
     """
     columns = list(columns)
     has_key = F.trim(F.coalesce(F.col(key), F.lit(""))) != ""
+    chunk_of = F.expr(f"`{pos}` div {int(chunk)}")
     in_chunk = Window.partitionBy(doc, "_chunk").orderBy(pos)
     rows = df.select(
         doc, pos, key, *columns,
-        F.floor(F.col(pos) / chunk).alias("_chunk"), has_key.alias("_head"),
+        chunk_of.alias("_chunk"), has_key.alias("_head"),
     ).withColumn("_part", F.sum(F.col("_head").cast("int")).over(in_chunk))
 
     def joined(items, name):
@@ -40,7 +41,7 @@ def stitch_rows(
     )
     before = Window.partitionBy(doc).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     heads = (
-        df.select(doc, F.floor(F.col(pos) / chunk).alias("_chunk"), F.when(has_key, F.col(pos)).alias("_p"))
+        df.select(doc, chunk_of.alias("_chunk"), F.when(has_key, F.col(pos)).alias("_p"))
         .groupBy(doc, "_chunk")
         .agg(F.max("_p").alias("_last"))
         .withColumn("_carried", F.max("_last").over(before))

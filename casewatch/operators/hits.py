@@ -7,6 +7,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, Window, functions as F
 
 from casewatch.functions import dates as D
+from casewatch.session import stage
 
 
 def enrich_hits(
@@ -16,9 +17,9 @@ def enrich_hits(
 ) -> DataFrame:
     """The best recent hits of each topic, each with its own page's text.
 
-    Hits are limited first, to `max_results` per topic within `days` of `as_of`.
-    Page texts are large, so extracts are first reduced to the pages still asked
-    for and only those are joined. A hit whose page failed drops; one without an
+    Hits are limited first, to `max_results` per topic within `days` of `as_of`,
+    and staged. Page texts are large, so extracts are reduced to the pages still
+    asked for before anything else, in place where those hits are few. A hit whose page failed drops; one without an
     extract keeps a null text. A URL extracted twice gives its larger text.
     """
     recent = hits.filter(
@@ -26,7 +27,7 @@ def enrich_hits(
         & (F.col(published) <= D.as_date(as_of))
     )
     best = Window.partitionBy(topic).orderBy(F.desc(score), "url")
-    top = (
+    top = stage(
         recent.withColumn("position", F.row_number().over(best))
         .filter(F.col("position") <= max_results)
         .join(failed.select("url"), "url", "left_anti")

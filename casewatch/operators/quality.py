@@ -8,14 +8,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from casewatch.session import stage
+
 RANGED = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 def duplicate_rows(df: DataFrame, by_hash: bool | None = None) -> DataFrame:
     """Rows that occur more than once, with their count.
 
-    With `by_hash`, the default for wide rows, only a hash of each row is
-    shuffled to find candidates; the exact grouping then sees just those.
+    With `by_hash`, the default for wide rows, one job shuffles a hash of each
+    row and stages those that repeat; the exact grouping then sees just the rows
+    with one of them, so whole rows are moved only where they may be duplicates.
     """
     columns = df.columns
     if by_hash is None:
@@ -23,7 +26,7 @@ def duplicate_rows(df: DataFrame, by_hash: bool | None = None) -> DataFrame:
     if not by_hash:
         return duplicate_keys(df, columns)
     hashed = df.withColumn("_hash", F.xxhash64(*[F.col(f"`{c}`") for c in columns]))
-    repeated = duplicate_keys(hashed, "_hash").select("_hash")
+    repeated = stage(duplicate_keys(hashed, "_hash").select("_hash"))
     return duplicate_keys(hashed.join(repeated, "_hash", "left_semi"), columns)
 
 

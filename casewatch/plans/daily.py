@@ -1,4 +1,4 @@
-"""The daily run: new snapshots into the case table, features, report."""
+"""The first full load and the daily run: snapshots, beds, features, report."""
 
 from __future__ import annotations
 
@@ -8,10 +8,11 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, types as T
 
 from casewatch.contracts import BEDS, CASES, BedSchema, CaseSchema
+from casewatch.operators import quality
 from casewatch.operators.features import beds_per_state_month, case_features
 from casewatch.plans.report import report_context, report_metrics, report_series
 from casewatch.sources import snapshots as N, tables
-from casewatch.sources.delimited import read_with_contract
+from casewatch.sources.delimited import read_with_contract, read_zipped_csv
 
 
 @dataclass(frozen=True)
@@ -25,6 +26,37 @@ class Tables:
     bed_features: str = "bed_features"
 
 
+def load_history(
+    spark: SparkSession, paths, contract: T.StructType, name: str, sep: str = ";",
+    partition_by=(), bucket_by=None,
+) -> DataFrame:
+    """Yearly files under one contract into one new table; returns its repeated rows."""
+    years = [read_with_contract(spark, path, contract, sep) for path in paths]
+    tables.write_table(
+        tables.union_years(years), name, partition_by=partition_by, bucket_by=bucket_by
+    )
+    return quality.duplicate_rows(tables.read_table(spark, name))
+
+
+def write_extract(
+    spark: SparkSession, source: str, columns, name: str, fraction: float = 0.1, seed: int = 42,
+    by_key=None,
+) -> None:
+    """Table of some columns and, beside it, a sample of its rows."""
+    tables.write_table(tables.read_table(spark, source).select(*columns), name)
+    rows = quality.sample_rows(tables.read_table(spark, name), fraction, seed, by_key)
+    tables.write_table(rows, f"{name}_sample")
+
+
+def load_fresh_beds(
+    spark: SparkSession, archives, contract: T.StructType, names: Tables = Tables(),
+    b: BedSchema = BEDS, sep: str = ";", partitions: int | None = None,
+) -> None:
+    """Merge zipped bed inventories by facility and month."""
+    beds = read_zipped_csv(spark, archives, contract, sep, partitions=partitions)
+    tables.upsert_table(beds, names.beds, [b.facility, b.comp])
+
+
 def load_fresh_cases(
     spark: SparkSession, folder: str, as_of: date, contract: T.StructType,
     names: Tables = Tables(), s: CaseSchema = CASES, sep: str = ";", partition_by=(),

@@ -199,9 +199,9 @@ def collapse_newlines(spark, sf_dir):
 
 
 @query("""select o_orderkey, 's3a://cases/' || year(o_orderdate) || '/' || o_orderkey || '.csv' as path from orders""")
-def object_path(spark, sf_dir):
+def to_object_path(spark, sf_dir):
     """Public URL to object-store path."""
     url = F.format_string(
         "https://s3.sa-east-1.amazonaws.com/cases/%d/%d.csv", F.year("o_orderdate"), F.col("o_orderkey")
     )
-    return load(spark, sf_dir, "orders").select("o_orderkey", X.object_path(url).alias("path"))
+    return load(spark, sf_dir, "orders").select("o_orderkey", X.to_object_path(url).alias("path"))

@@ -134,6 +134,18 @@ def ledger_additions(spark, sf_dir):
     return text_dates(N.ledger_additions(ledger_rows(spark, sf_dir), listing(spark, sf_dir)))
 
 
+@query(f"""with {LISTING_SQL} select cast(year as int) as year, cast(max(updated_on) as varchar) as updated_on
+from (select year, updated_on from ledger union all select year, updated_on from latest) group by 1""")
+def ledger_record(spark, sf_dir):
+    """Ledger after the newest files were loaded, the same ones twice."""
+    name = fresh_name("ledger")
+    N.ledger_record(spark, name, ledger_rows(spark, sf_dir))
+    found = N.latest_snapshot(listing(spark, sf_dir).select("path"), AS_OF)
+    for _ in range(2):
+        N.ledger_record(spark, name, found)
+    return text_dates(N.ledger_latest(N.read_ledger(spark, name)))
+
+
 @query("select o_orderkey, o_custkey, o_totalprice, year(o_orderdate) as year from orders")
 def union_years(spark, sf_dir):
     """Yearly frames with differing column order back in one table."""

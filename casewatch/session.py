@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # What the plans in this package rely on. All are runtime settings, so they can
 # also be applied to a session somebody else created.
@@ -49,3 +50,15 @@ def shared_dir(spark: SparkSession) -> str:
     root = tempfile.mkdtemp(prefix="casewatch-")
     spark.conf.set("spark.checkpoint.dir", root)
     return root
+
+
+def stage(df: DataFrame, name: str | None = None) -> DataFrame:
+    """Write a frame to the shared folder and read it back.
+
+    What follows neither computes it again nor loses it with an executor, and
+    Spark knows its size: a join broadcasts it only below the session's limit and
+    shuffles it otherwise. A name is a folder that the next batch overwrites.
+    """
+    folder = f"{shared_dir(df.sparkSession)}/staging/{name or uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

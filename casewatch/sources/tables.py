@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from casewatch.operators.upsert import keep_latest, merge
-from casewatch.session import shared_dir
+from casewatch.session import shared_dir, stage
 
 
 def read_table(spark: SparkSession, name: str) -> DataFrame:
@@ -182,7 +182,7 @@ def upsert_table(
     """
     spark, keys = source.sparkSession, list(keys)
     _finish_replacement(spark, name)
-    newer = _stage(keep_latest(source, keys, order_by, on_duplicate), name)
+    newer = stage(keep_latest(source, keys, order_by, on_duplicate), name)
     if not table_exists(spark, name):
         write_table(newer, name, partition_by=partition_by)
         return
@@ -199,13 +199,6 @@ def upsert_table(
         write_table(merge(target, newer, keys), name)
 
 
-def _stage(df: DataFrame, name: str) -> DataFrame:
-    spark = df.sparkSession
-    folder = f"{shared_dir(spark)}/staging/{name}"
-    df.write.mode("overwrite").parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
-
-
 def _upsert_partitions(newer, target, name, keys, parts):
     """Write the affected partitions anew and point the table at them, one by one.
 

@@ -147,7 +147,7 @@ def test_markdown(spark, html, markdown):
 
 def test_object_path(spark):
     url = "https://s3.sa-east-1.amazonaws.com/bucket/a/b.csv"
-    assert spark.range(1).select(X.object_path(F.lit(url))).first()[0] == "s3a://bucket/a/b.csv"
+    assert spark.range(1).select(X.to_object_path(F.lit(url))).first()[0] == "s3a://bucket/a/b.csv"
 
 
 # SQL -------------------------------------------------------------------------

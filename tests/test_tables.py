@@ -285,3 +285,29 @@ def test_failed_load_leaves_the_ledger(spark, tmp_path):
     with pytest.raises(ValueError, match="missing"):
         daily.load_fresh_cases(spark, str(tmp_path), date(2025, 6, 10), case_contract(CASES), names)
     assert N.read_ledger(spark, names.ledger).count() == 0
+
+
+def test_first_load_extract_and_beds(spark, tmp_path):
+    contract, raw = case_contract(CASES), name("raw")
+    for year in (2023, 2024):
+        text = [HEADER, line(f"{year}1", f"01/03/{year}"), line(f"{year}2", f"02/03/{year}")]
+        (tmp_path / f"{year}.csv").write_text("\n".join(text + text[-1:] * (year == 2024)))
+    paths = [str(tmp_path / f"{year}.csv") for year in (2023, 2024)]
+    repeated = daily.load_history(spark, paths, contract, raw)
+    assert [(r.case_id, r.n) for r in repeated.collect()] == [("20242", 2)]
+    extract = name("extract")
+    daily.write_extract(spark, raw, ["case_id", "state"], extract, by_key="case_id")
+    assert B.read_table(spark, extract).columns == ["case_id", "state"]
+    assert B.read_table(spark, extract).count() == 5 >= B.read_table(spark, f"{extract}_sample").count()
+
+    names = daily.Tables(beds=name("beds"))
+    header = ";".join(BED_COLUMNS)
+    bed_line = lambda comp, beds: ";".join([str(comp), "0012", "SP", "S", "M", "1"] + [str(beds)] * 14)
+    for part, months in (("a", [(202501, 1), (202502, 2)]), ("b", [(202502, 5), (202503, 6)])):
+        with zipfile.ZipFile(tmp_path / f"{part}.zip", "w") as z:
+            z.writestr("beds.csv", "\n".join([header, *[bed_line(*m) for m in months]]))
+        daily.load_fresh_beds(
+            spark, str(tmp_path / f"{part}.zip"), bed_contract(BED_INVENTORY, BED_COLUMNS), names, BED_INVENTORY
+        )
+    got = B.read_table(spark, names.beds).select("COMP", "CNES", "UTI_ADULTO_EXIST")
+    assert rows(got) == [(202501, "0012", 1), (202502, "0012", 5), (202503, "0012", 6)]
