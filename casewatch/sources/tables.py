@@ -164,8 +164,9 @@ def check_primary_key(df: DataFrame, keys) -> None:
 def write_feature_table(df: DataFrame, name: str, primary_key, partition_by=()) -> None:
     """Create the table or merge into it, by a checked primary key."""
     keys = [primary_key] if isinstance(primary_key, str) else list(primary_key)
-    check_primary_key(df, keys)
-    upsert_table(df, name, keys, partition_by=partition_by)
+    rows = stage(df, name)
+    check_primary_key(rows, keys)
+    _merge_staged(rows, name, keys, partition_by)
 
 
 def upsert_table(
@@ -180,9 +181,15 @@ def upsert_table(
     touches: those it writes to and those that hold an older version of one of its
     keys. A rerun after a failure gives the same table.
     """
-    spark, keys = source.sparkSession, list(keys)
-    _finish_replacement(spark, name)
+    keys = list(keys)
     newer = stage(keep_latest(source, keys, order_by, on_duplicate), name)
+    _merge_staged(newer, name, keys, partition_by)
+
+
+def _merge_staged(newer: DataFrame, name: str, keys, partition_by) -> None:
+    """Merge staged rows with distinct keys the way the table is laid out."""
+    spark = newer.sparkSession
+    _finish_replacement(spark, name)
     if not table_exists(spark, name):
         write_table(newer, name, partition_by=partition_by)
         return
