@@ -19,13 +19,12 @@ def icu_days(s: CaseSchema) -> Column:
 
 
 def age_years(s: CaseSchema) -> Column:
-    """Age in years from a value in days, months or years (2 decimals, half up)."""
+    """Age in years; a value in smaller units is rounded to 2 decimals, half up."""
     value, unit = F.col(s.age_value), F.col(s.age_unit)
-    return (
-        F.when(unit == C.UNIT_DAYS, F.round(value / 365, 2))
-        .when(unit == C.UNIT_MONTHS, F.round(value / 12, 2))
-        .otherwise(value)
-    )
+    years = value.cast("double")
+    for code, per_year in C.AGE_UNITS_PER_YEAR.items():
+        years = F.when(unit == code, F.round(value / per_year, 2)).otherwise(years)
+    return years
 
 
 def bed_class(s: CaseSchema) -> Column:

@@ -30,17 +30,12 @@ def case_features(df: DataFrame, s: CaseSchema = CASES, columns=None) -> DataFra
 
 def beds_per_state_month(df: DataFrame, min_comp: int, s: BedSchema = BEDS) -> DataFrame:
     """Beds of each class per state and month after `min_comp` (yyyyMM)."""
-    comp = F.col(s.comp)
-    return (
-        df.filter(comp > min_comp)
-        .groupBy(s.state, s.comp)
-        .agg(
-            F.sum(s.adult).alias(s.sum_adult),
-            F.sum(s.pediatric).alias(s.sum_pediatric),
-            F.sum(s.neonatal).alias(s.sum_neonatal),
-        )
-        .withColumns(
-            {s.key: F.concat(F.col(s.state), comp.cast("string")), s.month: D.month_of_comp(comp)}
-        )
-        .drop(s.comp)
+    per_month = df.filter(F.col(s.comp) > min_comp).groupBy(s.state, s.comp)
+    raw = (s.adult, s.pediatric, s.neonatal)
+    beds = per_month.agg(*[F.sum(beds).alias(name) for beds, name in zip(raw, s.sums)])
+    return beds.select(
+        s.state,
+        *s.sums,
+        F.concat(s.state, F.col(s.comp).cast("string")).alias(s.key),
+        D.month_of_comp(s.comp).alias(s.month),
     )

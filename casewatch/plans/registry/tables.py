@@ -203,7 +203,7 @@ def upsert_bucketed_table(spark, sf_dir):
     return T.read_table(spark, name)
 
 
-@query("""select s_suppkey as id, s_name as name, s_acctbal as balance, null as nation from supplier""")
+@query("""select s_suppkey as id, s_name as name, s_acctbal as balance, cast(null as int) as nation from supplier""")
 def write_table_evolved(spark, sf_dir):
     """Overwrite that adds a column and keeps the old ones."""
     supplier, name = load(spark, sf_dir, "supplier"), fresh_name("suppliers")

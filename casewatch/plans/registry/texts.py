@@ -104,7 +104,7 @@ def html_to_markdown(spark, sf_dir):
   date '2024-01-01' + cast(page_id as int) as report_on from pages)
 select true as "exists", path, content, 'Report of 2024-02-01 found, returned as Markdown.' as message
 from r where report_on = date '2024-02-01'""")
-def find_stored_report(spark, sf_dir):
+def report_lookup(spark, sf_dir):
     """The page of a day as a stored report."""
     reports = load(spark, sf_dir, "pages").select(
         F.col("url").alias("path"),

@@ -21,7 +21,7 @@ def stored_reports(spark: SparkSession, folder: str, name: str = REPORT_NAME) ->
     files = spark.read.text(f"{folder}/*.html", wholetext=True)
     return files.select(
         F.col("_metadata.file_path").alias("path"),
-        F.to_date(F.nullif(F.regexp_extract("_metadata.file_name", name, 1), F.lit(""))).alias("report_on"),
+        F.try_to_date(F.regexp_extract("_metadata.file_name", name, 1), "yyyy-MM-dd").alias("report_on"),
         F.col("value").alias("html"),
     )
 
