@@ -6,6 +6,8 @@ columns there are.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from casewatch.session import stage
@@ -53,23 +55,38 @@ def row_count(df: DataFrame) -> DataFrame:
 def value_counts(df: DataFrame, columns=None) -> DataFrame:
     """(column, value as text, n) for every distinct value of every column.
 
-    One shuffle for all columns. Frequent values, null among them, are counted
-    map-side first, so a value that fills a column costs one row per task.
+    Columns of one type are counted together, by their own values, and become
+    text after that: each column is read once, and what is shuffled is as narrow
+    as its type. Frequent values, null among them, are counted map-side first, so
+    a value that fills a column costs one row per task.
     """
-    columns = columns or df.columns
-    types = {f.name: f.dataType for f in df.schema.fields}
-
-    def text(c):
-        col = F.col(f"`{c}`")
-        if isinstance(types[c], (T.DoubleType, T.FloatType)):
-            col = col + F.lit(0.0).cast(types[c])  # -0.0 and 0.0 are one value
-        return col.cast("string").alias(c)
-
-    values = df.select(*[text(c) for c in columns])
+    by_type: dict[str, list] = {}
+    for name, kind in df.dtypes:
+        if columns is None or name in columns:
+            value, kind = _countable(F.col(f"`{name}`"), kind)
+            by_type.setdefault(kind, []).append(value.alias(name))
+    counts = [_counts(df.select(*values)) for values in by_type.values()]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def _countable(value, kind: str):
+    """A value that groups as it compares, and the type it is counted under."""
+    if kind in ("double", "float"):
+        return value + F.lit(0.0).cast(kind), kind  # -0.0 and 0.0 are one value
+    if kind in ("tinyint", "smallint", "int"):
+        return value.cast("bigint"), "bigint"
+    if kind.startswith(("array", "map", "struct", "binary", "variant")):
+        return value.cast("string"), "string"
+    return value, kind
+
+
+def _counts(values: DataFrame) -> DataFrame:
+    columns = [F.col(f"`{c}`") for c in values.columns]
     return (
-        values.unpivot([], [F.col(f"`{c}`") for c in columns], "column", "value")
+        values.unpivot([], columns, "column", "value")
         .groupBy("column", "value")
         .agg(F.count("*").alias("n"))
+        .withColumn("value", F.col("value").cast("string"))
     )
 
 
@@ -121,8 +138,8 @@ def value_ranges(df: DataFrame, columns=None) -> DataFrame:
 def profile(df: DataFrame, max_categories: int = 50, columns=None) -> DataFrame:
     """One row per column: nulls, distinct values, most frequent values, range.
 
-    Two passes over the table: one counts every value of every column, one takes
-    all ranges. Everything after that is at most `max_categories` rows a column.
+    Each column is read twice: once to count its values, once for all ranges.
+    Everything after that is at most `max_categories` rows a column.
     """
     counts = value_counts(df, columns)
     entry = F.struct("value", "n")

@@ -213,6 +213,9 @@ def _upsert_partitions(newer, target, name, keys, parts):
     partitions is one of the batch, so a rerun completes what a lost driver left.
     """
     spark = newer.sparkSession
+    # an empty text names no partition; such rows are kept in that of null
+    texts = [p for p in parts if dict(newer.dtypes)[p] == "string"]
+    newer = newer.withColumns({p: F.nullif(F.col(p), F.lit("")) for p in texts})
     # Only lists of partition values come to the driver, as long as the table
     # has partitions; the catalog holds the same list there.
     holding = _partition_values(target.join(newer.select(*keys), keys, "left_semi"), parts)
@@ -251,4 +254,6 @@ def _in_partitions(parts, affected):
 
 
 def _literal(value) -> str:
-    return "null" if value is None else "'" + str(value).replace("'", "''") + "'"
+    if value is None:
+        return "null"
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"

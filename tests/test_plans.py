@@ -83,9 +83,11 @@ def test_top_values_ranks_before_the_shuffle(spark, stored):
 
 
 def test_profile_counts_values_once(spark, stored):
+    """One count per column type, shared by the summary and the frequent values."""
     text = plan(Q.profile(stored)).split("Initial Plan")[0]
-    assert "ReusedExchange" in text
-    assert text.count("Expand") == 1
+    kinds = {"int": "bigint"}
+    types = {kinds.get(kind, kind) for _, kind in stored.dtypes}
+    assert text.count("ReusedExchange") >= len(types)
 
 
 def test_counts_aggregate_before_the_shuffle(spark, stored):

@@ -311,3 +311,15 @@ def test_first_load_extract_and_beds(spark, tmp_path):
         )
     got = B.read_table(spark, names.beds).select("COMP", "CNES", "UTI_ADULTO_EXIST")
     assert rows(got) == [(202501, "0012", 1), (202502, "0012", 5), (202503, "0012", 6)]
+
+
+@pytest.mark.parametrize("value", ["O'Hara", "a/b c=d%", "back\\slash", 'quo"te', "São João", ""])
+def test_partition_values_with_odd_characters(spark, value):
+    table = name()
+    odd = spark.createDataFrame([(1, "x", value), (2, "y", "plain")], "k int, v string, p string")
+    B.write_table(odd, table, partition_by=["p"])
+    B.upsert_table(spark.createDataFrame([(1, "X", value)], odd.schema), table, ["k"])
+    stored = value or None  # an empty partition value is stored as null
+    assert rows(B.read_table(spark, table)) == [(1, "X", stored), (2, "y", "plain")]
+    B.upsert_table(spark.createDataFrame([(1, "Z", "plain")], odd.schema), table, ["k"])
+    assert rows(B.read_table(spark, table)) == [(1, "Z", "plain"), (2, "y", "plain")]
