@@ -25,7 +25,7 @@ def cases_per_month(
     end = D.as_date(as_of if end is None else end)
     start = D.months_before(end, 12) if start is None else start
     return (
-        P.between_dates(df, s.notified_on, start, end)
+        P.notified_between(df, s, start, end)
         .groupBy(D.month_start(F.col(s.notified_on)).alias("month"))
         .agg(F.count("*").alias("n"))
         .orderBy("month")
@@ -34,10 +34,10 @@ def cases_per_month(
 
 def cases_per_day(df: DataFrame, start=None, end=None, s: CaseSchema = CASES) -> DataFrame:
     """Cases per day in [start, end], by default the 30 days up to the latest."""
-    end = P.latest(df, s.notified_on) if end is None else D.as_date(end)
+    end = P.latest_notified(df, s) if end is None else D.as_date(end)
     start = D.days_before(end, 30) if start is None else start
     return (
-        P.between_dates(df, s.notified_on, start, end)
+        P.notified_between(df, s, start, end)
         .groupBy(F.col(s.notified_on).alias("day"))
         .agg(F.count("*").alias("n"))
         .orderBy("day")
@@ -73,7 +73,7 @@ def variation_rate(df: DataFrame, as_of: date, s: CaseSchema = CASES) -> DataFra
     month = as_of.replace(day=1)
     current = (D.months_before(month, 1), D.days_before(month, 1))
     earlier = (D.months_before(month, 13), F.last_day(D.months_before(month, 13)))
-    in_current, in_earlier = P.within(s.notified_on, *current), P.within(s.notified_on, *earlier)
+    in_current, in_earlier = P.notified_in(s, *current), P.notified_in(s, *earlier)
     counts = df.filter(in_current | in_earlier).agg(
         F.count_if(in_current).alias("cases_current"),
         F.count_if(in_earlier).alias("cases_comparison"),

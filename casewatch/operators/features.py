@@ -23,9 +23,14 @@ def with_case_features(df: DataFrame, s: CaseSchema = CASES) -> DataFrame:
     ).withColumns({s.bed_class: X.bed_class(s)})
 
 
+def with_month(df: DataFrame, s: CaseSchema) -> DataFrame:
+    """Add the notification month the schema names as partition column, if any."""
+    return df if s.month is None else df.withColumn(s.month, D.month_start(F.col(s.notified_on)))
+
+
 def case_features(df: DataFrame, s: CaseSchema = CASES, columns=None) -> DataFrame:
-    """Kept case columns plus the derived ones."""
-    return with_case_features(df.select(*columns) if columns else df, s)
+    """Kept case columns plus the derived ones, and the month to partition by."""
+    return with_month(with_case_features(df.select(*columns) if columns else df, s), s)
 
 
 def beds_per_state_month(df: DataFrame, min_comp: int, s: BedSchema = BEDS) -> DataFrame:

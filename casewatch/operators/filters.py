@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from casewatch.contracts import CaseSchema
 from casewatch.functions import dates as D
 
 
@@ -50,6 +51,36 @@ def latest(df: DataFrame, column: str) -> Column:
     return df.agg(F.max(column)).scalar()
 
 
+def notified_between(df: DataFrame, s: CaseSchema, start, end) -> DataFrame:
+    """Cases notified in a period; reads only its months of a partitioned table."""
+    rows = between_dates(df, s.notified_on, start, end)
+    if s.month is None:
+        return rows
+    return filter_by(rows, lambda a, b: within(s.month, F.trunc(a, "MM"), b), start=start, end=end)
+
+
+def notified_in(s: CaseSchema, start, end) -> Column:
+    """The same as a condition."""
+    inside = within(s.notified_on, start, end)
+    return inside if s.month is None else inside & within(s.month, D.month_start(start), end)
+
+
+def notified_in_month(df: DataFrame, s: CaseSchema, year_month: str | None = None) -> DataFrame:
+    """Cases of one 'yyyy-MM' month, by default that of the latest notification."""
+    if year_month is None:
+        start = D.month_start(latest_notified(df, s))
+    else:
+        start = D.as_date(year_month + "-01")
+    return notified_between(df, s, start, F.last_day(start))
+
+
+def latest_notified(df: DataFrame, s: CaseSchema) -> Column:
+    """Latest notification date; of a partitioned table the last month tells it."""
+    if s.month is not None:
+        df = df.filter(F.col(s.month) == latest(df, s.month))
+    return latest(df, s.notified_on)
+
+
 def in_month(df: DataFrame, column: str, year_month: str | None = None) -> DataFrame:
     """Rows of one 'yyyy-MM' month, by default the month of the latest date."""
     anchor = latest(df, column) if year_month is None else date.fromisoformat(year_month + "-01")

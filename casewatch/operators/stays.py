@@ -65,10 +65,10 @@ def icu_admission_rate(df: DataFrame, start=None, end=None, s: CaseSchema = CASE
     in the period, so the rate may exceed 100. Without a period it covers the
     month of the latest notification. A month without cases has no rate.
     """
-    end = P.latest(df, s.notified_on) if end is None else D.as_date(end)
+    end = P.latest_notified(df, s) if end is None else D.as_date(end)
     start = D.month_start(end) if start is None else D.as_date(start)
     cases = (
-        P.between_dates(df, s.notified_on, start, end)
+        P.notified_between(df, s, start, end)
         .groupBy(D.month_start(F.col(s.notified_on)).alias("month"))
         .agg(F.count("*").alias("cases"))
     )
@@ -104,7 +104,7 @@ def icu_occupancy_by_state(
     `cases` has the case features, `beds` the beds per state and month, of which
     the newest month counts. Rates stop at 100; a state without either side drops.
     """
-    last = P.latest(cases, s.notified_on) if as_of is None else D.as_date(as_of)
+    last = P.latest_notified(cases, s) if as_of is None else D.as_date(as_of)
     first = D.month_start(last)
     stays = P.in_year(cases, [s.icu_in, s.icu_out], last)
     patients = pivot_bed_class(stays_in_period(stays, first, last, s), s).toDF(

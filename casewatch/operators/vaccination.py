@@ -21,7 +21,7 @@ def vaccination_rate(
         group.append(F.col(s.state).alias("state"))
     total = F.col("total_notifications")
     return (
-        P.in_month(df, s.notified_on, year_month)
+        P.notified_in_month(df, s, year_month)
         .groupBy(*group)
         .agg(
             F.count(s.key).alias("total_notifications"),

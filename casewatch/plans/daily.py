@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 
 from casewatch.contracts import BEDS, CASES, BedSchema, CaseSchema
 from casewatch.operators import quality
-from casewatch.operators.features import beds_per_state_month, case_features
+from casewatch.operators.features import beds_per_state_month, case_features, with_month
 from casewatch.plans.report import report_context, report_metrics, report_series
 from casewatch.sources import snapshots as N, tables
 from casewatch.sources.delimited import read_with_contract, read_zipped_csv
@@ -26,15 +26,18 @@ class Tables:
     bed_features: str = "bed_features"
 
 
+def _partitions(s: CaseSchema) -> list[str]:
+    return [s.month] if s.month else []
+
+
 def load_history(
     spark: SparkSession, paths, contract: T.StructType, name: str, sep: str = ";",
-    partition_by=(), bucket_by=None,
+    s: CaseSchema | None = None, bucket_by=None,
 ) -> DataFrame:
     """Yearly files under one contract into one new table; returns its repeated rows."""
-    years = [read_with_contract(spark, path, contract, sep) for path in paths]
-    tables.write_table(
-        tables.union_years(years), name, partition_by=partition_by, bucket_by=bucket_by
-    )
+    rows = tables.union_years([read_with_contract(spark, path, contract, sep) for path in paths])
+    parts = _partitions(s) if s else []
+    tables.write_table(with_month(rows, s) if s else rows, name, partition_by=parts, bucket_by=bucket_by)
     return quality.duplicate_rows(tables.read_table(spark, name))
 
 
@@ -59,19 +62,20 @@ def load_fresh_beds(
 
 def load_fresh_cases(
     spark: SparkSession, folder: str, as_of: date, contract: T.StructType,
-    names: Tables = Tables(), s: CaseSchema = CASES, sep: str = ";", partition_by=(),
+    names: Tables = Tables(), s: CaseSchema = CASES, sep: str = ";",
 ) -> DataFrame:
     """Merge the snapshots the ledger has not seen; returns the snapshots loaded.
 
-    The ledger advances only after the merge, so a failed load is tried again.
+    The ledger advances only after the merge, so a failed load is tried again. The
+    tables are partitioned by the schema's month, if it names one.
     """
     found = N.latest_snapshot(N.list_snapshots(spark, folder), as_of)
     # one row per published year
     fresh = N.fresh_only(found, N.read_ledger(spark, names.ledger)).orderBy("year").collect()
     for snapshot in fresh:
-        rows = read_with_contract(spark, snapshot.path, contract, sep)
+        rows = with_month(read_with_contract(spark, snapshot.path, contract, sep), s)
         tables.upsert_table(
-            rows, names.cases, [s.key], order_by=[s.notified_on], partition_by=partition_by
+            rows, names.cases, [s.key], order_by=[s.notified_on], partition_by=_partitions(s)
         )
         N.ledger_record(spark, names.ledger, spark.createDataFrame([snapshot]))
     schema = T.StructType([T.StructField("path", T.StringType()), *N.LEDGER.fields])
@@ -80,11 +84,11 @@ def load_fresh_cases(
 
 def build_features(
     spark: SparkSession, min_comp: int, names: Tables = Tables(), s: CaseSchema = CASES,
-    b: BedSchema = BEDS, columns=None, partition_by=(),
+    b: BedSchema = BEDS, columns=None,
 ) -> None:
     """Refresh both feature tables from the raw tables."""
     cases = case_features(tables.read_table(spark, names.cases), s, columns)
-    tables.write_feature_table(cases, names.case_features, s.key, partition_by)
+    tables.write_feature_table(cases, names.case_features, s.key, _partitions(s))
     beds = beds_per_state_month(tables.read_table(spark, names.beds), min_comp, b)
     tables.write_feature_table(beds, names.bed_features, b.key)
 

@@ -26,8 +26,10 @@ def as_records(df: DataFrame, *order: Column) -> Column:
 
 def known_by(cases: DataFrame, as_of: date, s: CaseSchema = CASES) -> DataFrame:
     """Cases not notified after a day; a case without a date stays."""
-    notified = F.col(s.notified_on)
-    return cases.filter(notified.isNull() | (notified <= D.as_date(as_of)))
+    for column in filter(None, (s.notified_on, s.month)):
+        day = F.col(column)
+        cases = cases.filter(day.isNull() | (day <= D.as_date(as_of)))
+    return cases
 
 
 def report_metrics(
@@ -38,7 +40,7 @@ def report_metrics(
     `cases` has the case features, `beds` the beds per state and month.
     """
     cases = known_by(cases, as_of, s)
-    latest = P.latest(cases, s.notified_on)
+    latest = P.latest_notified(cases, s)
     daily = N.cases_per_day(cases, s=s)
     monthly = N.last_value(N.cases_per_month(cases, as_of, s=s))
     icu = S.icu_admission_rate(cases, s=s).agg(F.min_by(F.struct("*"), "year_month").alias("icu")).scalar()

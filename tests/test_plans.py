@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from casewatch.operators import counts as N, filters as P, quality as Q, stays as S, upsert as U
 from casewatch.sources import tables as B
-from tests.helpers import cases, first_plan, plan
+from casewatch.plans import report as Rep
+from tests.helpers import cases, first_plan, plan, rows
 
 SF_DIR = "/root/testdata/sf0.001"
 AS_OF = "2025-06-30"
@@ -138,3 +139,30 @@ def test_repeated_hashes_are_staged_and_rows_stay_in_place(spark, tmp_path):
     spark.range(5000).selectExpr("id % 4990 as a", "repeat('x', 50) as b").write.parquet(str(tmp_path / "t"))
     text = first_plan(Q.duplicate_rows(spark.read.parquet(str(tmp_path / "t")), by_hash=True))
     assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+
+
+def test_month_partitions_are_pruned_by_every_period(spark, tmp_path):
+    from casewatch.contracts import CASES
+    from casewatch.operators import vaccination as V
+    from casewatch.operators.features import case_features
+
+    s = CASES.with_names(month="month")
+    data = [{"notified_on": f"2025-{m:02d}-{d:02d}", "state": "SP"} for m in range(1, 9) for d in (1, 15)] + [{}]
+    case_features(cases(spark, data), s).write.partitionBy("month").parquet(str(tmp_path / "c"))
+    df = spark.read.parquet(str(tmp_path / "c"))
+    month = __import__("datetime").date(2025, 3, 31)
+    for build in (
+        lambda z: N.cases_per_month(df, month, start="2025-02-10", s=z),
+        lambda z: N.cases_per_day(df, s=z),
+        lambda z: N.variation_rate(df, month, z),
+        lambda z: V.vaccination_rate(df, s=z),
+        lambda z: V.vaccination_rate(df, "2025-02", s=z),
+        lambda z: S.icu_admission_rate(df, s=z),
+        lambda z: N.cases_per_month(Rep.known_by(df, month, z), month, s=z),
+    ):
+        pruned = build(s)
+        assert rows(pruned) == rows(build(CASES)) and rows(pruned)
+        filters = re.findall(r"PartitionFilters: \[(.*?)\]", plan(pruned))
+        assert any("month" in f for f in filters)
+    text = plan(N.cases_per_month(df, month, start="2025-02-10", s=s))
+    assert "PartitionFilters: [isnotnull(month" in text

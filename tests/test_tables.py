@@ -255,7 +255,8 @@ def test_stream_takes_each_file_once(spark, tmp_path):
     assert run() == [("1", None), ("2", 2), ("3", None)] and batches == [0, 1]
 
 
-def test_daily_run(spark, tmp_path):
+@pytest.mark.parametrize("s", [CASES, CASES.with_names(month="notified_month")], ids=["whole", "by month"])
+def test_daily_run(spark, tmp_path, s):
     names = daily.Tables(*[name(n) for n in ("cases", "beds", "ledger", "cfeat", "bfeat")])
     contract = case_contract(CASES)
     first = [HEADER, line(1, "01/05/2025"), line(2, "02/06/2025"), line(3, "03/06/2025")]
@@ -265,9 +266,9 @@ def test_daily_run(spark, tmp_path):
     B.write_table(beds, names.beds)
 
     def run(as_of):
-        loaded = daily.load_fresh_cases(spark, str(tmp_path), as_of, contract, names)
-        daily.build_features(spark, as_of.year * 100, names)
-        return loaded.count(), daily.daily_report(spark, as_of, names).first()
+        loaded = daily.load_fresh_cases(spark, str(tmp_path), as_of, contract, names, s)
+        daily.build_features(spark, as_of.year * 100, names, s)
+        return loaded.count(), daily.daily_report(spark, as_of, names, s).first()
 
     count, report = run(date(2025, 6, 10))
     assert count == 1 and report.total_cases_month == 2 and report.icu_admission_count == 2
