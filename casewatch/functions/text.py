@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
-# Page HTML to Markdown, in order: (pattern, replacement), or (text, replacement)
-# in `MARKDOWN_TEXTS`, which need no pattern and are much cheaper. Tags are
+# Page HTML to Markdown: (pattern, replacement) lists and, in `MARKDOWN_TEXTS` and
+# `MARKDOWN_LINE_ENDS`, plain (text, replacement), which is much cheaper. Tags are
 # rewritten one by one rather than in pairs, and runs of blanks shrink before
 # anything looks at line ends, so the cost stays linear in the text. No
 # look-around, so other engines agree.
@@ -32,24 +34,26 @@ MARKDOWN_TEXTS = [(f"\x01{level}", "#" * level) for level in range(1, 7)] + [
     ("&quot;", "\""),
     ("&amp;", "&"),
 ]
-MARKDOWN_BLANKS = [
-    (r"[ \t\r]+", " "),
-    (r" ?\n ?", "\n"),
-    (r"\n\n\n+", "\n\n"),
-]
+MARKDOWN_RUNS = [(r"[ \t\r]+", " ")]
+MARKDOWN_LINE_ENDS = [(" \n", "\n"), ("\n ", "\n")]
+MARKDOWN_PARAGRAPHS = [(r"\n\n\n+", "\n\n")]
 BLANKS = " \n"
 
 
+def replace_patterns(text: Column, steps) -> Column:
+    return reduce(lambda c, step: F.regexp_replace(c, step[0], step[1]), steps, text)
+
+
+def replace_texts(text: Column, steps) -> Column:
+    return reduce(lambda c, step: F.replace(c, F.lit(step[0]), F.lit(step[1])), steps, text)
+
+
 def html_to_markdown(column) -> Column:
     """Whole-page HTML as Markdown."""
     text = F.col(column) if isinstance(column, str) else column
-    for pattern, replacement in MARKDOWN_TAGS:
-        text = F.regexp_replace(text, pattern, replacement)
-    for plain, replacement in MARKDOWN_TEXTS:
-        text = F.replace(text, F.lit(plain), F.lit(replacement))
-    for pattern, replacement in MARKDOWN_BLANKS:
-        text = F.regexp_replace(text, pattern, replacement)
-    return F.btrim(text, F.lit(BLANKS))
+    text = replace_texts(replace_patterns(text, MARKDOWN_TAGS), MARKDOWN_TEXTS)
+    text = replace_texts(replace_patterns(text, MARKDOWN_RUNS), MARKDOWN_LINE_ENDS)
+    return F.btrim(replace_patterns(text, MARKDOWN_PARAGRAPHS), F.lit(BLANKS))
 
 
 def collapse_newlines(column) -> Column:

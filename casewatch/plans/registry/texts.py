@@ -24,10 +24,14 @@ def markdown_sql(column: str) -> str:
             sql = f"regexp_replace({sql}, '{pattern}', '{literal}', 'g')"
         return sql
 
-    sql = patterns(column, X.MARKDOWN_TAGS)
-    for plain, replacement in X.MARKDOWN_TEXTS:
-        sql = f"replace({sql}, '{plain}', '{replacement}')"
-    return f"trim({patterns(sql, X.MARKDOWN_BLANKS)}, '{X.BLANKS}')"
+    def texts(sql, steps):
+        for plain, replacement in steps:
+            sql = f"replace({sql}, '{plain}', '{replacement}')"
+        return sql
+
+    sql = texts(patterns(column, X.MARKDOWN_TAGS), X.MARKDOWN_TEXTS)
+    sql = texts(patterns(sql, X.MARKDOWN_RUNS), X.MARKDOWN_LINE_ENDS)
+    return f"trim({patterns(sql, X.MARKDOWN_PARAGRAPHS)}, '{X.BLANKS}')"
 
 
 @query("""with t as (select *, sum(case when role <> 'assistant' then 1 else 0 end)
