@@ -60,5 +60,5 @@ def stage(df: DataFrame, name: str | None = None) -> DataFrame:
     shuffles it otherwise. A name is a folder that the next batch overwrites.
     """
     folder = f"{shared_dir(df.sparkSession)}/staging/{name or uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(folder)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
