@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewatch.llm.buffers import code_points, slices
-from casewatch.llm.vectors import PARTS, chunks, summed
+from casewatch.llm.vectors import PARTS, chunks, part_batch, summed
 
 DIMENSIONS, ORDER = 1024, 3
 UNDETERMINED = "und"
@@ -112,16 +112,7 @@ def _bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 total += units[languages[a:b] == language].sum(axis=0)
     salt = TaskContext.get().partitionId()
     rows = [row for language, total in sums.items() for row in chunks(language, total, salt)]
-    yield from _parts(rows)
-
-
-def _parts(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-    if rows:
-        key, chunk, salt, value = zip(*rows)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(key, pa.string()), pa.array(chunk, pa.int32()), pa.array(salt, pa.int32()), pa.array(value)],
-            ["key", "chunk", "salt", "value"],
-        )
+    yield from part_batch(rows)
 
 
 def learn_profiles(docs: DataFrame, lang_col="lang", text_col="text") -> dict[str, np.ndarray]:

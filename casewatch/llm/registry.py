@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewatch.llm import languages, packing, records, toxicity
+from casewatch.llm import languages, mixing, neardup, packing, quality, records, toxicity
 from casewatch.llm.tokens import default_path
 from casewatch.llm.vectors import held_out
+from casewatch.session import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -51,6 +52,28 @@ def op2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query()
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
+    taken = mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, cap=2)
+    return taken.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", "taken")
+
+
+@query()
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles and component of near-duplicates of every document."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=80)
+
+
+@query()
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    rows = stage(quality.measured(docs).drop("text"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return quality.judged(rows, quality.thresholds(rows)).select("doc_id", *counts, "base_failed", "kept")
+
+
 @query()
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document in sequences of 4096 tokens along the curve."""

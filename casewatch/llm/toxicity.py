@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewatch.llm.buffers import code_points, mix, powers, slices
-from casewatch.llm.vectors import PARTS, chunks, summed
+from casewatch.llm.vectors import PARTS, chunks, part_batch, summed
 from casewatch.session import stage
 
 ORDERS = (3, 4, 5)
@@ -67,13 +67,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 totals[label, -1] += np.count_nonzero(labels[a:b] == label)
     salt = TaskContext.get().partitionId()
     for label in (0, 1):
-        rows = chunks(str(label), totals[label], salt)
-        if rows:
-            key, chunk, salts, value = zip(*rows)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key), pa.array(chunk, pa.int32()), pa.array(salts, pa.int32()), pa.array(value)],
-                ["key", "chunk", "salt", "value"],
-            )
+        yield from part_batch(chunks(str(label), totals[label], salt))
 
 
 def log_count_ratios(counts: np.ndarray, n: tuple[float, float], smoothing: float, least: float) -> np.ndarray:

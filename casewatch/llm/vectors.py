@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,9 +15,9 @@ CHUNK = 1 << 13
 PARTS = "key string, chunk int, salt int, value binary"
 
 
-def chunks(key: str | None, vector: np.ndarray, salt: int) -> list[tuple]:
-    """Rows of `PARTS` with the non-zero chunks of a vector of doubles."""
-    vector = vector.astype("<f8")
+def chunks(key: str | None, vector: np.ndarray, salt: int, kind: str = "<f8") -> list[tuple]:
+    """Rows of `PARTS` with the non-zero chunks of a vector."""
+    vector = vector.astype(kind)
     return [
         (key, i, salt % 256, vector[at : at + CHUNK].tobytes())
         for i, at in enumerate(range(0, len(vector), CHUNK))
@@ -21,21 +25,29 @@ def chunks(key: str | None, vector: np.ndarray, salt: int) -> list[tuple]:
     ]
 
 
-def _sum(group: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(len(group["value"].iloc[0]) // 8)
-    for value in group["value"]:
-        total += np.frombuffer(value, "<f8")
+def part_batch(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """The rows as one batch, if there are any."""
+    if rows:
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary())
+        columns = [pa.array(values, kind) for values, kind in zip(zip(*rows), kinds)]
+        yield pa.RecordBatch.from_arrays(columns, ["key", "chunk", "salt", "value"])
+
+
+def _sum(group: pd.DataFrame, kind: str) -> pd.DataFrame:
+    total = np.frombuffer(group["value"].iloc[0], kind).copy()
+    for value in group["value"].iloc[1:]:
+        total += np.frombuffer(value, kind)
     return group.iloc[:1].assign(value=[total.tobytes()])
 
 
-def summed(parts: DataFrame, size: int) -> dict[str | None, np.ndarray]:
+def summed(parts: DataFrame, size: int, kind: str = "<f8") -> dict[str | None, np.ndarray]:
     """Vectors per key, added up in two steps; the driver receives one vector per key."""
     for groups in (["key", "chunk", "salt"], ["key", "chunk"]):
-        parts = parts.groupBy(*groups).applyInPandas(_sum, PARTS)
+        parts = parts.groupBy(*groups).applyInPandas(partial(_sum, kind=kind), PARTS)
     out: dict[str | None, np.ndarray] = {}
     for row in parts.select("key", "chunk", "value").toLocalIterator():
-        vector = out.setdefault(row["key"], np.zeros(size))
-        value = np.frombuffer(row["value"], "<f8")
+        vector = out.setdefault(row["key"], np.zeros(size, kind))
+        value = np.frombuffer(row["value"], kind)
         vector[row["chunk"] * CHUNK : row["chunk"] * CHUNK + len(value)] = value
     return out
 
