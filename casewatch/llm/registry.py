@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewatch.llm import languages, mixing, neardup, packing, quality, records, toxicity
+from casewatch.llm import languages, mixing, neardup, packing, privacy, quality, records, toxicity
 from casewatch.llm.tokens import default_path
 from casewatch.llm.vectors import held_out
 from casewatch.session import stage
@@ -65,6 +65,19 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=80)
 
 
+@query()
+def op5_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data of every document."""
+    rows = stage(privacy.spotted(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    out = privacy.with_spans(rows, privacy.learn(rows))
+    return out.select(
+        "doc_id",
+        *(privacy.count_of("base", k).alias(f"n_{kind}") for k, kind in enumerate(privacy.KINDS)),
+        F.sha2(privacy.listed("base"), 256).alias("base_sha256"),
+        privacy.listed("spans").alias("spans"),
+    )
+
+
 @query()
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
