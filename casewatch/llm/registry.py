@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewatch.llm import languages, mixing, neardup, packing, privacy, quality, records, toxicity
+from casewatch.llm import languages, mixing, neardup, packing, privacy, quality, records, topk, toxicity
 from casewatch.llm.tokens import default_path
 from casewatch.llm.vectors import held_out
 from casewatch.session import stage
@@ -87,6 +87,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(rows, quality.thresholds(rows)).select("doc_id", *counts, "base_failed", "kept")
 
 
+@query()
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best others of every fiftieth vector."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 @query()
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document in sequences of 4096 tokens along the curve."""
