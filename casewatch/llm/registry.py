@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewatch.llm import languages, mixing, neardup, packing, privacy, quality, records, topk, toxicity
+from casewatch.llm import languages, mixing, neardup, packing, privacy, quality, records, substrings, topk, toxicity
 from casewatch.llm.tokens import default_path
 from casewatch.llm.vectors import held_out
 from casewatch.session import stage
@@ -107,3 +107,10 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     prototypes = languages.learn_profiles(docs.where(~held_out("doc_id", 4, 2)))
     said = languages.identify(docs, prototypes)
     return said.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without strings of fifty bytes that an earlier one has."""
+    left = substrings.without_repeats(table(spark, sf_dir, "documents"), length=50)
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
