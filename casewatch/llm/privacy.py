@@ -18,6 +18,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casewatch.session import stage
+
 KINDS = ("email", "ip", "card", "phone")
 SPAN = "array<struct<kind:int,start:int,end:int>>"
 
@@ -255,3 +257,22 @@ def redacted(text: Column, spans: str) -> Column:
     empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     done = F.aggregate(whole, empty, cut, lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.length(text))))
     return F.when(F.size(spans) > 0, done).otherwise(text)
+
+
+def redacted_documents(docs: DataFrame, text_col="text", length_col="n_chars") -> DataFrame:
+    """The documents with their personal data replaced, and their length counted anew where it is a column."""
+    names = docs.columns
+    row = docs.select(F.struct(*names).alias("row"), F.col(text_col).alias("text"))
+    rows = stage(spotted(row).drop("text"))
+    out = with_spans(rows, learn(rows)).withColumn("new", redacted(F.col(f"row.{text_col}"), "spans"))
+    changed = F.size("spans") > 0
+
+    def value(name: str) -> Column:
+        if name == text_col:
+            return F.col("new").alias(name)
+        if name == length_col:
+            old = F.col(f"row.{name}")
+            return F.when(changed, F.length("new").cast(docs.schema[name].dataType)).otherwise(old).alias(name)
+        return F.col(f"row.{name}")
+
+    return out.select(*(value(n) for n in names))

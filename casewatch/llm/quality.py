@@ -13,6 +13,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casewatch.session import stage
+
 WORD = r"[^\x20\x09-\x0D]+"
 SEPARATORS = " \t\n\u000b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -132,3 +134,17 @@ def judged(rows: DataFrame, bounds: DataFrame, lang_col="lang", source_col="sour
             passed &= F.coalesce(F.col(rule.measure) >= F.col(f"least_{rule.measure}"), F.lit(True))
     joined = _shares(rows).join(bounds, own, "left")
     return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & passed)
+
+
+def kept_documents(docs: DataFrame, text_col="text", lang_col="lang", source_col="source") -> DataFrame:
+    """The documents that pass, with the columns they have.
+
+    Measures are written to the shared folder with the rows, once; thresholds then read
+    the measures alone. Null languages and sources are groups of their own. An empty table stays empty.
+    """
+    names = docs.columns
+    row = docs.select(
+        F.struct(*names).alias("row"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source")
+    )
+    rows = stage(measured(row).drop("text"))
+    return judged(rows, thresholds(rows)).where("kept").select("row.*")
