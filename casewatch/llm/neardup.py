@@ -29,6 +29,8 @@ from casewatch.session import stage
 WORDS = 5
 COUNTER_BITS = 20
 SEEN_CLASSES = 1 << 16
+SIEVE_BITS = 20  # places of a table of fixed size that tells which texts can be of wanted classes
+PARTS_OF_SET = 64
 _LOW = np.uint64((1 << 56) - 1)
 
 
@@ -126,21 +128,49 @@ def _prefixes(batches: Iterator[pa.RecordBatch], shared, percent: int) -> Iterat
             kept = place < length[doc]
             ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), _int64(token[kept]))
-            columns = [batch.column(0).slice(a, b - a), pa.array(n.astype(np.int32)), _int64(own), lists]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "class", "prefix"])
+            columns = [batch.column(0).slice(a, b - a), pa.array(n.astype(np.int32)), _int64(own)]
+            columns += [pa.array([x.tobytes() for x in _signature(value, offsets)], pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "class", "signature", "prefix"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signature(value: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many shingles of each set lie in each of some equal intervals of hash values."""
+    n = len(offsets) - 1
+    cell = np.repeat(np.arange(n), np.diff(offsets)) * PARTS_OF_SET + (value >> np.uint64(58)).astype(np.int64)
+    return np.bincount(cell, minlength=n * PARTS_OF_SET).reshape(n, PARTS_OF_SET).astype("<u4")
+
+
+def _suffix(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Suffix filter: parts of equal hash intervals can share no more than the smaller has."""
+    for batch in batches:
+        x, y = (
+            np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4").reshape(-1, PARTS_OF_SET).astype(np.int64)
+            for i in (2, 3)
+        )
+        both, total = np.minimum(x, y).sum(axis=1), x.sum(axis=1) + y.sum(axis=1)
+        yield batch.select([0, 1]).filter(pa.array(100 * both >= percent * (total - both)))
+
+
+def _places(values: np.ndarray) -> np.ndarray:
+    return (mix(values.view(np.uint64) + np.uint64(0)) >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)
+
+
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    marks = np.zeros(1 << SIEVE_BITS, np.int64)
+    for batch in batches:
+        marks[_places(np.asarray(batch.column(0)))] = 1
+    yield from part_batch(chunks("", marks, TaskContext.get().partitionId(), "<u4"))
+
+
+def _sets(batches: Iterator[pa.RecordBatch], sieve) -> Iterator[pa.RecordBatch]:
+    marks = sieve.value
     for batch in batches:
         for _, _, texts in slices(batch.column(0)):
             value, offsets = shingles(texts)
-            packed = pa.Array.from_buffers(
-                pa.binary(),
-                len(texts),
-                [None, pa.py_buffer((offsets * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(value))],
-            )
-            columns = [_int64(_classes(value, offsets)), pa.array(np.diff(offsets).astype(np.int32)), packed]
-            yield pa.RecordBatch.from_arrays(columns, ["class", "n", "shingles"])
+            own = _classes(value, offsets)
+            chosen = np.flatnonzero(marks[_places(own.view(np.int64))] & (np.diff(offsets) > 0))
+            sets = [value[offsets[i] : offsets[i + 1]].tobytes() for i in chosen]
+            yield pa.RecordBatch.from_arrays([_int64(own[chosen]), pa.array(sets, pa.binary())], ["class", "shingles"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -162,12 +192,23 @@ def _fits(n: str, m: str, before: str, other: str, percent: int) -> Column:
     return equal & (F.least(n - before, m - other) >= least)
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs of classes whose whole sets are similar enough."""
+def _linked(pairs: DataFrame, texts: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """The pairs of classes whose whole sets are similar enough; each pair is verified once."""
+    spark = pairs.sparkSession
+    a = signatures.select(F.col("class").alias("a"), F.col("signature").alias("x"))
+    b = signatures.select(F.col("class").alias("b"), F.col("signature").alias("y"))
+    likely = pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y")
+    pairs = stage(likely.mapInArrow(partial(_suffix, percent=percent), "a long, b long"))
+    wanted = pairs.select("a").union(pairs.select("b")).distinct()
+    marks = summed(wanted.mapInArrow(_mark, PARTS), 1 << SIEVE_BITS, "<u4").get("", np.zeros(1 << SIEVE_BITS))
+    sieve = spark.sparkContext.broadcast(marks > 0)
+    sets = texts.select("text").mapInArrow(partial(_sets, sieve=sieve), "class long, shingles binary")
+    sets = sets.join(wanted, sets["class"] == wanted["a"], "left_semi").dropDuplicates(["class"])
+    sets = stage(sets)
     a = sets.select(F.col("class").alias("a"), F.col("shingles").alias("x"))
     b = sets.select(F.col("class").alias("b"), F.col("shingles").alias("y"))
     whole = pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y")
-    return whole.mapInArrow(partial(_verify, percent=percent), "a long, b long")
+    return stage(whole.mapInArrow(partial(_verify, percent=percent), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col="doc_id", text_col="text") -> DataFrame:
@@ -181,7 +222,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col="doc_id", text_co
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     level = spark.sparkContext.broadcast(levels(rows))  # a table of fixed size
-    shape = "doc_id long, n int, class long, prefix array<long>"
+    shape = "doc_id long, n int, class long, signature binary, prefix array<long>"
     light = stage(rows.mapInArrow(partial(_prefixes, shared=level, percent=percent), shape))
     listed = light.select("class", "n", F.posexplode("prefix").alias("before", "token"))
     first = W.partitionBy("token").orderBy("before", "n", "class")
@@ -195,20 +236,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col="doc_id", text_co
     lists = stage(lists.where("low <> high").drop("low", "high"))
 
     reps = light.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    wanted = lists.select("class").distinct()
-    one = reps.join(wanted, "class", "left_semi").where("doc_id IS NOT NULL").select("doc_id").distinct()
-    unknown = reps.join(wanted, "class", "left_semi").where("doc_id IS NULL")
-    texts = rows.join(one, "doc_id", "left_semi").select("text")
-    if unknown.head(1):  # classes of which no row has an id
-        texts = texts.unionByName(rows.where("doc_id IS NULL").select("text"))
-    sets = texts.mapInArrow(_sets, "class long, n int, shingles binary")
-    sets = stage(sets.join(wanted, "class", "left_semi").dropDuplicates(["class"]))
+    signatures = light.where("size(prefix) > 0").dropDuplicates(["class"]).select("class", "signature")
 
     def pairs(df: DataFrame, x: str, y: str) -> DataFrame:
         return df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
     stars = lists.where(F.col("class") != F.col("p_class")).where(_fits("n", "p_n", "before", "p_before", percent))
-    edges = stage(_linked(pairs(stars, "class", "p_class"), sets, percent))
+    edges = _linked(pairs(stars, "class", "p_class"), rows, signatures, percent)
     group = components(edges)
 
     grouped = lists.join(group, lists["class"] == group["node"], "left")
@@ -218,13 +252,34 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col="doc_id", text_co
     other = open_.select("token", *(F.col(c).alias(f"o_{c}") for c in ("class", "n", "before", "group")))
     apart = open_.join(other, "token").where("class < o_class AND group <> o_group")
     apart = apart.where(_fits("n", "o_n", "before", "o_before", percent))
-    edges = stage(edges.unionByName(_linked(pairs(apart, "class", "o_class"), sets, percent)))
-    group = components(edges)
+    more = stage(pairs(apart, "class", "o_class"))
+    if more.head(1):
+        group = components(edges.unionByName(_linked(more, rows, signatures, percent)))
 
     named = reps.join(group, reps["class"] == group["node"], "left")
     named = stage(named.select("class", "doc_id", F.coalesce("component", "class").alias("group")))
     smallest = named.groupBy("group").agg(F.min("doc_id").alias("component_id"))
     named = named.join(smallest, "group").select("class", "component_id")
-    out = light.where("n > 0").join(named, "class").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    alone = light.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    out = light.where("n > 0").join(named, "class")
+    out = out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    alone = light.where("n = 0").select(
+        "doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")
+    )
     return out.unionByName(alone)
+
+
+def one_of_each(docs: DataFrame, percent: int = 80, id_col="doc_id", text_col="text") -> DataFrame:
+    """One document of each component, the one with the smallest id (null last), with the columns it has.
+
+    Documents without words stay. Of rows equal in id and text one stays, whatever else
+    they hold.
+    """
+    names = docs.columns
+    keyed = docs.select(F.struct(*names).alias("row"), F.xxhash64(id_col, text_col).alias("key"))
+    plain = keyed.select("key", F.col(f"row.{id_col}").cast("long").alias("own"), F.col(f"row.{text_col}").alias("text"))
+    group = near_duplicates(plain, percent, id_col="key").select(F.col("doc_id").alias("key"), "component_id")
+    ids = plain.select("key", "own").distinct()
+    first = F.min(F.struct(F.col("own").isNull().alias("unknown"), "own", "key"))
+    kept = group.distinct().join(ids, "key").groupBy("component_id").agg(first.alias("first"))
+    kept = stage(kept.select(F.col("first.key").alias("key")))
+    return keyed.join(kept, "key", "left_semi").dropDuplicates(["key"]).select("row.*")

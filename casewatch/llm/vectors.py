@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -42,8 +41,12 @@ def _sum(group: pd.DataFrame, kind: str) -> pd.DataFrame:
 
 def summed(parts: DataFrame, size: int, kind: str = "<f8") -> dict[str | None, np.ndarray]:
     """Vectors per key, added up in two steps; the driver receives one vector per key."""
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        return _sum(group, kind)
+
     for groups in (["key", "chunk", "salt"], ["key", "chunk"]):
-        parts = parts.groupBy(*groups).applyInPandas(partial(_sum, kind=kind), PARTS)
+        parts = parts.groupBy(*groups).applyInPandas(add, PARTS)
     out: dict[str | None, np.ndarray] = {}
     for row in parts.select("key", "chunk", "value").toLocalIterator():
         vector = out.setdefault(row["key"], np.zeros(size, kind))
