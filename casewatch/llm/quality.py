@@ -107,13 +107,14 @@ def thresholds(rows: DataFrame, lang_col="lang", source_col="source") -> DataFra
     def renamed(df, prefix):
         return df.select(*(F.col(c).alias(f"{prefix}_{c}" if c in ("n", *names) else c) for c in df.columns))
 
-    levels = own.join(renamed(by_lang, "lang"), F.col("g_lang").eqNullSafe(F.col("l_lang"))).join(renamed(of_all, "all"))
+    levels = own.join(renamed(by_lang, "lang"), F.col("g_lang").eqNullSafe(F.col("l_lang")))
+    levels = levels.withColumn("all", of_all.select(F.struct(*names)).scalar())  # one row
     out = [F.col("g_lang"), F.col("g_source")]
     for rule in RULES:
         sketch = (
             F.when(F.col("n") >= LEAST_ROWS, F.col(rule.measure))
             .when(F.col("lang_n") >= LEAST_ROWS, F.col(f"lang_{rule.measure}"))
-            .otherwise(F.col(f"all_{rule.measure}"))
+            .otherwise(F.col(f"all.{rule.measure}"))
         )
         filled = F.kll_sketch_get_n_double(sketch) > 0
         low, high = (F.when(filled, F.kll_sketch_get_quantile_double(sketch, F.lit(q))) for q in (0.25, 0.75))
