@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import zipfile
+from functools import reduce
 from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -40,12 +41,35 @@ def read_with_contract(
 ) -> DataFrame:
     """CSV read as text, bound to the contract by column name and then cast.
 
-    Column order in the file does not matter, a missing column is an error, and
-    text that does not parse becomes null; with `audit` a column counts such
-    cells per row instead of losing them silently.
+    Column order in a file does not matter, nor need all files have the same; files
+    are read in groups of one header. A missing column is an error, and text that does
+    not parse becomes null; with `audit` a column counts such cells per row instead of
+    losing them silently.
     """
-    raw = spark.read.options(sep=sep, header=True, encoding=encoding, inferSchema=False).csv(path)
-    return apply_contract(raw, schema, date_format, audit)
+    options = {"sep": sep, "header": True, "encoding": encoding}
+    parts = []
+    for header, files in headers(spark, path, sep, encoding).items():
+        text = T.StructType([T.StructField(c, T.StringType()) for c in header])
+        raw = spark.read.schema(text).options(**options, enforceSchema=False).csv(files)
+        parts.append(apply_contract(raw, schema, date_format, audit))
+    if not parts:
+        raise ValueError(f"no file with a header: {path}")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def headers(spark: SparkSession, path, sep: str = ";", encoding: str = "UTF-8") -> dict[tuple, list[str]]:
+    """Files by the column names in their first line; one row per file comes to the driver.
+
+    A file of any length gives up its first line only: the rest of its first split is read past.
+    """
+    lines = spark.read.option("encoding", encoding).csv(path, sep="\u0000", schema="line string", quote="")
+    start = F.col("_metadata.file_block_start") == 0
+    first = lines.select(F.col("_metadata.file_path").alias("file"), "line").filter(start)
+    found: dict[tuple, list[str]] = {}
+    for row in first.groupBy("file").agg(F.first("line").alias("line")).collect():
+        names = next(csv.reader([row["line"].lstrip("\ufeff")], delimiter=sep))
+        found.setdefault(tuple(names), []).append(row["file"])
+    return {names: sorted(found[names]) for names in sorted(found)}
 
 
 def apply_contract(
@@ -74,14 +98,20 @@ def _typed(column, data_type, date_format):
     return F.trim(column).try_cast(data_type)
 
 
-def _first_member(content: bytes, names, sep: str, encoding: str):
-    """Named cells of each fitting line of an archive's first member, streamed."""
+def _first_member(content: bytes, names, sep: str, encoding: str, strict: bool):
+    """Named cells of each fitting line of an archive's first file, streamed."""
+    csv.field_size_limit(2**31 - 1)
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
-        with archive.open(archive.namelist()[0]) as member:
+        members = [m for m in archive.namelist() if not m.endswith("/")]
+        if strict and len(members) != 1:
+            raise ValueError(f"an archive holds one data file, not {members}")
+        with archive.open(members[0]) as member:
             lines = csv.reader(io.TextIOWrapper(member, encoding, newline=""), delimiter=sep)
             header = next(lines)
             at = [header.index(n) for n in names]
             for cells in lines:
+                if strict and len(cells) > len(header):
+                    raise ValueError(f"line {lines.line_num} has {len(cells)} cells under {len(header)} names")
                 if 0 < len(cells) <= len(header):
                     cells += [""] * (len(header) - len(cells))
                     yield [None if cells[i] in NULL_TEXTS else cells[i] for i in at]
@@ -90,14 +120,15 @@ def _first_member(content: bytes, names, sep: str, encoding: str):
 def read_zipped_csv(
     spark: SparkSession, path, schema: T.StructType, sep: str = ";",
     encoding: str = "latin-1", date_format: str = CASE_DATE_FORMAT,
-    partitions: int | None = None, batch_rows: int = 50_000,
+    partitions: int | None = None, batch_rows: int = 50_000, strict: bool = False,
 ) -> DataFrame:
-    """First member of each zip archive as rows of the contract.
+    """The first file of each zip archive as rows of the contract.
 
     A zip has no entry points, so one task unpacks an archive, streaming it in
     batches of `batch_rows`; `partitions` then spreads the rows for the work that
     follows. Lines with more cells than the header are left out, shorter ones are
-    filled with null.
+    filled with null. With `strict`, such a longer line fails the job, and so does an
+    archive with more than one file: nothing is passed over in silence.
     """
     names = schema.fieldNames()
     text_schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
@@ -108,7 +139,7 @@ def read_zipped_csv(
         text = pa.schema([(n, pa.string()) for n in names])
         for batch in batches:
             for content in batch.column("content"):
-                rows = _first_member(content.as_py(), names, sep, encoding)
+                rows = _first_member(content.as_py(), names, sep, encoding, strict)
                 while chunk := list(islice(rows, batch_rows)):
                     columns = [pa.array(c, pa.string()) for c in zip(*chunk)]
                     yield pa.RecordBatch.from_arrays(columns, schema=text)
