@@ -6,15 +6,17 @@ subquery), so a plan never has to be run just to learn a date.
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import Column, functions as F
 
 
 def as_date(value) -> Column:
-    """`date`, 'yyyy-MM-dd' text or Column as a DATE column."""
+    """`date`, 'yyyy-MM-dd' text or Column as a DATE column; of a point in time its day."""
     if isinstance(value, Column):
-        return value
+        return value.cast("date")
+    if isinstance(value, datetime):
+        value = value.date()
     return F.lit(value if isinstance(value, date) else date.fromisoformat(value))
 
 

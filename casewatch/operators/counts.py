@@ -49,10 +49,12 @@ def cases_per_state(df: DataFrame, start=None, end=None, population=None, s: Cas
 
     `population` (state, population) adds cases per 100,000 inhabitants.
     """
-    if start is not None:
-        df = df.filter(F.col(s.notified_on) >= D.as_date(start))
-    if end is not None:
-        df = df.filter(F.col(s.notified_on) <= D.as_date(end))
+    for column in filter(None, (s.notified_on, s.month)):
+        if start is not None:
+            first = D.as_date(start) if column == s.notified_on else D.month_start(start)
+            df = df.filter(F.col(column) >= first)
+        if end is not None:
+            df = df.filter(F.col(column) <= D.as_date(end))
     counts = (
         df.dropna(subset=[s.state])
         .groupBy(F.col(s.state).alias("state"))

@@ -14,8 +14,9 @@ def stitch_rows(
     """Join continuation rows (blank key) onto the row they continue.
 
     Every row after a keyed one and before the next belongs to it; the cells of
-    each other column are joined by a blank in `pos` order. Rows before the
-    first key of a document belong to nothing and drop.
+    each other column are joined by a blank in `pos` order, nulls left out; a cell
+    without any is null. Rows before the first key of a document belong to nothing
+    and drop.
 
     A document may be most of the table, so no task sees a whole one: rows are
     first stitched inside chunks of `chunk` positions, then each chunk that
@@ -32,7 +33,9 @@ def stitch_rows(
     ).withColumn("_part", F.sum(F.col("_head").cast("int")).over(in_chunk))
 
     def joined(items, name):
-        return F.array_join(F.transform(F.array_sort(items), lambda x: x[name]), " ")
+        """The known cells in order; null if none is known, so that pieces leave no trace of where they were cut."""
+        cells = F.array_compact(F.transform(F.array_sort(items), lambda x: x[name]))
+        return F.when(F.size(cells) > 0, F.array_join(cells, " "))
 
     pieces = rows.groupBy(doc, "_chunk", "_part").agg(
         F.min(F.when(F.col("_head"), F.col(pos))).alias("_start"),

@@ -12,19 +12,18 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from casewatch.session import stage
 
+RANK_GROUPS = 64
 RANGED = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
-def duplicate_rows(df: DataFrame, by_hash: bool | None = None) -> DataFrame:
+def duplicate_rows(df: DataFrame, by_hash: bool = False) -> DataFrame:
     """Rows that occur more than once, with their count.
 
-    With `by_hash`, the default for wide rows, one job shuffles a hash of each
-    row and stages those that repeat; the exact grouping then sees just the rows
-    with one of them, so whole rows are moved only where they may be duplicates.
+    With `by_hash`, one job shuffles a hash of each row and stages those that
+    repeat; the exact grouping then sees just the rows with one of them, so whole
+    rows are moved only where they may be duplicates. Without, the result is lazy.
     """
     columns = df.columns
-    if by_hash is None:
-        by_hash = len(columns) > 8
     if not by_hash:
         return duplicate_keys(df, columns)
     hashed = df.withColumn("_hash", F.xxhash64(*[F.col(f"`{c}`") for c in columns]))
@@ -93,16 +92,16 @@ def _counts(values: DataFrame) -> DataFrame:
 def top_values(counts: DataFrame, k: int = 50) -> DataFrame:
     """The `k` most frequent values of each column; ties go by value.
 
-    The rank limit is below 1,000, so Spark ranks inside each task first and
-    shuffles at most `k` rows per column and task. Null takes part in the rank
-    and is then left out.
+    Values are ranked in `RANK_GROUPS` groups of a column first, of which only the
+    first `k` can be among its first `k`: however many distinct values a column has,
+    and whatever `k`, one task ranks at most `k` of each group. Null takes part in
+    the rank and is then left out.
     """
-    rank = Window.partitionBy("column").orderBy(F.desc("n"), F.asc_nulls_first("value"))
-    return (
-        counts.withColumn("rank", F.row_number().over(rank))
-        .filter(F.col("rank") <= k)
-        .filter(F.col("value").isNotNull())
-    )
+    order = (F.desc("n"), F.asc_nulls_first("value"))
+    group = F.pmod(F.xxhash64("value"), F.lit(RANK_GROUPS))
+    for rank in (Window.partitionBy("column", group).orderBy(*order), Window.partitionBy("column").orderBy(*order)):
+        counts = counts.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
+    return counts.filter(F.col("value").isNotNull())
 
 
 def distinct_counts(df: DataFrame, columns=None) -> DataFrame:
@@ -143,8 +142,10 @@ def profile(df: DataFrame, max_categories: int = 50, columns=None) -> DataFrame:
     """
     counts = value_counts(df, columns)
     entry = F.struct("value", "n")
+    # values that differ may read alike, as two instants of the hour a clock is set back
+    readings = counts.groupBy("column", "value").agg(F.sum("n").alias("n"))
     frequent = (
-        top_values(counts, max_categories)
+        top_values(readings, max_categories)
         .groupBy("column")
         .agg(F.map_from_entries(F.collect_list(entry)).alias("value_counts"))
     )

@@ -102,7 +102,7 @@ def icu_occupancy_by_state(
     """ICU patients of the month to date per 100 beds, per state and bed class.
 
     `cases` has the case features, `beds` the beds per state and month, of which
-    the newest month counts. Rates stop at 100; a state without either side drops.
+    the newest month up to `as_of`, or the latest notification, counts. Rates stop at 100; a state without either side drops.
     """
     last = P.latest_notified(cases, s) if as_of is None else D.as_date(as_of)
     first = D.month_start(last)
@@ -110,7 +110,8 @@ def icu_occupancy_by_state(
     patients = pivot_bed_class(stays_in_period(stays, first, last, s), s).toDF(
         "state", "adult_patients", "pediatric_patients", "neonatal_patients"
     )
-    newest = beds.filter(F.col(b.month) == P.latest(beds, b.month)).select(
+    known = beds.filter(F.col(b.month) <= last)  # an inventory of a later month was not known then
+    newest = known.filter(F.col(b.month) == P.latest(known, b.month)).select(
         F.col(b.state).alias("state"),
         F.col(b.sum_adult).alias("adult_beds"),
         F.col(b.sum_pediatric).alias("pediatric_beds"),

@@ -14,6 +14,7 @@ def _any_null(keys) -> Column:
 def keep_latest(source: DataFrame, keys, order_by=(), on_duplicate: str = "latest") -> DataFrame:
     """One row per non-null key: the largest by `order_by`, then by all columns.
 
+    Without `order_by` nothing tells the newest, and a repeated key fails the job.
     It is an aggregate, so a key that holds a third of the batch shrinks to one
     row per input task before the shuffle. Rows with a null key never match each
     other and all stay. `on_duplicate='error'` fails the job instead.
@@ -24,7 +25,7 @@ def keep_latest(source: DataFrame, keys, order_by=(), on_duplicate: str = "lates
     rows = source.filter(~_any_null(keys)).groupBy(*keys).agg(
         F.max(ranked).alias("_row"), F.count("*").alias("_copies")
     )
-    if on_duplicate == "error":
+    if on_duplicate == "error" or not order_by:
         message = F.concat(F.lit("duplicate key in the source: "), F.to_json(F.struct(*keys)))
         unique = F.when(F.col("_copies") == 1, F.col("_row")).otherwise(F.raise_error(message))
         rows = rows.withColumn("_row", unique.cast(rows.schema["_row"].dataType))

@@ -14,7 +14,13 @@ def query_sql(
     The text is placed inside a FROM clause, where Spark accepts a query and
     nothing else: a statement that changes data is a syntax error, never run.
     """
-    if database:
-        spark.catalog.setCurrentDatabase(database)
     text = sql.strip().rstrip(";")
-    return spark.sql(f"SELECT * FROM (\n{text}\n) AS answer", args=args).limit(max_results)
+    before = spark.catalog.currentDatabase()
+    try:
+        if database:
+            spark.catalog.setCurrentDatabase(database)
+        # names are resolved here, so the session can go back to its own database
+        return spark.sql(f"SELECT * FROM (\n{text}\n) AS answer", args=args).limit(max_results)
+    finally:
+        if database:
+            spark.catalog.setCurrentDatabase(before)
