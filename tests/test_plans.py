@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from casewatch.plans.registry import QUERIES
 from casewatch.operators import counts as N, filters as P, quality as Q, stays as S, upsert as U
 from casewatch.sources import tables as B
 from casewatch.plans import report as Rep
@@ -14,7 +15,7 @@ from tests.helpers import cases, first_plan, plan, rows
 
 SF_DIR = "/root/testdata/sf0.001"
 AS_OF = "2025-06-30"
-LAZY = [n for n in entry.queries() if n not in {"feature_table", "incremental_ingest_table", "write_table_evolved"}]
+LAZY = [n for n in QUERIES if n not in {"feature_table", "incremental_ingest_table", "write_table_evolved"}]
 
 
 @pytest.fixture(scope="module")

@@ -5,10 +5,11 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from casewatch.plans.registry import QUERIES
 from tools import check
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-NAMES = list(entry.queries())
+NAMES = list(QUERIES)
 
 
 @pytest.fixture(scope="module")
