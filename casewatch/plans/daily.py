@@ -56,7 +56,7 @@ def load_fresh_beds(
     b: BedSchema = BEDS, sep: str = ";", partitions: int | None = None,
 ) -> None:
     """Merge zipped bed inventories by facility and month; a key may occur once among the archives."""
-    beds = read_zipped_csv(spark, archives, contract, sep, partitions=partitions, strict=True)
+    beds = read_zipped_csv(spark, archives, contract, sep=sep, partitions=partitions, strict=True)
     tables.upsert_table(beds, names.beds, [b.facility, b.comp], on_duplicate="error")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from casewatch.operators import counts as N, filters as P, stays as S, vaccination as V
@@ -204,6 +206,15 @@ def icu_occupancy_by_state(spark, sf_dir):
     return S.icu_occupancy_by_state(cases, beds, AS_OF)
 
 
+@query(f"""with {STATE_CASES_SQL}, {FEATURES_SQL}, {BEDS_SQL}, {BED_FEATURES_SQL},
+{OCCUPANCY_SQL.replace("07/2001", "05/2001").replace("2001-07-", "2001-05-").replace(
+    "from bed_feats)", "from bed_feats where beds_month <= date '2001-05-31')")} select * from occupancy""")
+def icu_occupancy_of_a_past_day(spark, sf_dir):
+    """Bed occupancy as of an earlier day, by the inventory known then."""
+    cases, beds = feature_cases(spark, sf_dir, state=True), bed_features(spark, sf_dir)
+    return S.icu_occupancy_by_state(cases, beds, date(2001, 5, 31))
+
+
 VACCINATION_SQL = """select strftime(notified_on, '%Y-%m') as year_month {state},
   count(case_id) as total_notifications,
   cast(sum(vaccinated_covid) as bigint) as vaccinated_covid,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from casewatch.operators import quality as Q
 from casewatch.plans.fixtures import load
 from casewatch.plans.registry import query
@@ -117,7 +119,24 @@ def sample_by_key(spark, sf_dir):
     return Q.sample_rows(orders, 0.1, seed=42, by_key="o_orderkey")
 
 
-@query()
+@query("select true as all_known, true as none_twice, true as about_a_tenth")
 def sample_rows(spark, sf_dir):
-    """A tenth of the rows, chosen by position."""
-    return Q.sample_rows(load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), 0.1)
+    """What a sample by position must be: some of the rows, each once, about a tenth."""
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    sample = Q.sample_rows(orders, 0.1)
+    marks = orders.select("*", F.lit(0).alias("s")).unionByName(sample.select("*", F.lit(1).alias("s")))
+    per_row = marks.groupBy("o_orderkey", "o_totalprice").agg(F.sum("s").alias("s"), F.count_if(F.col("s") == 0).alias("n"))
+    n, kept = F.sum("n"), F.sum("s")
+    return per_row.agg(
+        F.coalesce(F.bool_and((F.col("s") == 0) | (F.col("n") > 0)), F.lit(True)).alias("all_known"),
+        F.coalesce(F.bool_and(F.col("s") <= F.col("n")), F.lit(True)).alias("none_twice"),
+        (F.abs(kept - 0.1 * n) <= 5 * F.sqrt(0.09 * n) + 1).alias("about_a_tenth"),
+    )
+
+
+@query("""with twice as (select * from lineitem union all select * from lineitem where l_orderkey % 7 = 0)
+select *, count(*) as n from twice group by all having count(*) > 1""")
+def duplicate_whole_rows(spark, sf_dir):
+    """Repeated rows, all columns compared, of a table a part of which is there twice."""
+    lines = load(spark, sf_dir, "lineitem")
+    return Q.duplicate_rows(lines.unionByName(lines.where("l_orderkey % 7 = 0")))

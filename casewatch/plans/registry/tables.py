@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
 from datetime import date
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from casewatch.contracts import case_contract, CASES
@@ -16,7 +19,7 @@ from casewatch.plans.fixtures import (
 from casewatch.plans.registry import query
 from casewatch.session import shared_dir
 from casewatch.sources import delimited as C, snapshots as N, tables as T
-from casewatch.streaming.ingest import incremental_ingest
+from casewatch.streaming.ingest import incremental_ingest, stream_delimited
 
 # A batch of corrections to the orders of two statuses: urgent orders of any
 # status, the most urgent of them twice with a newer price.
@@ -251,3 +254,58 @@ def incremental_ingest_table(spark, sf_dir):
         stream = spark.readStream.schema(TABLES["orders"]).parquet(f"{sf_dir}/orders.parquet*")
         incremental_ingest(stream.select("o_orderkey", "o_orderstatus", "o_totalprice"), name, ["o_orderkey"])
     return T.read_table(spark, name)
+
+
+@query(CSV_SQL)
+def read_files_of_other_orders(spark, sf_dir):
+    """Files of one folder whose columns stand in different orders, each bound by its own header."""
+    other = load_cases(spark, sf_dir).select("notified_on", "case_id", "icu_in", "icu_out", "outcome")
+    half = F.col("case_id") % 2 == 0
+    both = f"{shared_dir(spark)}/exports/{uuid.uuid4().hex}"
+    first = load_cases(spark, sf_dir).select("icu_out", "outcome", "case_id", "icu_in", "notified_on")
+    options = {"sep": ";", "header": True, "dateFormat": "dd/MM/yyyy"}
+    first.where(half).write.options(**options).csv(both)
+    other.where(~half).write.mode("append").options(**options).csv(both)
+    contract = case_contract(CASES, ["case_id", "notified_on", "outcome", "icu_in", "icu_out"])
+    read = C.read_with_contract(spark, both, contract)
+    return text_dates(read.withColumn("case_id", F.col("case_id").cast("bigint")))
+
+
+@query(f"with {BEDS_SQL} select * from beds")
+def read_zipped_beds(spark, sf_dir):
+    """Bed inventories out of one zip archive per month."""
+    columns = ["facility_id", "comp", "state", "beds_adult", "beds_ped", "beds_neo"]
+    beds = load_beds(spark, sf_dir).select(*columns)
+
+    def zip_month(month: pa.Table) -> pa.Table:
+        rows = zip(*(month.column(c).to_pylist() for c in columns))
+        lines = [";".join(columns), *(";".join(map(str, row)) for row in rows)]
+        packed = io.BytesIO()
+        with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+            archive.writestr("beds.csv", "\n".join(lines).encode("latin-1"))
+        return pa.table({"content": [packed.getvalue()]})
+
+    archives = beds.groupBy("comp").applyInArrow(zip_month, "content binary")
+    return C.unzipped(archives, beds.schema, strict=True)
+
+
+@query(f"""with {UPSERT_SQL}, day as (select o_orderkey as k, cast(o_orderdate as date) as d from orders)
+select o_orderkey, o_totalprice, o_orderstatus, cast(d as varchar) as day from merged join day on k = o_orderkey""")
+def upsert_by_day_table(spark, sf_dir):
+    """Merge into a table with a partition per day, nearly all of which it touches."""
+    name = fresh_name("orders_by_day")
+    days = load(spark, sf_dir, "orders").selectExpr("o_orderkey", "cast(o_orderdate as date) as day")
+    target, source = (df.join(days, "o_orderkey") for df in order_batch(spark, sf_dir))
+    T.write_table(target, name, partition_by=["day"])
+    T.upsert_table(source, name, ["o_orderkey"], order_by=["o_totalprice"])
+    return text_dates(T.read_table(spark, name))
+
+
+@query(CSV_SQL)
+def stream_delimited_table(spark, sf_dir):
+    """CSV files streamed under a contract into a keyed table."""
+    columns = ["case_id", "notified_on", "outcome", "icu_in", "icu_out"]
+    folder, name = csv_export(spark, sf_dir, columns), fresh_name("streamed")
+    stream = stream_delimited(spark, folder, columns, case_contract(CASES, columns))
+    incremental_ingest(stream, name, ["case_id"])
+    return text_dates(T.read_table(spark, name).withColumn("case_id", F.col("case_id").cast("bigint")))

@@ -117,12 +117,17 @@ def _first_member(content: bytes, names, sep: str, encoding: str, strict: bool):
                     yield [None if cells[i] in NULL_TEXTS else cells[i] for i in at]
 
 
-def read_zipped_csv(
-    spark: SparkSession, path, schema: T.StructType, sep: str = ";",
-    encoding: str = "latin-1", date_format: str = CASE_DATE_FORMAT,
-    partitions: int | None = None, batch_rows: int = 50_000, strict: bool = False,
+def read_zipped_csv(spark: SparkSession, path, schema: T.StructType, **options) -> DataFrame:
+    """Rows of zip archives at a path; options as for `unzipped`."""
+    return unzipped(spark.read.format("binaryFile").load(path), schema, **options)
+
+
+def unzipped(
+    archives: DataFrame, schema: T.StructType, sep: str = ";", encoding: str = "latin-1",
+    date_format: str = CASE_DATE_FORMAT, partitions: int | None = None, batch_rows: int = 50_000,
+    strict: bool = False,
 ) -> DataFrame:
-    """The first file of each zip archive as rows of the contract.
+    """The first file of each zip archive in the column `content` as rows of the contract.
 
     A zip has no entry points, so one task unpacks an archive, streaming it in
     batches of `batch_rows`; `partitions` then spreads the rows for the work that
@@ -144,8 +149,7 @@ def read_zipped_csv(
                     columns = [pa.array(c, pa.string()) for c in zip(*chunk)]
                     yield pa.RecordBatch.from_arrays(columns, schema=text)
 
-    archives = spark.read.format("binaryFile").load(path).select("content")
-    rows = archives.mapInArrow(unpack, text_schema)
+    rows = archives.select("content").mapInArrow(unpack, text_schema)
     if partitions:
         rows = rows.repartition(partitions)
     return apply_contract(rows, schema, date_format)

@@ -15,7 +15,11 @@ from tests.helpers import cases, first_plan, plan, rows
 
 SF_DIR = "/root/testdata/sf0.001"
 AS_OF = "2025-06-30"
-LAZY = [n for n in QUERIES if n not in {"feature_table", "incremental_ingest_table", "write_table_evolved"}]
+# Queries that write tables on the way, and the one that unpacks archives.
+EAGER = {
+    "feature_table", "incremental_ingest_table", "write_table_evolved", "stream_delimited_table", "read_zipped_beds"
+}
+LAZY = [n for n in QUERIES if n not in EAGER]
 
 
 @pytest.fixture(scope="module")
