@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casewatch.contracts import (
-    BED_COLUMNS, CASES, DERIVED_DESCRIPTIONS, FEATURE_CASE_COLUMNS, NOTIFICATION_FORM, REDUCED_CASE_COLUMNS,
+    BED_COLUMNS, CASES, FEATURE_CASE_COLUMNS, NOTIFICATION_FORM,
 )
 from casewatch.functions import dates as D, rates as R
 from casewatch.operators import filters as P
@@ -15,8 +15,7 @@ from tests.helpers import cases, day, rows
 
 
 def test_column_sets_have_the_published_size():
-    assert [len(c) for c in (FEATURE_CASE_COLUMNS, REDUCED_CASE_COLUMNS, BED_COLUMNS)] == [31, 33, 20]
-    assert len(DERIVED_DESCRIPTIONS) == 8
+    assert [len(c) for c in (FEATURE_CASE_COLUMNS, BED_COLUMNS)] == [31, 20]
 
 
 @pytest.mark.parametrize(
