@@ -134,9 +134,9 @@ def train(
     label_col="toxic",
     max_rows: int = 20_000,
     smoothing: float = 1.0,
-    least: float = 5,
-    ratio: float = 1.0,
-    l2: float = 1e-4,
+    least: float = 10,
+    ratio: float = 1.5,
+    l2: float = 1e-3,
 ) -> Classifier:
     """Classifier from labelled texts.
 
