@@ -22,7 +22,8 @@ from casewatch.llm.vectors import PARTS, chunks, part_batch, summed
 
 DIMENSIONS, ORDER = 1024, 3
 UNDETERMINED = "und"
-TYPES_AT_ONCE = 4096
+TYPES_AT_ONCE, DOCS_AT_ONCE = 16384, 128
+TABLE = 1 << 23
 
 
 @lru_cache(maxsize=None)
@@ -36,36 +37,46 @@ def _letter(code: int) -> np.ndarray:
     return np.random.default_rng([9, code]).integers(0, 2, DIMENSIONS, np.int8) * 2 - 1
 
 
+def _distinct(values: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct whole numbers under `below` and the place of each value among them; by a table while that is small."""
+    if below > TABLE:
+        return np.unique(values, return_inverse=True)
+    present = np.zeros(below, bool)
+    present[values] = True
+    found = np.flatnonzero(present)
+    place = np.zeros(below, np.int32)
+    place[found] = np.arange(len(found))
+    return found, place[values]
+
+
 def _grams(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct n-grams as whole numbers, and a document and n-gram index of each occurrence.
+    """Distinct n-grams spelled out, and a document and n-gram index of each occurrence.
 
     Runs of anything but letters count as one gap; every text starts and ends with one.
     """
     codes, offsets = code_points(texts)
-    doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
-    letters = np.where(_is_letter()[np.minimum(codes, 0x10FFFF)], codes, 0).astype(np.int64)
+    length = np.diff(offsets)
+    letters = np.zeros(len(codes) + 2 * len(texts), np.int64)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), length)
+    letters[np.arange(len(codes)) + 2 * owner + 1] = np.where(_is_letter()[np.minimum(codes, 0x10FFFF)], codes, 0)
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), length + 2)
+    keep = letters > 0
+    keep[1:] |= keep[:-1] | (doc[1:] != doc[:-1])
+    keep[:1] = True
+    doc, letters = doc[keep], letters[keep]
     has = np.zeros(len(texts), bool)
     has[doc[letters > 0]] = True
-    keep = np.ones(len(letters), bool)
-    keep[1:] = (letters[1:] > 0) | (letters[:-1] > 0) | (doc[1:] != doc[:-1])
-    edges = np.arange(len(texts))
-    doc = np.concatenate([edges, doc[keep], edges])
-    letters = np.concatenate([np.zeros_like(edges), letters[keep], np.zeros_like(edges)])
-    order = np.argsort(doc, kind="stable")
-    doc, letters = doc[order], letters[order]
-    keep = np.ones(len(letters), bool)
-    keep[1:] = (letters[1:] > 0) | (letters[:-1] > 0) | (doc[1:] != doc[:-1])
-    doc, letters = doc[keep], letters[keep]
-    alphabet, small = np.unique(letters, return_inverse=True)
-    gram, inside = np.zeros(max(len(small) - ORDER + 1, 0), np.int64), slice(0, max(len(small) - ORDER + 1, 0))
+    alphabet, small = _distinct(letters, 0x110000)
+    n = max(len(small) - ORDER + 1, 0)
+    gram = np.zeros(n, np.int64)
     for i in range(ORDER):
-        gram = gram * len(alphabet) + small[i : len(small) - ORDER + 1 + i]
-    whole = (doc[inside] == doc[ORDER - 1 :]) & has[doc[inside]] if len(gram) else np.zeros(0, bool)
-    types, index = np.unique(gram[whole], return_inverse=True)
+        gram = gram * len(alphabet) + small[i : n + i]
+    whole = (doc[:n] == doc[ORDER - 1 : n + ORDER - 1]) & has[doc[:n]]
+    types, index = _distinct(gram[whole], len(alphabet) ** ORDER)
     spelled = np.empty((len(types), ORDER), np.int64)
     for i in reversed(range(ORDER)):
         spelled[:, i], types = alphabet[types % len(alphabet)], types // len(alphabet)
-    return spelled, doc[inside][whole], index
+    return spelled, doc[:n][whole], index
 
 
 def _bind(spelled: np.ndarray) -> np.ndarray:
@@ -82,18 +93,18 @@ def profiles(texts) -> np.ndarray:
     """Bundled vector of each text, zero where it has no letter."""
     spelled, doc, index = _grams(texts)
     out = np.zeros((len(texts), DIMENSIONS), np.float32)
-    order = np.argsort(index, kind="stable")
-    doc, index = doc[order], index[order]
     for at in range(0, len(spelled), TYPES_AT_ONCE):
         block = _bind(spelled[at : at + TYPES_AT_ONCE]).astype(np.float32)
-        a, b = np.searchsorted(index, [at, at + len(block)])
-        present, rows = np.unique(doc[a:b], return_inverse=True)
-        for low in range(0, len(present), 1024):
-            mine = (rows >= low) & (rows < low + 1024)
-            height = min(1024, len(present) - low)
-            cells = (rows[mine] - low) * len(block) + index[a:b][mine] - at
+        for low in range(0, len(texts), DOCS_AT_ONCE):
+            a, b = np.searchsorted(doc, [low, low + DOCS_AT_ONCE])
+            rows, places = doc[a:b] - low, index[a:b] - at
+            if len(spelled) > TYPES_AT_ONCE:
+                mine = (places >= 0) & (places < len(block))
+                rows, places = rows[mine], places[mine]
+            height = min(DOCS_AT_ONCE, len(texts) - low)
+            cells = rows.astype(np.int64) * len(block) + places
             counts = np.bincount(cells, minlength=height * len(block)).reshape(height, len(block))
-            out[present[low : low + height]] += counts.astype(np.float32) @ block
+            out[low : low + height] += counts.astype(np.float32) @ block
     return out
 
 
