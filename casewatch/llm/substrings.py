@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from casewatch.llm.buffers import Texts, mix, powers, ragged, slices
 from casewatch.session import shared_dir, stage
 
-GRAM, STEP, MOST_STRINGS = 16, 2, 100
+GRAM, MOST_STRINGS = 16, 100
 PACK_BYTES = 4 << 20
 LAST = (1 << 63) - 1  # stands for a null id, which comes after all others
 PACKS = "pack long, doc_ids binary, known binary, sizes binary, data binary"
@@ -200,14 +200,35 @@ def shard_order(text: np.ndarray, depth: int) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for i in range(known):
         key = (key << np.uint64(8)) | circle[i : i + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     while True:
         rank = np.empty(n, np.uint64)
         rank[order] = np.cumsum(np.concatenate([[False], key[order][1:] != key[order][:-1]]))
         if known >= depth or int(rank[order[-1]]) == n - 1:
             return order
         key = (rank << np.uint64(32)) | np.roll(rank, -known)
-        order, known = np.argsort(key, kind="stable"), known * 2
+        order, known = np.argsort(key), known * 2
+
+
+def _before(texts: list[np.ndarray], orders: list[np.ndarray], step: int) -> np.ndarray | None:
+    """The `step` bytes before every suffix as one ordered number of 16 bits; None if there are too many."""
+    grams = []
+    for text, order in zip(texts, orders):
+        gram = np.zeros(len(text), np.int32)
+        for back in range(step, 0, -1):
+            gram = (gram << 8) | text.take(order - back, mode="wrap")
+        grams.append(gram)
+    grams = np.concatenate(grams)
+    if step < 3:
+        return grams.astype(np.uint16)
+    present = np.zeros(1 << (8 * step), bool)
+    present[grams] = True
+    found = np.flatnonzero(present)
+    if len(found) > 1 << 16:
+        return None
+    rank = np.zeros(len(present), np.uint16)
+    rank[found] = np.arange(len(found))
+    return rank[grams]
 
 
 def merged_blocks(texts: list[np.ndarray], depth: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -217,26 +238,24 @@ def merged_blocks(texts: list[np.ndarray], depth: int) -> tuple[np.ndarray, list
     shards' suffixes one behind the other, each in its own order): suffixes with the same
     first `depth` bytes have the same block. Each round reads, for every entry of the interleave, the
     symbols before the next suffix of its shard and sorts the entries by them, keeping their
-    order otherwise: the entries then stand for suffixes that start `STEP` bytes earlier.
+    order otherwise: the entries then stand for suffixes that start that many bytes earlier.
     """
     orders = [shard_order(t, depth) for t in texts]
-    symbols = np.concatenate(
-        [t[o - 2].astype(np.uint16) << 8 | t[o - 1] for t, o in zip(texts, orders)]
-    )  # negative places go round the circle
-    shard = np.repeat(np.arange(len(texts), dtype=np.uint16), [len(t) for t in texts])
-    block = np.zeros(len(symbols), np.int64)
-    for _ in range(depth // STEP):
-        next_of = np.argsort(shard, kind="stable")
-        read = np.empty_like(symbols)
-        read[next_of] = symbols
+    one = np.uint8 if len(texts) <= 256 else np.uint16 if len(texts) <= 1 << 16 else np.int64
+    shard = np.repeat(np.arange(len(texts)).astype(one), [len(t) for t in texts])
+    block = np.zeros(len(shard), np.int32 if len(shard) < 1 << 31 else np.int64)
+    wide = _before(texts, orders, 3)
+    rounds = [3] * (depth // 3) + [depth % 3] if wide is not None else [2] * (depth // 2) + [depth % 2]
+    symbols = {step: wide if step == 3 else _before(texts, orders, step) for step in {*rounds} - {0}}
+    for step in filter(None, rounds):
+        read = np.empty_like(symbols[step])
+        read[np.argsort(shard, kind="stable")] = symbols[step]
         order = np.argsort(read, kind="stable")
         read, shard, block = read[order], shard[order], block[order]
         new = np.zeros(len(order), bool)
         new[1:] = (read[1:] != read[:-1]) | (block[1:] != block[:-1])
-        block = np.cumsum(new)
-    out = np.empty_like(block)
-    out[:] = block[np.argsort(shard, kind="stable")]
-    return out, orders
+        block = np.cumsum(new, dtype=block.dtype)
+    return block[np.argsort(shard, kind="stable")], orders
 
 
 def _merge(table: pa.Table, length: int) -> pa.Table:
@@ -331,10 +350,10 @@ def without_repeats(docs: DataFrame, length: int = 50, id_col="doc_id", text_col
     id. Rows of one id are one document in this and never count against each other. A null id
     comes after all others. A null or empty text, and one shorter than `length`, keeps all.
     Kept bytes need not be valid UTF-8, as strings are cut between any bytes. `length` is
-    even, from twice the gram's to 150. Only the two named columns are read. Acts at once.
+    from twice the gram's to 150. Only the two named columns are read. Acts at once.
     """
-    if length % STEP or not 2 * GRAM <= length <= 150:
-        raise ValueError("length must be even and between 32 and 150")
+    if not 2 * GRAM <= length <= 150:
+        raise ValueError("length must be between 32 and 150")
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
