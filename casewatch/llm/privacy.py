@@ -130,11 +130,13 @@ def _features(text: Column, x: Column) -> Column:
 def spotted(docs: DataFrame, text_col="text") -> DataFrame:
     """The rows with `base`, their base spans by kind and start, and `proposed` spans with features.
 
-    A null text has none. Proposals that equal a base span are kept as examples.
+    A null text has none. Proposals that equal a base span are kept as examples. `seed` is a hash of
+    the whole row, by which `learn` draws.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
+    hashed = [F.col(f"`{name}`") for name, kind in docs.dtypes if not any(k in kind for k in ("map<", "variant"))]
     base = [F.filter(_located(text, p, k), _validator(k)) for k, p in enumerate(RULES)]
-    out = docs.withColumn("base", F.concat(*base))
+    out = docs.withColumns({"seed": F.xxhash64(*hashed), "base": F.concat(*base)})
     bare = F.transform("base", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     out = out.withColumn("base", bare).withColumn("_p", F.concat(*(_located(text, p, k) for k, p in enumerate(PROPOSALS))))
 
@@ -175,26 +177,45 @@ class Model:
         return 1 / (1 + F.exp(-2 * self.margin(features)))
 
 
+def _examples(rows: DataFrame) -> DataFrame:
+    """The proposals, each with `draw` from 0 to 1 and `fold` of its own, by hashes of its row and place."""
+    spread = rows.select("seed", F.posexplode("proposed").alias("place", "x"))
+    draw = F.pmod(F.xxhash64("seed", "place"), F.lit(1 << 52)) / float(1 << 52)
+    fold = F.pmod(F.xxhash64(F.lit(7), "seed", "place"), F.lit(4))
+    return spread.select("x.kind", "x.touches", "x.label", "x.features", draw.alias("draw"), fold.alias("fold"))
+
+
+def _sampled(examples: DataFrame) -> DataFrame:
+    """Labels and features of about `SAMPLE` proposals; equal ones become one row with their number as weight.
+
+    Those beside the base spans make up half of them, where there are as many.
+    """
+    n = {r["touches"]: r["count"] for r in examples.groupBy("touches").count().collect()}
+    touching, own = n.get(True, 0), n.get(False, 0)
+    own_share = min(1.0, max(SAMPLE / 2, SAMPLE - touching) / max(own, 1))
+    share = min(1.0, max(SAMPLE / 2, SAMPLE - own) / max(touching, 1))
+    chosen = examples.where(F.col("draw") < F.when(F.col("touches"), share).otherwise(own_share))
+    return chosen.groupBy("label", "features").agg(F.count("*").cast("double").alias("weight"))
+
+
 def learn(rows: DataFrame) -> Model:
     """Trees and thresholds from spotted rows.
 
-    Trees are fitted on about `SAMPLE` proposals, chosen by a hash of their features; the thresholds
+    Trees are fitted on about `SAMPLE` proposals, drawn one by one; the thresholds
     are set on all proposals that a second hash holds out. Without both classes, or
     where no threshold of a kind reaches `PRECISION` with `SUPPORT` right ones, nothing is added.
     """
-    examples = rows.select(F.explode("proposed").alias("x")).select("x.kind", "x.label", "x.features")
-    examples = examples.withColumn("draw", F.pmod(F.xxhash64("features"), F.lit(1 << 20)))
-    n = examples.count()
-    share = int((1 << 20) * min(1.0, SAMPLE / max(n, 1)))
-    fold = F.pmod(F.xxhash64(F.lit(7), "features"), F.lit(4))
-    chosen = examples.where((F.col("draw") < share) & (fold != 0))
-    chosen = chosen.select(F.col("label").cast("double"), *(F.col("features")[i].alias(f) for i, f in enumerate(FEATURES)))
+    examples = _examples(rows)
+    chosen = _sampled(examples.where("fold != 0")).select(
+        F.col("label").cast("double"), "weight", "features", *(F.col("features")[i].alias(f) for i, f in enumerate(FEATURES))
+    )
     if chosen.select("label").distinct().count() < 2:
         return Model()
-    table = VectorAssembler(inputCols=FEATURES, outputCol="x").transform(chosen).select("label", "x").coalesce(2)
-    trees = GBTClassifier(labelCol="label", featuresCol="x", maxIter=TREES, maxDepth=DEPTH, seed=5).fit(table)
+    table = VectorAssembler(inputCols=FEATURES, outputCol="x").transform(chosen).select("label", "weight", "features", "x")
+    table = table.coalesce(2).sortWithinPartitions("label", "features")
+    trees = GBTClassifier(labelCol="label", featuresCol="x", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, seed=5).fit(table)
     model = Model(trees._java_obj.trees(), trees.treeWeights)
-    scored = examples.where(fold == 0).withColumn("bin", F.floor(model.score(F.col("features")) * BINS).cast("int"))
+    scored = examples.where("fold = 0").withColumn("bin", F.floor(model.score(F.col("features")) * BINS).cast("int"))
     counts = scored.groupBy("kind", "bin").agg(F.count("*").alias("n"), F.sum("label").alias("right")).collect()
     for kind in range(len(KINDS)):
         right = total = 0

@@ -283,6 +283,19 @@ def test_learned_spans_are_added_to_the_rules(spark):
         assert ("<phone>" in r["new"]) == (r["doc_id"] < 400)
 
 
+def test_proposals_of_one_form_are_drawn_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(privacy, "SAMPLE", 300)
+    texts = ["call +49 123 4567 890 now"] * 1500 + ["order 1234567890x1234 sent"] * 1000
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spotted = privacy.spotted(rows)
+    sample = privacy._sampled(privacy._examples(spotted)).collect()
+    assert len(sample) < 10 and 200 < sum(r["weight"] for r in sample) < 400
+    assert {r["label"] for r in sample} == {0, 1}
+    out = privacy.with_spans(spotted, model := privacy.learn(spotted))
+    assert model.trees and model.thresholds
+    assert {r["spans"] == r["base"] for r in out.collect()} == {True}
+
+
 def test_overlapping_spans_are_redacted_once(spark):
     spans = "array(struct(0 as kind, 2 as start, 5 as end), struct(1 as kind, 4 as start, 8 as end), struct(3 as kind, 9 as start, 10 as end))"
     row = spark.range(1).selectExpr("'é1234567890' AS text", f"cast({spans} as {privacy.SPAN}) AS spans")
