@@ -3,8 +3,9 @@
 The rules give the base spans. Looser patterns propose further, overlapping spans; boosted
 trees score each by its format and its surroundings, and a proposal becomes a span
 where its score reaches the threshold at which held-out proposals of its kind were nearly
-always right. The trees learn from the base spans: a proposal that touches one of its
-kind is a positive example. Only DataFrame and SQL functions touch the texts; the trees
+always right, those beside the base spans above all. A proposal is a positive example if it is a
+base span, or if its canonical form, without disguises and odd separators, is one of its kind by
+itself or by a word before it. Only DataFrame and SQL functions touch the texts; the trees
 are written out as one expression.
 """
 
@@ -40,10 +41,21 @@ PROPOSALS = (
 )
 # What a text must have for a kind to occur in it; cheap to look for.
 _NEEDS = (r"[@]|[(\[]at[)\]]", r"[0-9A-Fa-f][.:][0-9A-Fa-f]", r"[0-9]", r"[0-9]")
-HINTS = r"(?i)(?:tel|phone|call|fax|fon|ip|host|server|card|visa|mail|contact)[^0-9@]{0,12}$"
+# What a proposal's canonical form has to be, and the words that stand before one of its kind.
+_DOMAIN = r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+FORMS = (
+    rf"^[A-Za-z0-9._%+-]+{_DOMAIN}$",
+    r"^(?=.*[0-9A-Fa-f]{3})[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}$",
+    r"^(?:[0-9]{12,19}|[0-9]{4}([\x20./-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([\x20./-])[0-9]{6}\2[0-9]{4,5})$",
+    r"^(?:\+.*|00[1-9][0-9]{0,2}[\x20./(-].*|\([0-9]{2,5}\)[\x20./-]?[0-9]{2,}(?:[\x20./-][0-9]{2,})*"
+    r"|(?:1[\x20.-])?[0-9]{3}([\x20.-])[0-9]{3}\1[0-9]{4}|0[1-9][0-9]{1,4}[\x20/-][0-9]{2,}(?:[\x20/-][0-9]{2,})*)$",
+)
+_DATE = r"(?<![0-9])(?:[0-9]{4}[./-][0-9]{1,2}[./-][0-9]{1,2}|[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4})(?![0-9])"
+_WORDS = ("mail|contact|write", "ip|ipv4|ipv6|host|server|address", "card|visa|mastercard|amex", "tel|telephone|phone|mobile|call|fax|fon")
+HINTS = tuple(rf"(?i)(?<!\p{{L}})(?:{words})(?!\p{{L}})[^0-9@]{{0,12}}$" for words in _WORDS)
 CONTEXT = 20
 FEATURES = (
-    "length digits letters signs groups plus at luhn bytes distinct before after hint kind_email kind_ip kind_card"
+    "length digits letters signs groups plus at luhn bytes distinct before after hint form bounded kind_email kind_ip kind_card"
 ).split()
 SAMPLE, TREES, DEPTH, PRECISION, SUPPORT, BINS = 20_000, 10, 4, 0.99, 20, 50
 
@@ -103,11 +115,32 @@ def _sort_of(c: Column) -> Column:
     )
 
 
+def _of_kind(kind: Column, values) -> Column:
+    """The value of the kind."""
+    return reduce(lambda rest, k: F.when(kind == k, values[k]).otherwise(rest), range(len(values) - 1), values[-1])
+
+
+def _form(x: Column) -> Column:
+    """2 where a proposal's canonical form is one of its kind, 1 where only a word before it can tell, else 0."""
+    span = x["text"]
+    plain = F.regexp_replace(F.regexp_replace(span, r"\x20?[(\[]at[)\]]\x20?", "@"), r"\x20?[(\[]dot[)\]]\x20?", ".")
+    digits, sums = F.length(_digits(span)), _valid(2, span)
+    number = _valid(3, span) & ~span.rlike(_DATE)
+    return _of_kind(x["kind"], (
+        F.when(plain.rlike(FORMS[0]), 2).otherwise(0),
+        F.when(_valid(1, span) | span.rlike(FORMS[1]), 2).when(
+            span.rlike("^[^.]+$") & (_valid(1, F.translate(span, ":", ".")) | (F.size(F.split(span, ":")) == 8)), 1).otherwise(0),
+        F.when(digits.between(13, 19) & span.rlike(FORMS[2]) & sums, 2).when(sums, 1).otherwise(0),
+        F.when(number & span.rlike(FORMS[3]), 2).when(number & span.rlike(r"^[0-9(]"), 1).otherwise(0),
+    ))
+
+
 def _features(text: Column, x: Column) -> Column:
     """Format of a proposal and what stands around it."""
     span, digits = x["text"], _digits(x["text"])
     near = F.greatest(x["start"] - CONTEXT, F.lit(0))
     before = F.substring(text, near + 1, x["start"] - near)
+    after = F.substring(text, x["end"] + 1, F.lit(2))
     values = (
         F.length(span),
         F.length(digits),
@@ -120,8 +153,10 @@ def _features(text: Column, x: Column) -> Column:
         _valid(1, span).cast("int"),
         F.size(F.array_distinct(F.split(digits, ""))),
         _sort_of(F.right(before, F.lit(1))),
-        _sort_of(F.substring(text, x["end"] + 1, F.lit(1))),
-        before.rlike(HINTS).cast("int"),
+        _sort_of(F.left(after, F.lit(1))),
+        _of_kind(x["kind"], [before.rlike(h) for h in HINTS]).cast("int"),
+        _form(x),
+        (~before.rlike(r"[\p{L}0-9]$|[0-9A-Fa-f][.:/-]$") & ~after.rlike(r"^(?:[\p{L}0-9]|[.:/-][0-9A-Fa-f])")).cast("int"),
         *((x["kind"] == k).cast("int") for k in range(3)),
     )
     return F.array(*(v.cast("double") for v in values))
@@ -142,15 +177,18 @@ def spotted(docs: DataFrame, text_col="text") -> DataFrame:
 
     def described(x: Column) -> Column:
         touches = F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-        alike = F.exists(
-            "base", lambda b: (b["kind"] == x["kind"]) & (b["start"] < x["end"]) & (x["start"] < b["end"])
-        )
+        same = F.exists("base", lambda b: (b["kind"] == x["kind"]) & (b["start"] == x["start"]) & (b["end"] == x["end"]))
         return F.struct(
             x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), touches.alias("touches"),
-            alike.cast("int").alias("label"), _features(text, x).alias("features"),
+            same.alias("same"), _features(text, x).alias("features"),
         )
 
-    return out.withColumn("proposed", F.transform("_p", described)).drop("_p")
+    def labelled(x: Column) -> Column:
+        hint, form, bounded = (x["features"][FEATURES.index(f)] for f in ("hint", "form", "bounded"))
+        meant = (bounded == 1) & ((form == 2) | (form == 1) & (hint == 1))
+        return x.withField("label", (x["same"] | meant).cast("int")).dropFields("same")
+
+    return out.withColumn("proposed", F.transform(F.transform("_p", described), labelled)).drop("_p")
 
 
 def _tree(node, features: Column) -> Column:
@@ -202,8 +240,10 @@ def learn(rows: DataFrame) -> Model:
     """Trees and thresholds from spotted rows.
 
     Trees are fitted on about `SAMPLE` proposals, drawn one by one; the thresholds
-    are set on all proposals that a second hash holds out. Without both classes, or
-    where no threshold of a kind reaches `PRECISION` with `SUPPORT` right ones, nothing is added.
+    are set on all proposals that a second hash holds out. Those that touch no base span, to which
+    alone a threshold is applied, must reach `PRECISION`; if fewer than `SUPPORT` of them are right, the
+    others count for the support and must reach it too. Without both classes, or where no
+    threshold of a kind does, nothing is added.
     """
     examples = _examples(rows)
     chosen = _sampled(examples.where("fold != 0")).select(
@@ -216,12 +256,16 @@ def learn(rows: DataFrame) -> Model:
     trees = GBTClassifier(labelCol="label", featuresCol="x", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, seed=5).fit(table)
     model = Model(trees._java_obj.trees(), trees.treeWeights)
     scored = examples.where("fold = 0").withColumn("bin", F.floor(model.score(F.col("features")) * BINS).cast("int"))
-    counts = scored.groupBy("kind", "bin").agg(F.count("*").alias("n"), F.sum("label").alias("right")).collect()
+    sums = [F.count("*").alias("n"), F.sum("label").alias("right")]
+    sums += [F.sum(v * (~F.col("touches")).cast("int")).alias(k) for k, v in (("n_own", F.lit(1)), ("right_own", F.col("label")))]
+    counts = scored.groupBy("kind", "bin").agg(*sums).collect()
     for kind in range(len(KINDS)):
-        right = total = 0
+        n, right, n_own, right_own = 0, 0, 0, 0
         for row in sorted((r for r in counts if r["kind"] == kind), key=lambda r: -r["bin"]):
-            right, total = right + row["right"], total + row["n"]
-            if right >= SUPPORT and right >= PRECISION * total:
+            n, right = n + row["n"], right + row["right"]
+            n_own, right_own = n_own + row["n_own"], right_own + row["right_own"]
+            known = right_own >= SUPPORT or right >= SUPPORT and right >= PRECISION * n
+            if known and right_own >= PRECISION * n_own:
                 model.thresholds[kind] = row["bin"] / BINS
     return model
 

@@ -296,6 +296,39 @@ def test_proposals_of_one_form_are_drawn_one_by_one(spark, monkeypatch):
     assert {r["spans"] == r["base"] for r in out.collect()} == {True}
 
 
+def card(rng, sep):
+    head = "4" + "".join(rng.choice("0123456789") for _ in range(14))
+    digits = next(head + c for c in "0123456789" if luhn(head + c))
+    return sep.join(digits[k : k + 4] for k in range(0, 16, 4))
+
+
+def test_disguised_forms_are_added_to_the_rules(spark):
+    rng = random.Random(8)
+    number = lambda k: "".join(rng.choice("123456789") for _ in range(k))
+    group = lambda: f"{rng.randrange(16**3, 16**4):x}"
+    hidden = {
+        "email": lambda: f"j{number(3)} (at) example{number(2)} (dot) com",
+        "ip": lambda: ":".join(group() for _ in range(8)),
+        "card": lambda: card(rng, "."),
+        "phone": lambda: f"({number(3)}) {number(3)}-{number(4)}",
+    }
+    plain = [f"mail j{number(3)}@example.com", f"ip 10.{rng.randrange(256)}.0.1", f"pay {card(rng, ' ')} now", f"call +1 {number(3)} {number(4)} {number(3)}"]
+    other = [
+        lambda: f"look (at) that{number(2)} now", lambda: f"at {rng.randrange(24)}:{rng.randrange(60)}:{rng.randrange(60)}:{rng.randrange(25)} h",
+        lambda: f"on 2024-0{rng.randrange(1, 9)}-1{rng.randrange(9)} 10 30 we", lambda: f"sum {number(2)}.{number(5)} {number(5)} and", lambda: f"order {number(10)} sent",
+    ]
+    rows = [(kind, f"so {make()} is") for kind, make in hidden.items() for _ in range(300)]
+    rows += [(None, text) for text in plain for _ in range(50)] + [(None, make()) for make in other for _ in range(200)]
+    table = spark.createDataFrame([(i, kind, text) for i, (kind, text) in enumerate(rows)], "doc_id long, hides string, text string")
+    spotted = privacy.spotted(table)
+    out = privacy.with_spans(spotted, privacy.learn(spotted)).withColumn("new", privacy.redacted(F.col("text"), "spans"))
+    for r in out.collect():
+        if r["hides"]:
+            assert not r["base"] and r["new"] == f"so <{r['hides']}> is", r["text"]
+        else:
+            assert r["spans"] == r["base"], r["text"]
+
+
 def test_overlapping_spans_are_redacted_once(spark):
     spans = "array(struct(0 as kind, 2 as start, 5 as end), struct(1 as kind, 4 as start, 8 as end), struct(3 as kind, 9 as start, 10 as end))"
     row = spark.range(1).selectExpr("'é1234567890' AS text", f"cast({spans} as {privacy.SPAN}) AS spans")
