@@ -4,6 +4,8 @@ Suffixes are sorted by merging Burrows-Wheeler transforms. Documents are first c
 their content says so: every string of the asked length has one smallest hash among
 its short grams, so equal strings are cut around the same gram (its anchor). Only fragments
 whose anchor occurs in two documents can hold a repeated string; they are sent to the bucket of their anchor.
+Fragments of an anchor that very many have are cut into their strings first, and each string is sent
+to the bucket of its own hash, where equal ones meet as well.
 There each pack of documents is a shard with a Burrows-Wheeler transform of its new fragments,
 and the transforms are merged by refining how their entries interleave: each round sorts the
 entries stably by the symbols before them, which extends the known common prefix by
@@ -29,9 +31,11 @@ from casewatch.session import shared_dir, stage
 
 GRAM, MOST_STRINGS = 16, 100
 PACK_BYTES = 4 << 20
+HOT = 10_000  # fragments of one anchor, each counted once in a pack, beyond which they are cut into strings
 LAST = (1 << 63) - 1  # stands for a null id, which comes after all others
 PACKS = "pack long, doc_ids binary, known binary, sizes binary, data binary"
-BLOBS = "bucket int, pack long, hashes binary"
+BLOBS = "bucket int, pack long, hashes binary, numbers binary"
+ANSWERS = "bucket int, pack long, hashes binary, hot binary"
 FRAGMENTS = "bucket int, pack long, lengths binary, firsts binary, data binary"
 REPLIES = "bucket int, pack long, runs binary, firsts binary"
 REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -99,6 +103,18 @@ class Pack:
         ends = self.end + length - 1
         self.content = mix((sums[ends] - sums[self.first]) * powers(n + 1, inverse=True)[self.first])
 
+    def split(self, mask: np.ndarray, length: int) -> None:
+        """Make fragments of one string out of those of a mask; their content stands for the anchor."""
+        if not mask.any():
+            return
+        strings = (self.end - self.first)[mask]
+        first, doc = ragged(self.first[mask], strings), np.repeat(self.doc[mask], strings)
+        content = self.texts.hashes(first, first + length)
+        self.keep(~mask)
+        new = {"first": first, "end": first + 1, "doc": doc, "anchor": content, "content": content}
+        for name, values in new.items():
+            setattr(self, name, np.concatenate([getattr(self, name), values]))
+
     def keep(self, mask: np.ndarray) -> None:
         for name in ("first", "end", "doc", "anchor", "content"):
             setattr(self, name, getattr(self, name)[mask])
@@ -122,33 +138,48 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 def _anchors(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Distinct anchors of a pack per bucket; twice those that several of its documents have."""
+    """Distinct anchors of a pack per bucket, with their numbers of distinct fragments.
+
+    Those that several of its documents have come twice, then with the number 0.
+    """
     for row in _rows(batches):
         pack = Pack(row, length)
         order = np.lexsort((pack.ids[pack.doc], pack.anchor))
         anchor, owner = pack.anchor[order], pack.ids[pack.doc[order]]
         same = anchor[1:] == anchor[:-1]
         several = np.unique(anchor[1:][same & (owner[1:] != owner[:-1])])
-        values = np.concatenate([np.unique(anchor), several])
-        values = values[np.lexsort((values, _by_bucket(values, buckets)))]
-        rows = [[b, row["pack"], values[i:j]] for b, i, j in _groups(_by_bucket(values, buckets))]
+        order = np.lexsort((pack.content, pack.anchor))
+        new = np.ones(len(order), bool)
+        new[1:] = (pack.content[order][1:] != pack.content[order][:-1]) | (pack.anchor[order][1:] != pack.anchor[order][:-1])
+        distinct, numbers = np.unique(pack.anchor[order[new]], return_counts=True)
+        values = np.concatenate([distinct, several])
+        numbers = np.concatenate([np.minimum(numbers, 65535), np.zeros(len(several), np.int64)]).astype(np.uint16)
+        order = np.lexsort((values, _by_bucket(values, buckets)))
+        values, numbers = values[order], numbers[order]
+        rows = [[b, row["pack"], values[i:j], numbers[i:j]] for b, i, j in _groups(_by_bucket(values, buckets))]
         if rows:
-            yield _batch(rows, ("bucket", "pack", "hashes"))
+            yield _batch(rows, ("bucket", "pack", "hashes", "numbers"))
 
 
-def _repeated(table: pa.Table) -> pa.Table:
-    """For each pack, which of its anchors in this bucket two documents have.
+def _repeated(table: pa.Table, most: int) -> pa.Table:
+    """For each pack, which of its anchors in this bucket two documents have, and which of these are hot.
 
     Two documents in one pack are known by the repeated entry; an id is one document, so
     rows of one id in two packs are only proposed here and told apart later.
     """
     blobs = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
-    values, counts = np.unique(np.concatenate(blobs), return_counts=True)
-    twice = values[counts > 1]
+    numbers = np.concatenate([np.frombuffer(x, np.uint16) for x in table.column("numbers").to_pylist()])
+    values, which, counts = np.unique(np.concatenate(blobs), return_inverse=True, return_counts=True)
+    twice, hot = values[counts > 1], values[(counts > 1) & (np.bincount(which, numbers) > most)]
     replies = [np.unique(b[_member(b, twice)]) for b in blobs]
     return pa.table(
-        [table.column("bucket"), table.column("pack"), pa.array([r.tobytes() for r in replies], pa.binary())],
-        names=["bucket", "pack", "hashes"],
+        [
+            table.column("bucket"),
+            table.column("pack"),
+            pa.array([r.tobytes() for r in replies], pa.binary()),
+            pa.array([r[_member(r, hot)].tobytes() for r in replies], pa.binary()),
+        ],
+        names=["bucket", "pack", "hashes", "hot"],
     )
 
 
@@ -160,10 +191,11 @@ def _member(values: np.ndarray, members: np.ndarray) -> np.ndarray:
     return members[place] == values
 
 
-def _candidates(pack: Pack, replies: list[bytes]) -> None:
-    """Keep the fragments whose anchor is repeated, in the order of their blobs' content."""
-    wanted = np.sort(np.concatenate([np.frombuffer(r, np.uint64) for r in replies] or [np.empty(0, np.uint64)]))
+def _candidates(pack: Pack, replies: list[bytes], hot: list[bytes], length: int) -> None:
+    """Keep the fragments whose anchor is repeated, those of a hot one as strings."""
+    wanted, hot = (np.sort(np.concatenate([np.frombuffer(r, np.uint64) for r in x] or [np.empty(0, np.uint64)])) for x in (replies, hot))
     pack.keep(_member(pack.anchor, wanted))
+    pack.split(_member(pack.anchor, hot), length)
 
 
 def _fragment_order(pack: Pack, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -182,7 +214,7 @@ def _fragments(batches: Iterator[pa.RecordBatch], length: int, buckets: int) ->
     """Distinct candidate fragments of a pack per bucket, with the smallest document that has each."""
     for row in _rows(batches):
         pack = Pack(row, length)
-        _candidates(pack, row["replies"])
+        _candidates(pack, row["replies"], row["hot"], length)
         chosen, _ = _fragment_order(pack, buckets)
         size = pack.end[chosen] - pack.first[chosen] + length - 1
         rows = []
@@ -315,7 +347,7 @@ def _merge(table: pa.Table, length: int) -> pa.Table:
 def _remove(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
     for row in _rows(batches):
         pack = Pack(row, length)
-        _candidates(pack, row["replies"] or [])
+        _candidates(pack, row["replies"] or [], row["hot"] or [], length)
         data, offsets = pack.texts.data, pack.texts.offsets
         cover = np.zeros(len(data) + 1, np.int32)
         if len(pack.first):
@@ -364,8 +396,14 @@ def without_repeats(docs: DataFrame, length: int = 50, id_col="doc_id", text_col
     packs = spark.table(name)
 
     blobs = packs.mapInArrow(partial(_anchors, length=length, buckets=buckets), BLOBS)
-    repeated = blobs.groupBy("bucket").applyInArrow(_repeated, BLOBS)
-    replies = stage(repeated.groupBy("pack").agg(F.collect_list("hashes").alias("replies")))
+    most = HOT
+
+    def repeat(table: pa.Table) -> pa.Table:
+        return _repeated(table, most)
+
+    repeated = blobs.groupBy("bucket").applyInArrow(repeat, ANSWERS)
+    lists = [F.collect_list("hashes").alias("replies"), F.collect_list("hot").alias("hot")]
+    replies = stage(repeated.groupBy("pack").agg(*lists))
     asked = packs.join(replies, "pack")
     cut = asked.mapInArrow(partial(_fragments, length=length, buckets=buckets), FRAGMENTS)
 

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
@@ -466,6 +467,52 @@ def test_repeated_passages_go(spark, docs, empty, monkeypatch):
     assert substrings.without_repeats(empty).count() == 0
 
 
+def hot_texts(rng, n):
+    passage = "".join(rng.choice("abcd ") for _ in range(200))
+    noise = lambda: "".join(rng.choice("efghijkl") for _ in range(60))
+    return [noise() + passage + noise() for _ in range(n)]
+
+
+def test_hot_passages_are_met_by_strings(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT", 20)
+    rng = random.Random(15)
+    texts = hot_texts(rng, 80) + [words(rng, 30) for _ in range(40)]
+    texts += [t[40:] for t in texts[:30]] + ["ab" * 200, "b" + "ab" * 90] * 15
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = substrings.without_repeats(table).withColumn("kept", F.sha2("kept", 256)).collect()
+    assert Counter(map(tuple, got)) == plain_removal(collected(table))
+
+
+def test_no_bucket_holds_the_edges_of_a_hot_passage():
+    texts, buckets, packs = hot_texts(random.Random(16), 400), 64, []
+    for k in range(4):
+        own = [t.encode() for t in texts[k::4]]
+        ids, sizes = np.arange(k, 400, 4), np.array([len(t) for t in own])
+        packs.append({"pack": k, "doc_ids": ids.tobytes(), "known": b"\1" * 100, "sizes": sizes.tobytes(), "data": b"".join(own)})
+    asked = [pa.RecordBatch.from_pylist([p]) for p in packs]
+    blobs = pa.Table.from_batches(list(substrings._anchors(iter(asked), 50, buckets)))
+
+    def largest(**most):
+        answers = defaultdict(lambda: {"replies": [], "hot": []})
+        for b in set(blobs.column("bucket").to_pylist()):
+            part = blobs.filter(pa.compute.equal(blobs.column("bucket"), b))
+            for r in substrings._repeated(part, **most).to_pylist():
+                answers[r["pack"]]["replies"].append(r["hashes"])
+                answers[r["pack"]]["hot"].append(r.get("hot", b""))
+        sent = [pa.RecordBatch.from_pylist([p | answers[p["pack"]]]) for p in packs]
+        fragments, total = Counter(), 0
+        for batch in substrings._fragments(iter(sent), 50, buckets):
+            for r in batch.to_pylist():
+                fragments[r["bucket"]] += len(r["lengths"])
+                total += len(r["lengths"])
+        return max(fragments.values()), total
+
+    most, total = largest(most=10**9)
+    assert most >= 400
+    most, total = largest(most=100)
+    assert most < 3 * total / buckets
+
+
 def test_merged_transforms_sort_all_suffixes():
     rng = np.random.default_rng(3)
     texts = [np.concatenate([rng.integers(97, 100, n).astype(np.uint8), [0]]).astype(np.uint8) for n in (40, 1, 77, 20)]
