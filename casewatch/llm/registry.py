@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewatch.llm import languages, mixing, neardup, packing, privacy, quality, records, substrings, topk, toxicity
+from casewatch.llm import (
+    codes, languages, licenses, mixing, neardup, negatives, packing, privacy, quality, records, substrings, topk, toxicity,
+)
 from casewatch.llm.tokens import default_path
 from casewatch.llm.vectors import held_out
 from casewatch.session import stage
@@ -116,3 +120,103 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without strings of fifty bytes that an earlier one has."""
     left = substrings.without_repeats(table(spark, sf_dir, "documents"), length=50)
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("""with rows as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+  list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+  where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+pairs as (select a.vec_id as anchor_id, c.vec_id, a.label = c.label as positive,
+  list_inner_product(a.v, c.v)::bigint as score
+  from rows a join rows c on a.vec_id % 50 = 0 and a.vec_id <> c.vec_id),
+positives as (select anchor_id, vec_id as positive_id, score as positive_score from pairs where positive
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id,
+  row_number() over (partition by anchor_id, positive_id order by score desc, vec_id)::int as rank,
+  vec_id as negative_id, positive_score, score as negative_score
+from positives join (select * from pairs where not positive) using (anchor_id)
+where 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+qualify row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) <= 3""")
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negatives of every fiftieth vector, with every seventh vector under another label."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return negatives.hard_negatives(vectors, F.col("vec_id") % 50 == 0, positives=5, negatives=3, low=50, high=95)
+
+
+def _codes_sql(rounds: int) -> str:
+    """Rounds of assignment and means in plain SQL; distances of whole numbers are exact in a double."""
+    square = "list_inner_product(p, p)"
+    steps = ["""rows as (select row_number() over (order by vec_id) as r, vec_id, label,
+  list_transform(embedding, lambda x: floor(1024 * x::double)) as v from embeddings where embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+parts as materialized (select r, part, v[part * len(v) // 4 + 1 : (part + 1) * len(v) // 4] as p
+  from rows, (select unnest([0, 1, 2, 3]) as part)),
+book0 as materialized (select part, r - 1 as entry, p from parts where r <= 256)"""]
+    for i in range(rounds + 1):
+        steps.append(f"""near{i} as materialized (select r, part, any_value(parts.p) as p,
+  min(({square.replace('p, p', 'parts.p, parts.p')} + {square.replace('p, p', 'b.p, b.p')}
+    - 2 * list_inner_product(parts.p, b.p))::bigint * 256 + entry) as best
+  from parts join book{i} b using (part) group by r, part)""")
+        if i < rounds:
+            steps.append(f"""book{i + 1} as materialized (select part, entry, coalesce(m.p, b.p) as p from book{i} b left join (
+  select part, entry, list(x order by step) as p from (
+    select part, best % 256 as entry, step, floor(sum(p[step]) / count(*)) as x
+    from near{i}, (select unnest(generate_series(1, (select max(len(p)) from parts))) as step) group by 1, 2, 3)
+  group by 1, 2) m using (part, entry))""")
+    return f"""with {", ".join(steps)},
+coded as (select vec_id, label, string_agg(printf('%02x', best % 256), '' order by part) as code,
+  sum(best // 256)::bigint as error from near{rounds} join rows using (r) group by r, vec_id, label),
+book as (select sha256(string_agg(x, ',' order by part, entry)) as codebooks_sha256 from (
+  select part, entry, array_to_string(list_transform(p, lambda x: x::bigint), ',') as x from book{rounds}))
+select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, codebooks_sha256
+from coded, book"""
+
+
+@query(_codes_sql(rounds=4))
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors by four codebooks of 256 entries, after four rounds."""
+    coded, books = codes.vector_codes(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024.0)
+    digest = hashlib.sha256(",".join(map(str, books.ravel().tolist())).encode()).hexdigest()
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
+def _licenses_sql(percent: int) -> str:
+    """Phrases place by place, and every block of every notice against its words."""
+    phrases = " or ".join(
+        f"(label = '{label}' and " + " and ".join(f"words[i + {k}] = '{w}'" for k, w in enumerate(licenses.words_of(text), 1)) + ")"
+        for text, label in licenses.PHRASES
+    )
+    bases = ", ".join(f"('{label}')" for _, label in licenses.PHRASES)
+    notices = ", ".join(
+        f"({at}, '{t.label}', {t.stride}, {t.need}, {len(t.tokens)}, [{', '.join(repr(w) for w in t.tokens)}])"
+        for at, t in enumerate(licenses.templates(licenses.NOTICES, percent, {}))
+    )
+    upper, lower = string.ascii_uppercase, string.ascii_lowercase
+    return f"""with docs as (select doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as words
+  from documents),
+notices(notice, label, stride, need, n, tokens) as (values {notices}),
+bases(label) as (values {bases}),
+places as (select doc_id, label, i from (select doc_id, words, unnest(range(len(words))) as i from docs), bases where {phrases}),
+base as (select doc_id, count(*) as n_base, min(i) as first_word, max(i) as last_word,
+  string_agg(distinct label, ',' order by label) as base_labels from places group by doc_id),
+tokens as (select notice, label, stride, need, n, unnest(tokens) as w from notices),
+hits as (select doc_id, unnest(words) as w, unnest(range(len(words))) as i from docs),
+blocks as (select doc_id, label, count(distinct w) / n as share
+  from hits join tokens using (w), (select unnest([0, 1]) as back) where i // stride >= back
+  group by doc_id, notice, label, need, n, i // stride - back having count(distinct w) >= need),
+best as (select doc_id, max(share) as share from blocks group by doc_id),
+all_labels as (select doc_id, string_agg(distinct label, ',' order by label) as labels
+  from (select doc_id, label from places union all select doc_id, label from blocks) group by doc_id)
+select doc_id, len(words)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base,
+  first_word::bigint as first_word, last_word::bigint as last_word,
+  coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels,
+  case when n_base > 0 then 1e0 else coalesce(share, 0e0) end as score
+from docs left join base using (doc_id) left join best using (doc_id) left join all_labels using (doc_id)"""
+
+
+@query(_licenses_sql(percent=80))
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every document."""
+    return licenses.license_scan(table(spark, sf_dir, "documents"), percent=80)
