@@ -60,7 +60,8 @@ NOTICES = (
 )
 # --- end of fixed values ---------------------------------------------------------
 
-NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # in lower case: all ASCII but letters and digits
+# In lower case: all ASCII but letters and digits. One by one, as a class of single signs is matched by one look-up.
+NO_WORD = "[" + "".join(f"\\x{c:02X}" for c in range(0x80) if chr(c) not in string.ascii_lowercase + string.digits) + "]+"
 
 
 @dataclass(frozen=True)
@@ -96,38 +97,45 @@ def templates(notices, percent: int, count: dict[str, int]) -> list[Template]:
 
 
 def _words(text: Column) -> Column:
-    """Words in order: ASCII letters in lower case, other letters as they are."""
-    lower = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    """Words in order, in lower case."""
+    # the one sign beyond ASCII with a lower-case form in ASCII, the Kelvin sign, stays beyond it
+    lower = F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u00e9")))
     return F.filter(F.split(lower, NO_WORD), lambda w: w != "")
 
 
-def scanned(docs: DataFrame, vocabulary: list[str], size: int, id_col: str, text_col: str) -> DataFrame:
-    """Per row its number of words and, per segment of `size` words, the places of words that matter."""
+def word_counts(docs: DataFrame, vocabulary: list[str], text_col: str) -> dict[str, int]:
+    """How often each word of the vocabulary occurs in all texts."""
+    words = F.filter(_words(F.col(text_col)), lambda w: w.isin(vocabulary))
+    counted = docs.select(F.explode(words).alias("w")).groupBy("w").count().collect()
+    return {r["w"]: r["count"] for r in counted}
+
+
+def scanned(docs: DataFrame, vocabulary: list[str], rare: list[str], size: int, id_col: str, text_col: str) -> DataFrame:
+    """Per row its number of words and its segments: number `k` and the places of words that matter, `hits`.
+
+    A segment is `size` words and as many of the next one, so that every block that begins in it lies in it.
+    Those without a word of `rare` are left out.
+    """
     docs = docs.select(F.col(id_col).alias("doc_id"), _words(F.col(text_col)).alias("words"))
     starts = F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(size))
 
+    def both(start: Column) -> Column:
+        return F.slice("words", start + 1, 2 * size)
+
     def segment(start: Column) -> Column:
-        placed = F.transform(
-            F.slice("words", start + 1, size), lambda w, j: F.struct((start + j).alias("i"), w.alias("w"))
+        hits = F.transform(
+            both(start), lambda w, j: F.when(w.isin(vocabulary), F.struct((start + j).alias("i"), w.alias("w")))
         )
-        return F.filter(placed, lambda hit: hit["w"].isin(vocabulary))
+        return F.struct(F.floor(start / size).cast("int").alias("k"), F.array_compact(hits).alias("hits"))
 
+    some = F.filter(starts, lambda start: F.exists(both(start), lambda w: w.isin(rare)))
+    segments = F.transform(some, segment)
     return docs.select(
         F.monotonically_increasing_id().alias("row"), "doc_id", F.size("words").cast("long").alias("n_words"),
-        F.transform(starts, segment).alias("segments"),
+        F.when(F.exists("words", lambda w: w.isin(rare)), segments).alias("segments"),
     )
 
 
-def with_next(rows: DataFrame) -> DataFrame:
-    """A row per segment: its number `k` and the places in it and in the next one, `hits`."""
-
-    def pair(segment: Column, k: Column) -> Column:
-        following = F.coalesce(F.get("segments", k + 1), F.filter(segment, lambda _: F.lit(False)))
-        return F.struct(k.alias("k"), F.concat(segment, following).alias("hits"))
-
-    return rows.select("row", "doc_id", "n_words", F.inline(F.transform("segments", pair)))
-
-
 def phrase_places(phrases, size: int) -> Column:
     """Places of phrases that begin in a segment: array of first word `i` and `bit` of the label."""
     bits = {label: 1 << at for at, label in enumerate(sorted({label for _, label in phrases}))}
@@ -207,31 +215,31 @@ def license_scan(
     else the greatest share of a notice that is found, else 0.
 
     A null or empty text has no words. Repeated rows, or rows without id, have a result each. Only the two
-    named columns are read. An empty table gives no rows. Stages the places of words and
-    acts at once; the driver sees one count per word of the templates.
+    named columns are read. An empty table gives no rows. Counts words and stages their
+    places at once; the driver sees one count per word of the templates.
     """
     vocabulary = sorted({w for text, _ in (*phrases, *notices) for w in words_of(text)})
     size = max(t.stride for t in templates([*phrases, *notices], percent, {}))
-    rows = stage(scanned(docs, vocabulary, size, id_col, text_col))
-    counted = rows.select(F.explode(F.flatten("segments"))).groupBy("col.w").count().collect()
-    count = {r["w"]: r["count"] for r in counted}
-    segments = with_next(rows)
+    count = word_counts(docs, vocabulary, text_col)
     known = templates(notices, percent, count)
     ranked = sorted({w for t in known for w in t.tokens}, key=lambda w: (count.get(w, 0), w))
+    # A phrase must have all its words, so its rarest one is its prefix.
+    rare = {w for t in known for w in t.prefix} | {t.tokens[0] for t in templates(phrases, 100, count)}
+    rows = stage(scanned(docs, vocabulary, sorted(rare), size, id_col, text_col))
+    segments = rows.select("row", F.inline("segments"))
     matches = template_matches(segments, known, ranked, size)
-    placed = segments.select("row", "doc_id", "n_words", phrase_places(phrases, size).alias("places"))
+    placed = segments.select("row", phrase_places(phrases, size).alias("places")).where(F.size("places") > 0)
     starts = F.transform("places", lambda p: p["i"])
     mask = F.aggregate("places", F.lit(0).cast("long"), lambda bits, p: bits.bitwiseOR(p["bit"]))
     base = placed.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max("n_words").alias("n_words"),
-        F.sum(F.size("places")).cast("long").alias("n_base"),
+        F.sum(F.size("places")).alias("places"),
         F.min(F.array_min(starts)).cast("long").alias("first_word"),
         F.max(F.array_max(starts)).cast("long").alias("last_word"),
         F.bit_or(mask).alias("mask"),
     )
-    whole = base.join(matches, "row", "left")
-    own = named(F.col("mask"), phrases)
+    whole = rows.drop("segments").join(base, "row", "left").join(matches, "row", "left")
+    whole = whole.withColumn("n_base", F.coalesce("places", F.lit(0)).cast("long"))
+    own = named(F.coalesce("mask", F.lit(0)), phrases)
     both = F.array_union(own, F.coalesce("matched", F.array().cast("array<string>")))
     return whole.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word",

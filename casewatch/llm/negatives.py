@@ -172,7 +172,9 @@ class Windows:
         known = [(i, p, s) for i, pair in enumerate(zip(anchors.p_ids, anchors.p_scores)) for p, s in zip(*map(_or_none, pair))]
         self.row, self.id, self.score = np.array(known, np.int64).reshape(-1, 3).T
         self.first = First(len(self.row), negatives)
-        self.low, self.high = low * self.score, high * self.score
+        exact = self.score.tolist()
+        self.low = np.array([-(-low * p // 100) for p in exact], np.int64)
+        self.high = np.array([high * p // 100 for p in exact], np.int64)
 
 
 def _or_none(values) -> list:
@@ -184,13 +186,13 @@ def _window_scores(batches, width: int, slots: int, low: int, high: int, negativ
 
     def step(anchors, windows, others, scores):
         other = ~_same_label(anchors, others) & (anchors.id[:, None] != others.id)
-        hundredfold = np.where(other, scores * 100, LEAST)
+        scores = np.where(other, scores, LEAST)
         for at in range(0, len(windows.row), RUN):
             some = slice(at, at + RUN)
-            seen = hundredfold[windows.row[some]]
-            floor = np.maximum(windows.low[some], np.maximum(windows.first.least[some], -(-LEAST // 100)) * 100)
+            seen = scores[windows.row[some]]
+            floor = np.maximum(windows.low[some], windows.first.least[some])
             row, column = np.nonzero((seen >= floor[:, None]) & (seen <= windows.high[some, None]) & (seen != LEAST))
-            windows.first.offer(row + at, seen[row, column] // 100, others.id[column])
+            windows.first.offer(row + at, seen[row, column], others.id[column])
 
     def end(anchors, windows, opens):
         if opens:  # one of an anchor's cells passes the positives on
