@@ -72,9 +72,7 @@ def variation_rate(df: DataFrame, as_of: date, s: CaseSchema = CASES) -> DataFra
     The ratio is rounded before it becomes a percentage, so the result is in
     whole percents. One pass counts both months; no comparison cases gives null.
     """
-    month = as_of.replace(day=1)
-    current = (D.months_before(month, 1), D.days_before(month, 1))
-    earlier = (D.months_before(month, 13), F.last_day(D.months_before(month, 13)))
+    current, earlier = compared_months(as_of)
     in_current, in_earlier = P.notified_in(s, *current), P.notified_in(s, *earlier)
     counts = df.filter(in_current | in_earlier).agg(
         F.count_if(in_current).alias("cases_current"),
@@ -83,6 +81,13 @@ def variation_rate(df: DataFrame, as_of: date, s: CaseSchema = CASES) -> DataFra
     return counts.withColumn("variation_rate", variation(F.col("cases_current"), F.col("cases_comparison")))
 
 
+def compared_months(as_of: date):
+    """First and last day of the last full month, and of the same month a year earlier."""
+    month = as_of.replace(day=1)
+    firsts = (D.months_before(month, 1), D.months_before(month, 13))
+    return [(first, F.last_day(first)) for first in firsts]
+
+
 def variation(current, comparison):
     """Change in percent of two counts, rounded to whole percents."""
     change = R.round_half_even(R.ratio(current - comparison, comparison))

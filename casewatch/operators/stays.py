@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from casewatch.contracts import BEDS, CASES, BedSchema, CaseSchema
 from casewatch.functions import dates as D, rates as R
@@ -105,27 +105,46 @@ def icu_occupancy_by_state(
     the newest month up to `as_of`, or the latest notification, counts. Rates stop at 100; a state without either side drops.
     """
     last = P.latest_notified(cases, s) if as_of is None else D.as_date(as_of)
-    first = D.month_start(last)
     stays = P.in_year(cases, [s.icu_in, s.icu_out], last)
-    patients = pivot_bed_class(stays_in_period(stays, first, last, s), s).toDF(
-        "state", "adult_patients", "pediatric_patients", "neonatal_patients"
-    )
+    patients = pivot_bed_class(stays_in_period(stays, D.month_start(last), last, s), s)
     known = beds.filter(F.col(b.month) <= last)  # an inventory of a later month was not known then
-    newest = known.filter(F.col(b.month) == P.latest(known, b.month)).select(
-        F.col(b.state).alias("state"),
-        F.col(b.sum_adult).alias("adult_beds"),
-        F.col(b.sum_pediatric).alias("pediatric_beds"),
-        F.col(b.sum_neonatal).alias("neonatal_beds"),
-    )
-    classes = ("adult", "pediatric", "neonatal")
+    newest = known.filter(F.col(b.month) == P.latest(known, b.month))
+    rows = patients.join(beds_by_class(newest, b), "state")
+    return rows.select(D.month_label(D.month_start(last)).alias("month"), "state", *occupancy_rates(s)).orderBy("state")
 
-    def rate(name):
-        return R.capped_percent(F.col(f"{name}_patients"), F.col(f"{name}_beds")).alias(f"{name}_rate")
 
-    total = [sum(F.col(f"{c}_{side}") for c in classes) for side in ("patients", "beds")]
-    return (
-        patients.join(newest, "state")
-        .withColumns({"total_patients": total[0], "total_beds": total[1]})
-        .select(D.month_label(first).alias("month"), "state", *map(rate, classes), rate("total"))
-        .orderBy("state")
+CLASSES = ("adult", "pediatric", "neonatal")
+
+
+def beds_by_class(beds: DataFrame, b: BedSchema = BEDS) -> DataFrame:
+    """State and beds of each class, under the names that `occupancy_rates` reads."""
+    sums = zip((b.sum_adult, b.sum_pediatric, b.sum_neonatal), CLASSES)
+    return beds.select(F.col(b.state).alias("state"), *[F.col(c).alias(f"{name}_beds") for c, name in sums])
+
+
+def occupancy_rates(s: CaseSchema = CASES) -> list[Column]:
+    """Patients per 100 beds of each class and of all, from one row per state with both."""
+    patients = {name: F.col(c) for c, name in zip((s.adult, s.pediatric, s.neonatal), CLASSES)}
+    beds = {name: F.col(f"{name}_beds") for name in CLASSES}
+    rates = [R.capped_percent(patients[c], beds[c]).alias(f"{c}_rate") for c in CLASSES]
+    return [*rates, R.capped_percent(sum(patients.values()), sum(beds.values())).alias("total_rate")]
+
+
+def stays_of_last_month(cases: DataFrame, last: Column, s: CaseSchema = CASES) -> DataFrame:
+    """Stays of the month of `last` per state, in one pass.
+
+    `admitted` counts those that touch the month; `patients` and the bed classes those that touch
+    its days up to `last` and begin or end in its year, as `icu_occupancy_by_state` wants.
+    """
+    touching = lambda a, b: P.stays_overlapping(s.icu_in, s.icu_out, a, b)
+    last_day, first = F.col("_last"), D.month_start(F.col("_last"))
+    known = cases.withColumn("_last", D.as_date(last)).filter(touching(first, F.last_day(last_day)))
+    year = D.year_start(last_day)
+    of_year = [(F.col(c) >= year) & (F.col(c) < F.add_months(year, 12)) for c in (s.icu_in, s.icu_out)]
+    to_date = F.coalesce(touching(first, last_day) & (of_year[0] | of_year[1]), F.lit(False))
+    known = known.select(F.col(s.state).alias("state"), F.col(s.bed_class).alias("_class"), to_date.alias("_to_date"))
+    return known.groupBy("state").agg(
+        F.count("*").alias("admitted"),
+        F.count_if("_to_date").alias("patients"),
+        *[F.count_if(F.col("_to_date") & (F.col("_class") == c)).alias(c) for c in s.bed_classes],
     )

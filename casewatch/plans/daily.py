@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 from casewatch.contracts import BEDS, CASES, BedSchema, CaseSchema
 from casewatch.operators import quality
 from casewatch.operators.features import beds_per_state_month, case_features, with_month
-from casewatch.plans.report import report_context, report_metrics, report_series
+from casewatch.plans.report import report
 from casewatch.sources import snapshots as N, tables
 from casewatch.sources.delimited import read_with_contract, read_zipped_csv
 
@@ -100,4 +100,4 @@ def daily_report(
     """All values of a day's report, one row."""
     cases = tables.read_table(spark, names.case_features)
     beds = tables.read_table(spark, names.bed_features)
-    return report_context(report_metrics(cases, beds, as_of, s, b), report_series(cases, as_of, s))
+    return report(cases, beds, as_of, s, b)

@@ -36,3 +36,30 @@ def plan(df):
 
 def first_plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
+
+
+def scans(df, table):
+    """How many scans of a table a plan runs, after it has run; what is reused counts once."""
+    df.collect()
+    found, seen = [], set()
+
+    def visit(node):
+        name = node.getClass().getSimpleName()
+        if name.startswith("Reused"):
+            return
+        if name == "AdaptiveSparkPlanExec":
+            return visit(node.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return visit(node.plan())
+        if name in ("FileSourceScanExec", "BatchScanExec") and table in node.toString():
+            found.append(node.toString())
+        if name == "SubqueryExec":
+            if node.id() in seen:
+                return
+            seen.add(node.id())
+        for children in (node.children(), node.subqueries()):
+            for i in range(children.size()):
+                visit(children.apply(i))
+
+    visit(df._jdf.queryExecution().executedPlan())
+    return len(found)

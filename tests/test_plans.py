@@ -11,7 +11,7 @@ from casewatch.plans.registry import QUERIES
 from casewatch.operators import counts as N, filters as P, quality as Q, stays as S, upsert as U
 from casewatch.sources import tables as B
 from casewatch.plans import report as Rep
-from tests.helpers import cases, first_plan, plan, rows
+from tests.helpers import cases, first_plan, plan, rows, scans
 
 SF_DIR = "/root/testdata/sf0.001"
 AS_OF = "2025-06-30"
@@ -171,3 +171,23 @@ def test_month_partitions_are_pruned_by_every_period(spark, tmp_path):
         assert any("month" in f for f in filters)
     text = plan(N.cases_per_month(df, month, start="2025-02-10", s=s))
     assert "PartitionFilters: [isnotnull(month" in text
+
+
+def test_a_report_reads_the_cases_three_times_at_most(spark, tmp_path):
+    from datetime import date
+
+    from casewatch.operators.features import case_features
+
+    data = [
+        {"notified_on": f"2025-0{1 + i % 6}-1{i % 9}", "state": ("SP", "RJ", None)[i % 3], "icu_in": "2025-06-01", "age_value": i, "age_unit": 3}
+        for i in range(60)
+    ]
+    case_features(cases(spark, data)).write.parquet(f"{tmp_path}/cases_table")
+    beds = spark.createDataFrame([("SP", date(2025, 6, 1), 3, 2, 1)], "state string, month date, adult int, pediatric int, neonatal int")
+    beds = beds.toDF(Rep.BEDS.state, Rep.BEDS.month, Rep.BEDS.sum_adult, Rep.BEDS.sum_pediatric, Rep.BEDS.sum_neonatal)
+    beds.write.parquet(f"{tmp_path}/beds_table")
+    stored, beds = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("cases_table", "beds_table"))
+    for df in (Rep.report_metrics(stored, beds, date(2025, 6, 25)), Rep.report(stored, beds, date(2025, 6, 25))):
+        assert 0 < scans(df, "cases_table") <= 3 and scans(df, "beds_table") == 1
+    assert scans(Rep.report_series(stored, date(2025, 6, 25)), "cases_table") == 1
+    assert len(Rep.report(stored, beds, date(2025, 6, 25)).first().icu_occupancy) == 1
