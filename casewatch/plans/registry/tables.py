@@ -18,8 +18,8 @@ from casewatch.plans.fixtures import (
 )
 from casewatch.plans.registry import query
 from casewatch.session import shared_dir
-from casewatch.sources import delimited as C, snapshots as N, tables as T
-from casewatch.streaming.ingest import incremental_ingest, stream_delimited
+from casewatch.sources import changes, delimited as C, snapshots as N, tables as T
+from casewatch.streaming.ingest import incremental_ingest, stream_delimited, stream_lines
 
 # A batch of corrections to the orders of two statuses: urgent orders of any
 # status, the most urgent of them twice with a newer price.
@@ -256,9 +256,8 @@ def incremental_ingest_table(spark, sf_dir):
     return T.read_table(spark, name)
 
 
-@query(CSV_SQL)
-def read_files_of_other_orders(spark, sf_dir):
-    """Files of one folder whose columns stand in different orders, each bound by its own header."""
+def files_of_other_orders(spark, sf_dir) -> str:
+    """A folder of case files whose columns stand in two orders."""
     other = load_cases(spark, sf_dir).select("notified_on", "case_id", "icu_in", "icu_out", "outcome")
     half = F.col("case_id") % 2 == 0
     both = f"{shared_dir(spark)}/exports/{uuid.uuid4().hex}"
@@ -266,11 +265,50 @@ def read_files_of_other_orders(spark, sf_dir):
     options = {"sep": ";", "header": True, "dateFormat": "dd/MM/yyyy"}
     first.where(half).write.options(**options).csv(both)
     other.where(~half).write.mode("append").options(**options).csv(both)
-    contract = case_contract(CASES, ["case_id", "notified_on", "outcome", "icu_in", "icu_out"])
-    read = C.read_with_contract(spark, both, contract)
+    return both
+
+
+CASE_FILE = case_contract(CASES, ["case_id", "notified_on", "outcome", "icu_in", "icu_out"])
+
+
+@query(CSV_SQL)
+def read_files_of_other_orders(spark, sf_dir):
+    """Files of one folder whose columns stand in different orders, each bound by its own header."""
+    read = C.read_with_contract(spark, files_of_other_orders(spark, sf_dir), CASE_FILE)
     return text_dates(read.withColumn("case_id", F.col("case_id").cast("bigint")))
 
 
+@query(CSV_SQL)
+def stream_files_of_other_orders(spark, sf_dir):
+    """The same files streamed into a keyed table."""
+    name = fresh_name("streamed")
+    lines = stream_lines(spark, files_of_other_orders(spark, sf_dir))
+    incremental_ingest(lines, name, ["case_id"], bind=lambda batch: C.bind_lines(batch, CASE_FILE))
+    return text_dates(T.read_table(spark, name).withColumn("case_id", F.col("case_id").cast("bigint")))
+
+
+@query(f"""with {CASES_SQL}, {FEATURES_SQL} select case_id, cast(notified_on as varchar) as notified_on,
+is_death, cast(icu_days as int) as icu_days, age_years, bed_class from feats""")
+def features_of_changed_cases(spark, sf_dir):
+    """A feature table that follows the cases: built in full, then for those a later load changed."""
+    source, derived = fresh_name("cases"), fresh_name("features")
+    loaded = load_cases(spark, sf_dir)
+    early = F.when(F.col("case_id") % 3 != 0, F.col("outcome"))  # a third of the outcomes come later
+    T.write_table(loaded.filter("case_id % 5 <> 0").withColumn("outcome", early), source, partition_by=["outcome"])
+    columns = ["case_id", "notified_on", "is_death", "icu_days", "age_years", "bed_class"]
+
+    def features(cases):
+        return case_features(cases).select(*columns)
+
+    T.write_feature_table(features(T.read_table(spark, source)), derived, "case_id")
+    changes.begin(spark, source, ["case_id", "outcome"])
+    batch = loaded.filter("case_id % 3 = 0 or case_id % 5 = 0")
+    T.upsert_table(batch, source, ["case_id"], order_by=["notified_on"], before=lambda rows: changes.record(rows, source))
+    changed = changes.touched(T.read_table(spark, source), changes.pending(spark, source), ["case_id"], ["outcome"])
+    T.write_feature_table(features(changed), derived, "case_id")
+    return text_dates(T.read_table(spark, derived))
+
+
 @query(f"with {BEDS_SQL} select * from beds")
 def read_zipped_beds(spark, sf_dir):
     """Bed inventories out of one zip archive per month."""

@@ -11,6 +11,7 @@ from itertools import islice
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from casewatch.contracts import CASE_DATE_FORMAT
+from casewatch.session import stage
 
 UNPARSED = "n_unparsed"
 
@@ -62,16 +63,58 @@ def headers(spark: SparkSession, path, sep: str = ";", encoding: str = "UTF-8")
 
     A file of any length gives up its first line only: the rest of its first split is read past.
     """
-    lines = spark.read.option("encoding", encoding).csv(path, sep="\u0000", schema="line string", quote="")
-    start = F.col("_metadata.file_block_start") == 0
-    first = lines.select(F.col("_metadata.file_path").alias("file"), "line").filter(start)
+    lines = with_file(spark.read.options(**LINE_OPTIONS, encoding=encoding).schema("line string").csv(path))
     found: dict[tuple, list[str]] = {}
-    for row in first.groupBy("file").agg(F.first("line").alias("line")).collect():
-        names = next(csv.reader([row["line"].lstrip("\ufeff")], delimiter=sep))
-        found.setdefault(tuple(names), []).append(row["file"])
+    for row in first_lines(lines).collect():
+        found.setdefault(tuple(names_in(row["header"], sep)), []).append(row["file"])
     return {names: sorted(found[names]) for names in sorted(found)}
 
 
+# A line is read as the only cell of its row.
+LINE_OPTIONS = {"sep": "\u0000", "quote": "", "header": False}
+
+
+def with_file(lines: DataFrame) -> DataFrame:
+    """Lines with their file, and whether they are of its first split."""
+    start = (F.col("_metadata.file_block_start") == 0).alias("first")
+    return lines.select(F.col("_metadata.file_path").alias("file"), start, "line")
+
+
+def first_lines(lines: DataFrame) -> DataFrame:
+    """The first line of each file, `header`; of `lines` only first splits are looked at."""
+    return lines.filter("first").groupBy("file").agg(F.first("line").alias("header"))
+
+
+def names_in(header: str, sep: str) -> list[str]:
+    return next(csv.reader([header.lstrip("\ufeff")], delimiter=sep))
+
+
+def bind_lines(
+    lines: DataFrame, schema: T.StructType, sep: str = ";", date_format: str = CASE_DATE_FORMAT
+) -> DataFrame:
+    """Lines of many files, from `with_file`, as rows of a contract, each file by its own header.
+
+    All lines are read once, whatever the number of different headers; the driver sees those. A header that
+    lacks a column is an error. Cells do not span lines; a line equal to its file's header is one.
+    """
+    headers = stage(first_lines(lines))  # a row per file: its size decides how it is joined
+    rows = lines.join(headers, "file").filter(F.col("line") != F.col("header"))
+    bound = None
+    for header in sorted(r["header"] for r in headers.select("header").distinct().collect()):
+        names = names_in(header, sep)
+        missing = [f.name for f in schema.fields if f.name not in names]
+        if missing:
+            raise ValueError(f"columns missing in the file: {missing}")
+        text = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+        cells = F.from_csv("line", text.simpleString()[7:-1].replace(":", " "), {"sep": sep})
+        typed = [_typed(cells[f"c{names.index(f.name)}"], f.dataType, date_format).alias(f.name) for f in schema.fields]
+        here, row = F.col("header") == header, F.struct(*typed)
+        bound = F.when(here, row) if bound is None else bound.when(here, row)
+    if bound is None:
+        return lines.sparkSession.createDataFrame([], schema)
+    return rows.select(bound.alias("row")).select("row.*")
+
+
 def apply_contract(
     raw: DataFrame, schema: T.StructType, date_format: str = CASE_DATE_FORMAT, audit: bool = False
 ) -> DataFrame:

@@ -224,7 +224,7 @@ def write_feature_table(df: DataFrame, name: str, primary_key, partition_by=())
 
 def upsert_table(
     source: DataFrame, name: str, keys, order_by=(), on_duplicate: str = "latest",
-    partition_by=(),
+    partition_by=(), before=None,
 ) -> None:
     """Merge a batch into a catalog table by key; creates the table if absent.
 
@@ -232,11 +232,14 @@ def upsert_table(
     several times without being computed again, and its size is known when Spark
     chooses the joins. A partitioned table rewrites only the partitions the batch
     touches: those it writes to and those that hold an older version of one of its
-    keys. A rerun after a failure gives the same table.
+    keys. A rerun after a failure gives the same table. `before(rows)` is called with the
+    staged batch, one row per key, ahead of the merge.
     """
     keys = list(keys)
     folder = staging_folder(source.sparkSession)
     newer = stage(keep_latest(source, keys, order_by, on_duplicate), folder)
+    if before:
+        before(newer)
     _merge_staged(newer, name, keys, partition_by)
     drop_folder(source.sparkSession, folder, shared_dir(source.sparkSession))
 
@@ -277,7 +280,7 @@ def _upsert_partitions(newer, target, name, keys, parts):
     affected = holding | _partition_values(newer, parts)
     if not affected:
         return
-    merged = merge(target.filter(_in_partitions(parts, affected)), newer, keys)
+    merged = merge(target.filter(in_partitions(parts, affected)), newer, keys)
     rebalanced = merged.select(*target.columns).hint("rebalance", *parts)
     staged, _ = _write_beside(rebalanced, name, parts, None)
     folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("_folder")
@@ -327,7 +330,7 @@ def _path_name(value) -> str:
     return "".join(f"%{ord(c):02X}" if c in ESCAPED or ord(c) < 0x20 or ord(c) == 0x7F else c for c in text)
 
 
-def _in_partitions(parts, affected):
+def in_partitions(parts, affected):
     """Predicate on partition columns alone, so that the scan prunes by it.
 
     Joined as a balanced tree: it stays shallow however many partitions there are.

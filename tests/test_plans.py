@@ -11,13 +11,15 @@ from casewatch.plans.registry import QUERIES
 from casewatch.operators import counts as N, filters as P, quality as Q, stays as S, upsert as U
 from casewatch.sources import tables as B
 from casewatch.plans import report as Rep
+from casewatch.plans.sql import NotAllowed, query_sql
 from tests.helpers import cases, first_plan, plan, rows, scans
 
 SF_DIR = "/root/testdata/sf0.001"
 AS_OF = "2025-06-30"
 # Queries that write tables on the way, and the one that unpacks archives.
 EAGER = {
-    "feature_table", "incremental_ingest_table", "write_table_evolved", "stream_delimited_table", "read_zipped_beds"
+    "feature_table", "incremental_ingest_table", "write_table_evolved", "stream_delimited_table", "read_zipped_beds",
+    "stream_files_of_other_orders", "features_of_changed_cases",
 }
 LAZY = [n for n in QUERIES if n not in EAGER]
 
@@ -191,3 +193,48 @@ def test_a_report_reads_the_cases_three_times_at_most(spark, tmp_path):
         assert 0 < scans(df, "cases_table") <= 3 and scans(df, "beds_table") == 1
     assert scans(Rep.report_series(stored, date(2025, 6, 25)), "cases_table") == 1
     assert len(Rep.report(stored, beds, date(2025, 6, 25)).first().icu_occupancy) == 1
+
+
+@pytest.fixture
+def queried(spark, tmp_path):
+    spark.range(5).selectExpr("id", "id % 2 as kind", "array(id, id + 1) as both").createOrReplaceTempView("queried")
+    spark.range(3).write.mode("overwrite").parquet(f"{tmp_path}/files")
+    return f"{tmp_path}/files"
+
+
+@pytest.mark.parametrize("sql", [
+    "select java_method('java.lang.System', 'setProperty', 'casewatch.probe', 'set')",
+    "select id from queried where reflect('java.lang.System', 'getProperty', 'user.home') is not null",
+    "select try_reflect('java.lang.System', 'getProperty', 'user.home')",
+    "select (select java_method('java.lang.System', 'getProperty', 'user.home')) as x",
+    "select exists (select 1 from queried where java_method('java.util.UUID', 'randomUUID') = 'x') as x",
+    "select transform(both, x -> java_method('java.lang.Math', 'abs', x)) as x from queried",
+    "with c as (select java_method('java.util.UUID', 'randomUUID') as u) select * from c",
+    "select TRANSFORM(id) USING 'cat' AS (x string) from queried",
+    "select registered(id) as x from queried",
+])
+def test_a_query_that_would_do_more_than_read_is_refused_before_it_runs(spark, queried, sql):
+    spark.udf.register("registered", lambda x: x, "bigint")
+    with pytest.raises(NotAllowed):
+        query_sql(spark, sql)
+    assert spark._jvm.java.lang.System.getProperty("casewatch.probe") is None
+
+
+def test_a_query_reads_no_files_by_path_and_runs_no_command(spark, queried):
+    for sql in (f"select * from parquet.`{queried}`", "drop view queried", "select 1) as a; drop view queried; select * from (select 1"):
+        with pytest.raises(Exception):
+            query_sql(spark, sql).collect()
+    assert spark.conf.get("spark.sql.runSQLOnFiles") == "true" and spark.catalog.tableExists("queried")
+
+
+@pytest.mark.parametrize("sql,n", [
+    ("with c as (select kind, count(*) as n from queried group by kind having count(*) > 1) select * from c order by n", 2),
+    ("select id, row_number() over (partition by kind order by id) as r, q.x from queried lateral view explode(both) q as x", 5),
+    ("select kind, grouping(kind) as g, sum(id) as s from queried group by rollup (kind)", 3),
+    ("select a.id from queried a left anti join queried b on a.id = b.id + 1 union select id from queried where id in (select kind from queried)", 2),
+    ("select * from values (1, 'a'), (2, 'b') as t(x, y) limit 1 offset 1", 1),
+    ("select * from (select kind, id from queried) pivot (sum(id) for kind in (0, 1))", 1),
+    ("select *, (select max(id) from queried) as m, date_format(current_date(), 'yyyy') as y, named_struct('a', id) as s from queried", 5),
+])
+def test_queries_that_read_and_compute_are_answered(spark, queried, sql, n):
+    assert len(query_sql(spark, sql).collect()) == n

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F, types as T
 from casewatch.contracts import BED_COLUMNS, BED_INVENTORY, CASES, bed_contract, case_contract
 from casewatch.operators import upsert as U
 from casewatch.plans import daily
-from casewatch.sources import delimited as C, reports as R, snapshots as N, tables as B
-from casewatch.streaming.ingest import incremental_ingest, stream_delimited
-from tests.helpers import day, rows
+from casewatch.sources import changes, delimited as C, reports as R, snapshots as N, tables as B
+from casewatch.streaming.ingest import incremental_ingest, stream_delimited, stream_lines
+from tests.helpers import cases, day, rows
 
 
 def name(prefix="t"):
@@ -378,3 +378,103 @@ def test_newest_must_be_named(spark):
     twice = pairs(spark, [(1, "nine", 9), (1, "three", 3)])
     with pytest.raises(Exception):
         U.keep_latest(twice, ["k"]).collect()
+
+
+def test_features_follow_the_changed_cases_only(spark, tmp_path):
+    s = CASES.with_names(month="notified_month")
+    names = daily.Tables(*[name(n) for n in ("cases", "beds", "ledger", "cfeat", "bfeat")])
+    contract = case_contract(CASES)
+    beds = [(1, 202505, "SP", 4, 1, 1), (1, 202506, "SP", 5, 1, 1)]
+    shape = "facility_id int, comp int, state string, beds_adult int, beds_ped int, beds_neo int"
+    B.write_table(spark.createDataFrame(beds, shape), names.beds)
+
+    def run(file, lines, as_of, **options):
+        (tmp_path / file).write_text("\n".join([HEADER, *lines]))
+        daily.load_fresh_cases(spark, str(tmp_path), as_of, contract, names, s, **options)
+        daily.build_features(spark, 202500, names, s)
+
+    def files(table):
+        found = B.read_table(spark, table).select("notified_month", F.col("_metadata.file_path").alias("f")).distinct()
+        out = {}
+        for month, path in sorted((str(r[0]), r[1]) for r in found.collect()):
+            out.setdefault(month, []).append(path)
+        return out
+
+    def features():
+        return rows(B.read_table(spark, names.case_features).select("case_id", "notified_on", "is_death", "notified_month"))
+
+    run("INFLUD25-10-06-2025.csv", [line(1, "01/04/2025"), line(2, "02/05/2025"), line(3, "03/06/2025")], date(2025, 6, 10))
+    before, whole = files(names.case_features), features()
+    bed_files = B.read_table(spark, names.bed_features).select("_metadata.file_path").distinct().collect()
+    # one case changes, one moves from May to June, one is new; none is of April
+    second = [line(3, "03/06/2025", outcome=2), line(2, "05/06/2025"), line(4, "05/06/2025")]
+    run("INFLUD25-11-06-2025.csv", second, date(2025, 6, 11))
+    after, followed = files(names.case_features), features()
+    assert after["2025-04-01"] == before["2025-04-01"] and "2025-05-01" not in after
+    assert not set(after["2025-06-01"]) & set(before["2025-06-01"])
+    assert [r[0] for r in followed] == ["1", "2", "3", "4"] and followed != whole
+    assert B.read_table(spark, names.bed_features).select("_metadata.file_path").distinct().collect() == bed_files
+    assert changes.pending(spark, names.cases).count() == 0
+    # nothing new: nothing is written; a full build gives the same rows in other files
+    daily.build_features(spark, 202500, names, s)
+    assert files(names.case_features) == after
+    daily.build_features(spark, 202500, names, s, full=True)
+    assert features() == followed and files(names.case_features)["2025-04-01"] != before["2025-04-01"]
+    # a build that stopped before it took the batch off the list is done again
+    changes.record(B.read_table(spark, names.cases).filter("case_id = '1'"), names.cases)
+    daily.build_features(spark, 202500, names, s)
+    assert features() == followed and changes.pending(spark, names.cases).count() == 0
+
+
+def test_inventories_that_change_are_summed_again(spark):
+    names = daily.Tables(*[name(n) for n in ("cases", "beds", "ledger", "cfeat", "bfeat")])
+    shape = "facility_id int, comp int, state string, beds_adult int, beds_ped int, beds_neo int"
+    B.write_table(spark.createDataFrame([(1, 202505, "SP", 4, 1, 1), (2, 202505, "SP", 2, 0, 0), (1, 202506, "SP", 5, 1, 1)], shape), names.beds)
+    B.write_table(with_case_rows(spark), names.cases)
+    daily.build_features(spark, 202500, names)
+    newer = spark.createDataFrame([(1, 202505, "SP", 9, 1, 1), (3, 202505, "RJ", 1, 1, 1)], shape)
+    B.upsert_table(newer, names.beds, ["facility_id", "comp"], on_duplicate="error", before=lambda r: changes.record(r, names.beds))
+    daily.build_features(spark, 202500, names)
+    followed = rows(B.read_table(spark, names.bed_features))
+    daily.build_features(spark, 202500, names, full=True)
+    assert rows(B.read_table(spark, names.bed_features)) == followed and len(followed) == 3
+
+
+def with_case_rows(spark):
+    return cases(spark, [{"notified_on": "2025-06-01", "state": "SP"}])
+
+
+def test_the_caller_names_what_makes_an_entry_newer(spark, tmp_path):
+    names = daily.Tables(*[name(n) for n in ("cases", "beds", "ledger", "cfeat", "bfeat")])
+    contract = T.StructType([*case_contract(CASES).fields, T.StructField("digitised_on", T.DateType())])
+    lines = [f"{line(1, '01/06/2025', outcome=2)};05/06/2025", f"{line(1, '01/06/2025', outcome=1)};07/06/2025"]
+    (tmp_path / "INFLUD25-10-06-2025.csv").write_text("\n".join([f"{HEADER};digitised_on", *lines]))
+    daily.load_fresh_cases(spark, str(tmp_path), date(2025, 6, 10), contract, names, order_by=["notified_on", "digitised_on"])
+    assert [r.outcome for r in B.read_table(spark, names.cases).collect()] == [1]  # the later entry, though its code is smaller
+
+
+def test_streamed_files_are_bound_by_their_own_headers(spark, tmp_path):
+    table, folder = name("cases"), tmp_path / "in"
+    folder.mkdir()
+    contract = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("v", T.StringType()), T.StructField("on", T.DateType())])
+    (folder / "a.csv").write_text("k;v;on\n1;one;01/02/2025\n2;\"two;and more\";x\n\n")
+    (folder / "b.csv").write_text("\ufeffon;extra;v;k\n03/02/2025;e;three;3\n04/02/2025;e;;4\n5\n")
+    (folder / "empty.csv").write_text("")
+    (folder / "header.csv").write_text("v;k;on\n")
+
+    def run(files_per_batch=None):
+        lines = stream_lines(spark, str(folder), files_per_batch=files_per_batch)
+        bind = lambda batch: C.bind_lines(batch, contract)
+        incremental_ingest(lines, table, ["k"], checkpoint=str(tmp_path / "checkpoint"), bind=bind)
+        return rows(B.read_table(spark, table))
+
+    want = [(1, "one", day("2025-02-01")), (2, "two;and more", None), (3, "three", day("2025-02-03")), (4, None, day("2025-02-04"))]
+    assert run() == [*want, (None, None, None)]
+    (folder / "c.csv").write_text("v;on;k\nsix;06/02/2025;6\n")
+    (folder / "d.csv").write_text("k;on;v\n1;09/02/2025;newer\n")
+    got = run(files_per_batch=1)
+    assert got[0] == (1, "newer", day("2025-02-09")) and (6, "six", day("2025-02-06")) in got and len(got) == 6
+    (folder / "e.csv").write_text("k;v\n7;seven\n")
+    with pytest.raises(Exception, match="missing"):
+        run()
+    assert len(rows(B.read_table(spark, table))) == 6
