@@ -7,6 +7,7 @@ document makes a slice of its own.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -14,6 +15,10 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 4 << 20
+# Ranges up to this length are hashed by running sums, a polynomial modulo 2**64. Longer ones
+# could be made to collide, whatever the base, and get a digest each.
+SHORT = 256
+PIECE = 1 << 20  # bytes whose running sums are held at a time
 # Space, tab, line feed, vertical tab, form feed, carriage return.
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -44,11 +49,14 @@ _powers: dict[str, np.ndarray] = {}
 def powers(n: int, inverse: bool = False) -> np.ndarray:
     """The first n powers of the hash base or of its inverse, modulo 2**64."""
     key = "down" if inverse else "up"
-    if key not in _powers or len(_powers[key]) < n:
+    known = _powers.get(key)
+    if known is None or len(known) < n:
         steps = np.full(max(n, 1 << 16), _INVERSE if inverse else _BASE)
         steps[0] = 1
-        _powers[key] = np.cumprod(steps)
-    return _powers[key][:n]
+        known = np.cumprod(steps)
+        if n <= SLICE_BYTES + SHORT:  # longer ones are not kept by the worker
+            _powers[key] = known
+    return known[:n]
 
 
 @lru_cache(maxsize=None)
@@ -92,10 +100,30 @@ class Texts:
 
     def hashes(self, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
         """64-bit hash of each byte range; equal bytes have equal hashes anywhere."""
-        return range_hash(self.prefix_hash(lower), start, end)
+        out = np.empty(len(start), np.uint64)
+        length = end - start
+        short = length <= SHORT
+        piece = start // PIECE
+        for at in range(0, max(len(self.data), 1), PIECE):
+            here = np.flatnonzero(short & (piece == at // PIECE)) if len(self.data) > PIECE else np.flatnonzero(short)
+            if len(here):
+                some = Texts(self.data[at : at + PIECE + SHORT], self.offsets[:0])
+                out[here] = range_hash(some.prefix_hash(lower), start[here] - at, end[here] - at)
+            if len(self.data) <= PIECE:
+                break
+        for i in np.flatnonzero(~short):
+            out[i] = digest(self.data[start[i] : end[i]], lower)
+        return out
+
+
+def digest(data: np.ndarray, lower: bool = False) -> int:
+    """64 bits of a digest of a long range."""
+    text = data.tobytes()
+    return int.from_bytes(hashlib.blake2b(text.lower() if lower else text, digest_size=8).digest(), "little")
 
 
 def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of short ranges of a text by its running sums."""
     return mix((sums[end] - sums[start]) * powers(len(sums), inverse=True)[start])
 
 

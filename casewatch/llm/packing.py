@@ -8,6 +8,7 @@ cut to powers of two, so nothing needs padding.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
@@ -20,10 +21,11 @@ from pyspark.sql import functions as F
 
 from casewatch.llm.buffers import mix, slices, text_arrays
 from casewatch.llm.records import with_end
-from casewatch.llm.tokens import Encoder
+from casewatch.llm.tokens import ENCODED_BYTES, Encoder
 from casewatch.session import stage
 
 HASHED, AXES, BITS = 256, 4, 12
+STEPS = 1 << 24  # to a unit, of coordinates that are added up
 POINT = [f"c{i}" for i in range(AXES)]
 PIECES = (
     "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -79,7 +81,7 @@ def _encode(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -> I
     encoder = Encoder.of(tokenizer)
     kind = "<u2" if encoder.width == 2 else "<u4"
     for batch in batches:
-        for a, b, texts in slices(batch.column(1)):
+        for a, b, texts in slices(batch.column(1), ENCODED_BYTES):
             ids, offsets = encoder.encode(texts)
             at = points(ids, offsets)
             ids, offsets = with_end(ids, offsets, end_id)
@@ -153,6 +155,19 @@ def _cut(batches: Iterator[pa.RecordBatch], bases: dict[int, int], line: Line, w
             at = to
 
 
+def spread(points: DataFrame) -> list[tuple[float, float]]:
+    """Mean and deviation of each axis, from sums of whole numbers, which no order of adding changes."""
+    steps = [F.round(F.col(c) * STEPS).cast("decimal(38,0)") for c in POINT]
+    sums = [f.cast("string") for x in steps for f in (F.sum(x), F.sum(x * x))]
+    n, *sums = points.agg(F.count("*"), *sums).first()
+    out = []
+    for total, square in zip(sums[::2], sums[1::2]):
+        total, square = int(total or 0), int(square or 0)
+        deviation = math.sqrt(max(0, n * square - total * total) / max(1, n * (n - 1))) / STEPS
+        out.append((total / max(1, n) / STEPS, deviation or 1.0))
+    return out
+
+
 def pack(
     docs: DataFrame, tokenizer: str, end_id: int, size: int = 4096, id_col="doc_id", text_col="text"
 ) -> DataFrame:
@@ -168,8 +183,8 @@ def pack(
     rows = rows.withColumn("tie", F.xxhash64("text"))
     shape = "doc_id long, tie long, n long, ids binary, " + ", ".join(f"{c} float" for c in POINT)
     encoded = stage(rows.mapInArrow(partial(_encode, tokenizer=tokenizer, end_id=end_id), shape))
-    spread = encoded.agg(*(f(c).alias(f"{k}_{c}") for c in POINT for k, f in (("m", F.avg), ("s", F.stddev)))).first()
-    scaled = [(F.col(c) - (spread[f"m_{c}"] or 0.0)) / (spread[f"s_{c}"] or 1.0) for c in POINT]
+    centre = spread(encoded)
+    scaled = [(F.col(c) - mean) / deviation for c, (mean, deviation) in zip(POINT, centre)]
     keyed = encoded.withColumn("key", F.pandas_udf(_key, "long")(*scaled)).drop(*POINT)
     order = ["key", "doc_id", "tie"]
     along = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "n", "ids")

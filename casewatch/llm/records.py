@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewatch.llm.buffers import ragged, slices
-from casewatch.llm.tokens import Encoder
+from casewatch.llm.tokens import ENCODED_BYTES, Encoder
 from casewatch.session import shared_dir, stage
 
 HEADER = np.dtype([("doc_id", "<i8"), ("known", "<u2"), ("width", "<u2")])
@@ -158,7 +158,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_i
             doc_ids = batch.column(0)
             known = np.asarray(doc_ids.is_valid())
             numbers = np.asarray(doc_ids.fill_null(0)).astype(np.int64)
-            for a, b, texts in slices(batch.column(1)):
+            for a, b, texts in slices(batch.column(1), ENCODED_BYTES):
                 ids, offsets = with_end(*encoder.encode(texts), end_id)
                 data, first = frame(numbers[a:b], known[a:b], ids, offsets, encoder.width)
                 entry = np.zeros(b - a, ENTRY)

@@ -15,9 +15,10 @@ from functools import lru_cache
 
 import numpy as np
 
-from casewatch.llm.buffers import Texts, ragged, range_hash
+from casewatch.llm.buffers import Texts, ragged
 
-KEPT_PIECES = 1 << 20
+KEPT_PIECES = 1 << 18
+ENCODED_BYTES = 1 << 20  # of texts that are put together at a time
 MARKS = b".,;:!?"
 
 
@@ -99,7 +100,7 @@ class Encoder:
         start, end, single = self._pieces(texts)
         key = np.empty(len(start), np.uint64)
         # A word of Latin letters has the same ids in either case, so it is looked up in lower case.
-        key[single] = range_hash(texts.prefix_hash(lower=True), start[single], end[single])
+        key[single] = texts.hashes(start[single], end[single], lower=True)
         length = (end - start)[~single]
         rest = Texts(texts.data[ragged(start[~single], length)], np.concatenate([[0], np.cumsum(length)]))
         key[~single] = rest.hashes(rest.offsets[:-1], rest.offsets[1:])
