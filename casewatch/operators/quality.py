@@ -157,15 +157,95 @@ def profile(df: DataFrame, max_categories: int = 50, columns=None) -> DataFrame:
     )
 
 
-def sample_rows(df: DataFrame, fraction: float = 0.1, seed: int = 42, by_key=None) -> DataFrame:
+# Types that the frequent-items sketch takes as they are; values of others are counted as text.
+SKETCHED = ("bigint", "double", "float", "boolean", "date", "timestamp", "string")
+
+
+def sketched_profile(
+    df: DataFrame, max_categories: int = 50, columns=None, rsd: float = 0.02, tracked: int = 8192,
+    exact_below: int = 100_000,
+) -> DataFrame:
+    """`profile` of wide tables with many distinct values, at the cost of one pass and what it names.
+
+    One aggregate of mergeable sketches over all columns estimates distinct counts, with the
+    relative standard deviation `rsd`, and names the frequent values of each. Columns with fewer than
+    `exact_below` values, three deviations included, are then profiled exactly. Of the others no value is
+    shuffled but the named ones: these are counted exactly in one more pass, `unique_count` is the
+    estimate, and `exact` false. A value is surely named if it fills more than 4 / `tracked`
+    (a power of two) of a column. Nulls and ranges are exact throughout. Runs the first pass at once; the driver
+    sees twice `max_categories` values a column.
+    """
+    kinds = {name: kind for name, kind in df.dtypes if columns is None or name in columns}
+    values = {name: _sketchable(F.col(f"`{name}`"), kind) for name, kind in kinds.items()}
+    if not values:
+        return profile(df, max_categories, []).withColumn("exact", F.lit(True))
+    named = df.select(*[value.alias(f"_{i}") for i, value in enumerate(values.values())])
+    k = 2 * max_categories
+    sketches = [
+        F.struct(
+            F.approx_count_distinct(f"_{i}", rsd).alias("n"),
+            F.count_if(F.col(f"_{i}").isNull()).alias("nulls"),
+            F.expr(f"approx_top_k(_{i}, {min(k, tracked)}, {tracked})").alias("frequent"),
+        ).alias(f"_{i}")
+        for i in range(len(values))
+    ]
+    seen = dict(zip(values, named.agg(*sketches).first()))
+    wide = [c for c in values if seen[c]["n"] * (1 + 3 * rsd) >= exact_below]
+    parts, narrow = [], [c for c in values if c not in wide]
+    if narrow:
+        parts.append(profile(df, max_categories, narrow).withColumn("exact", F.lit(True)))
+    if wide:
+        parts.append(_profile_of_named(df, values, wide, seen, max_categories).withColumn("exact", F.lit(False)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _sketchable(value, kind: str):
+    value, kind = _countable(value, kind)
+    return value if kind in SKETCHED else value.cast("string")
+
+
+def _profile_of_named(df, values, wide, seen, max_categories: int) -> DataFrame:
+    """Profile rows of columns whose frequent values and distinct counts a sketch has told."""
+    entry = "array<struct<column string, value string>>"
+    named = []
+    for c in wide:
+        items = [item["item"] for item in seen[c]["frequent"] or [] if item["item"] is not None]
+        if items:
+            here = F.struct(F.lit(c).alias("column"), values[c].cast("string").alias("value"))
+            named.append(F.when(values[c].isin(items), here))
+    found = F.array_compact(F.array(*named)) if named else F.array().cast(entry)
+    counts = df.select(F.inline(found)).groupBy("column", "value").agg(F.count("*").alias("n"))
+    frequent = (
+        top_values(counts, max_categories)
+        .groupBy("column")
+        .agg(F.map_from_entries(F.collect_list(F.struct("value", "n"))).alias("value_counts"))
+    )
+    # null counts as one value
+    told = [(c, seen[c]["nulls"], seen[c]["n"] + (seen[c]["nulls"] > 0)) for c in wide]
+    told = df.sparkSession.createDataFrame(told, "column string, null_count long, unique_count long")
+    whole = told.join(frequent, "column", "left").join(value_ranges(df, wide), "column", "left")
+    return whole.select("column", "null_count", "unique_count", "value_counts", "min_value", "max_value")
+
+
+def sample_rows(
+    df: DataFrame, fraction: float = 0.1, seed: int = 42, by_key=None, by_position: bool = False
+) -> DataFrame:
     """Bernoulli sample of the rows.
 
     The plain form depends on how the input is split. With `by_key` the choice
-    hangs on the key and seed alone: the same rows on every cluster and run.
+    hangs on the key and seed alone: the same rows on every cluster and run. With `by_position`
+    it hangs on the name of the file and the row's place in it, for Parquet files as they are read:
+    the same rows however the files are split, equal rows drawn one by one.
     """
+    if by_position:
+        place = [F.element_at(F.split("_metadata.file_path", "/"), -1), F.col("_metadata.row_index").cast("string")]
+        return df.filter(_drawn(place, fraction, seed))
     if by_key is None:
         return df.sample(withReplacement=False, fraction=fraction, seed=seed)
     keys = [by_key] if isinstance(by_key, str) else list(by_key)
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
-    draw = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
-    return df.filter(draw < int(fraction * 2**32))
+    return df.filter(_drawn([F.col(k).cast("string") for k in keys], fraction, seed))
+
+
+def _drawn(parts, fraction: float, seed: int):
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *parts))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") < int(fraction * 2**32)

@@ -111,6 +111,27 @@ def profile(spark, sf_dir):
     )
 
 
+@query(per_column(
+    CUSTOMER,
+    "select '{c}' as \"column\", count(distinct {c}) < 100 as exact, count(*) - count({c}) as null_count, "
+    "case when count(distinct {c}) < 100 then count(distinct {c}) end as unique_count, "
+    "case when count(distinct {c}) < 100 then count({c})::bigint end as n_rows_in_values, "
+    "case when typeof(min({c})) <> 'VARCHAR' then cast(min({c}) as varchar) end as min_value, "
+    "case when typeof(min({c})) <> 'VARCHAR' then cast(max({c}) as varchar) end as max_value from {t}",
+    "customer",
+))
+def sketched_profile(spark, sf_dir):
+    """Profile by sketches: columns of a hundred values and more are estimated, the others exact."""
+    told = Q.sketched_profile(load(spark, sf_dir, "customer"), max_categories=100, exact_below=100)
+    rows = "aggregate(map_values(value_counts), 0L, (a, x) -> a + x)"
+    return told.selectExpr(
+        "column", "exact", "null_count",
+        "case when exact then unique_count end as unique_count",
+        f"case when exact then {rows} end as n_rows_in_values",
+        "min_value", "max_value",
+    )
+
+
 @query("""select o_orderkey, o_totalprice from orders
 where cast('0x' || substr(md5('42|' || o_orderkey), 1, 8) as bigint) < 429496729""")
 def sample_by_key(spark, sf_dir):

@@ -19,7 +19,7 @@ AS_OF = "2025-06-30"
 # Queries that write tables on the way, and the one that unpacks archives.
 EAGER = {
     "feature_table", "incremental_ingest_table", "write_table_evolved", "stream_delimited_table", "read_zipped_beds",
-    "stream_files_of_other_orders", "features_of_changed_cases",
+    "stream_files_of_other_orders", "features_of_changed_cases", "sketched_profile",
 }
 LAZY = [n for n in QUERIES if n not in EAGER]
 

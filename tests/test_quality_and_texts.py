@@ -165,3 +165,39 @@ def test_query_sql_reads_only(spark):
         with pytest.raises(Exception):
             query_sql(spark, text)
     assert spark.table("numbers").count() == 10
+
+
+# Sketches and positions ----------------------------------------------------------------
+
+def test_sketched_profile_counts_exactly_what_it_names(spark):
+    rng = random.Random(2)
+    hot = [f"hot{i}" for i in range(5)]
+    data = [(i, hot[i % 5] if i % 3 else f"cold{i}", rng.randrange(4), [i % 2], None if i % 4 else float(i)) for i in range(12_000)]
+    df = spark.createDataFrame(data, "id long, name string, `a b` int, parts array<int>, x double")
+    exact = {r["column"]: r for r in Q.profile(df, 3).collect()}
+    got = {r["column"]: r for r in Q.sketched_profile(df, 3, exact_below=1000, rsd=0.02, tracked=256).collect()}
+    assert {c: r.exact for c, r in got.items()} == {"id": False, "name": False, "a b": True, "parts": True, "x": False}
+    for c, r in got.items():
+        want = exact[c]
+        assert (r.null_count, r.min_value, r.max_value) == (want.null_count, want.min_value, want.max_value)
+        if r.exact:
+            assert (r.unique_count, r.value_counts) == (want.unique_count, want.value_counts)
+        assert abs(r.unique_count - want.unique_count) <= 0.06 * want.unique_count
+    assert got["name"].value_counts == exact["name"].value_counts and len(got["name"].value_counts) == 3
+    assert Q.sketched_profile(df.limit(0), 3).count() == Q.profile(df.limit(0), 3).count()
+    everything = Q.sketched_profile(df, 3, exact_below=10**9)
+    assert sorted(everything.drop("exact", "value_counts").collect()) == sorted(Q.profile(df, 3).drop("value_counts").collect())
+
+
+def test_sample_by_position_does_not_depend_on_the_split(spark, tmp_path):
+    spark.range(20_000).selectExpr("id div 2 as k").repartition(3).write.parquet(f"{tmp_path}/t")
+    found = []
+    for size in ("128m", "8k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        df = spark.read.parquet(f"{tmp_path}/t")
+        found.append((df.rdd.getNumPartitions(), sorted(r.k for r in Q.sample_rows(df, 0.1, by_position=True).collect())))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (few, one), (many, other) = found
+    assert few != many and one == other and 1700 < len(one) < 2300
+    assert len(set(one)) > 0.9 * len(one)  # equal rows are drawn one by one
+    assert Q.sample_rows(spark.read.parquet(f"{tmp_path}/t"), 0.1, seed=7, by_position=True).count() != 0
