@@ -65,7 +65,21 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", "taken")
 
 
-@query()
+@query("""with recursive words as (select doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w
+  from documents),
+shingles as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+  else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s from words),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+pairs as (select a.doc_id as x, b.doc_id as y, count(*) as both_have
+  from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+links as (select x, y from pairs join sizes p on p.doc_id = x join sizes q on q.doc_id = y
+  where 100 * both_have >= 80 * (p.n + q.n - both_have)),
+edges as (select x, y from links union all select y, x from links),
+reached(doc_id, other) as (select doc_id, doc_id from documents
+  union select reached.doc_id, y from reached join edges on other = x)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id
+from (select doc_id, min(other) as component_id from reached group by doc_id) left join sizes using (doc_id)""")
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingles and component of near-duplicates of every document."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=80)
@@ -93,7 +107,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(rows, quality.thresholds(rows)).select("doc_id", *counts, "base_failed", "kept")
 
 
-@query()
+@query("""with rows as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+pairs as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
+  from rows q join rows c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id)
+select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score
+from pairs qualify row_number() over (partition by query_id order by score desc, vec_id) <= 5""")
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best others of every fiftieth vector."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
