@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import pytest
@@ -392,6 +393,50 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert topk.top_k(table.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_top_k_proofs_skip_segments_of_clustered_vectors():
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 16))
+    vectors = centres[rng.integers(0, 40, 8000)] + 0.05 * rng.normal(size=(8000, 16))
+    vectors = np.floor(256 * vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.int64)
+    vectors = vectors[np.argsort(topk.curve_key(pd.Series(list(vectors)), 16), kind="stable")]
+    ids, asked = np.arange(8000), np.arange(0, 8000, 50)
+    scores = vectors[asked] @ vectors.T
+    scores[np.arange(len(asked)), asked] = -(2**62)  # itself
+    floors, read, found = np.sort(scores, axis=1)[:, -5], 0, defaultdict(list)
+    for at in range(0, 8000, 1000):
+        group = pd.DataFrame({"part": 0, "seq": at, "vec_id": ids[at : at + 1000], "v": list(vectors[at : at + 1000])})
+        block = topk.Block(topk.index_block(group, 16).iloc[0].to_dict(), 16)
+        rows, near, values, n = block.top(vectors[asked], asked, 5, floors)
+        read += n
+        for row, vec_id, score in zip(rows, near, values):
+            found[row].append((-score, vec_id))
+    for row in range(len(asked)):
+        best = np.lexsort((ids, -scores[row]))[:5]
+        assert sorted(found[row])[:5] == [(-scores[row, i], i) for i in best]
+    assert read < 0.5 * len(asked) * 8 * 16 * topk.SEGMENTS
+
+
+def test_top_k_in_several_parts_with_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 32)
+    monkeypatch.setattr(topk, "BLOCKS_A_PART", 2)
+    monkeypatch.setattr(topk, "QUERIES", 16)
+    rng = np.random.default_rng(2)
+    vectors = rng.normal(size=(300, 5)).round(2)
+    vectors[:100] = vectors[0]  # a third of all rows on one point
+    rows = [(i, v.tolist()[: 3 + i % 3], 1, 2, "x") for i, v in enumerate(vectors)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, part int, key int, floor string")
+    got = defaultdict(list)
+    for r in topk.top_k(table, F.col("vec_id") % 10 == 0, k=3).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    used = np.zeros((300, 5), np.int64)
+    for i, v, *_ in rows:
+        used[i, : len(v)] = np.floor(256 * np.array(v))
+    assert sorted(got) == list(range(0, 300, 10))
+    for q, found in got.items():
+        best = sorted((-int(used[q] @ used[i]), i) for i in range(300) if i != q)[:3]
+        assert found == [(i, -s) for s, i in best]
+
+
 # Language and toxicity ------------------------------------------------------------------------------
 
 def test_languages_are_told_apart(spark, docs, empty):
