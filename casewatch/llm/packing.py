@@ -9,14 +9,15 @@ cut to powers of two, so nothing needs padding.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casewatch.llm.buffers import mix, slices, text_arrays
@@ -25,6 +26,8 @@ from casewatch.llm.tokens import ENCODED_BYTES, Encoder
 from casewatch.session import stage
 
 HASHED, AXES, BITS = 256, 4, 12
+LEAST = -(1 << 63)
+PART_BYTES = 16 << 20  # of ids in a part of the line
 STEPS = 1 << 24  # to a unit, of coordinates that are added up
 POINT = [f"c{i}" for i in range(AXES)]
 PIECES = (
@@ -103,15 +106,30 @@ def _key(*axes: pd.Series) -> pd.Series:
     return pd.Series(hilbert(cells, BITS))
 
 
-def _lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ids before each document within its part of the line."""
-    part, at = TaskContext.get().partitionId(), 0
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """First place of a part and how many ids it has, of light rows in order."""
+    first, total = None, 0
     for batch in batches:
-        n = np.asarray(batch.column(1)).astype(np.int64)
-        before = at + np.cumsum(n) - n
-        at += int(n.sum())
-        columns = [*batch.columns, pa.array(np.full(len(n), part, np.int32)), pa.array(before)]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "ids", "part", "before"])
+        if batch.num_rows:
+            first = first if first is not None else batch.column(0)[0].as_py()
+            total += int(np.asarray(batch.column(1)).sum())
+    if first is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([first], pa.binary()), pa.array([total])], ["place", "n"])
+
+
+def _part_of(places: pd.Series, firsts: list[bytes]) -> pd.Series:
+    """Part whose first place is the last one not behind a row's."""
+    return pd.Series([bisect_right(firsts, place) - 1 for place in places], dtype="int32")
+
+
+def place_of(key: Column, doc_id: Column, tie: Column) -> Column:
+    """Bytes that sort by key, id (null first) and tie."""
+
+    def rising(number: Column) -> Column:  # signed, as bytes that sort alike
+        return F.unhex(F.lpad(F.hex(number.bitwiseXOR(F.lit(LEAST))), 16, "0"))
+
+    known = F.when(doc_id.isNull(), F.lit(b"\0")).otherwise(F.lit(b"\1"))
+    return F.concat(rising(key), known, rising(F.coalesce(doc_id, F.lit(0).cast("long"))), rising(tie))
 
 
 class Line:
@@ -130,29 +148,43 @@ class Line:
         return np.where(sequence <= self.full, sequence * self.size, self.tail[beyond])
 
 
-def _cut(batches: Iterator[pa.RecordBatch], bases: dict[int, int], line: Line, width: int) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], bases: list[int], line: Line, width: int) -> Iterator[pa.RecordBatch]:
+    """Pieces of documents in order, part by part."""
+    at_part, end = None, 0
     for batch in batches:
-        doc_id, n, ids, part, before = batch.columns
-        n = np.asarray(n).astype(np.int64)
-        lowest = np.array([bases[int(p)] for p in np.asarray(part)], np.int64) + np.asarray(before)
-        first = line.sequence(lowest)
-        pieces = line.sequence(lowest + n - 1) - first + 1
-        row = np.repeat(np.arange(len(n)), pieces)
-        sequence = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        starts = line.start(sequence)
-        start = np.maximum(lowest[row], starts)
-        length = np.minimum((lowest + n)[row], line.start(sequence + 1)) - start
-        data = text_arrays(ids)[0].view("<u2" if width == 2 else "<u4").astype("<u4")
-        edges = np.concatenate([[0], np.cumsum(length)])
-        at = 0
-        while at < len(row):  # offsets of an Arrow binary column end at 2**31 bytes
-            to = max(at + 1, int(np.searchsorted(edges, edges[at] + (4 << 20), "right")) - 1)
-            columns = [doc_id.take(pa.array(row[at:to])), pa.array((start - lowest[row])[at:to])]
-            columns += [pa.array(length[at:to]), pa.array(n[row][at:to]), pa.array(sequence[at:to])]
-            columns += [pa.array((start - starts)[at:to])]
-            columns += [_binary(data[edges[at] : edges[to]], (edges[at : to + 1] - edges[at]) * 4)]
-            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in PIECES.split(", ")])
-            at = to
+        part = np.asarray(batch.column(0))
+        turns = np.flatnonzero(np.diff(part)) + 1
+        for a, b in zip([0, *turns], [*turns, len(part)]):
+            if a == b:
+                continue
+            if part[a] != at_part:
+                at_part, end = part[a], bases[part[a]]
+            _, doc_id, n, ids = batch.slice(a, b - a).columns
+            n = np.asarray(n).astype(np.int64)
+            lowest = end + np.cumsum(n) - n
+            end += int(n.sum())
+            yield from _pieces(doc_id, n, ids, lowest, line, width)
+
+
+def _pieces(doc_id, n, ids, lowest, line: Line, width: int) -> Iterator[pa.RecordBatch]:
+    first = line.sequence(lowest)
+    pieces = line.sequence(lowest + n - 1) - first + 1
+    row = np.repeat(np.arange(len(n)), pieces)
+    sequence = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    starts = line.start(sequence)
+    start = np.maximum(lowest[row], starts)
+    length = np.minimum((lowest + n)[row], line.start(sequence + 1)) - start
+    data = text_arrays(ids)[0].view("<u2" if width == 2 else "<u4").astype("<u4")
+    edges = np.concatenate([[0], np.cumsum(length)])
+    at = 0
+    while at < len(row):  # offsets of an Arrow binary column end at 2**31 bytes
+        to = max(at + 1, int(np.searchsorted(edges, edges[at] + (4 << 20), "right")) - 1)
+        columns = [doc_id.take(pa.array(row[at:to])), pa.array((start - lowest[row])[at:to])]
+        columns += [pa.array(length[at:to]), pa.array(n[row][at:to]), pa.array(sequence[at:to])]
+        columns += [pa.array((start - starts)[at:to])]
+        columns += [_binary(data[edges[at] : edges[to]], (edges[at : to + 1] - edges[at]) * 4)]
+        yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in PIECES.split(", ")])
+        at = to
 
 
 def spread(points: DataFrame) -> list[tuple[float, float]]:
@@ -186,13 +218,20 @@ def pack(
     centre = spread(encoded)
     scaled = [(F.col(c) - mean) / deviation for c, (mean, deviation) in zip(POINT, centre)]
     keyed = encoded.withColumn("key", F.pandas_udf(_key, "long")(*scaled)).drop(*POINT)
-    order = ["key", "doc_id", "tie"]
-    along = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "n", "ids")
-    laid = stage(along.mapInArrow(_lay, "doc_id long, n long, ids binary, part int, before long"))
-    bases, total = {}, 0
-    for row in sorted(laid.groupBy("part").agg(F.sum("n").alias("n")).collect()):
-        bases[row["part"]], total = total, total + row["n"]
-    if not total:
+    keyed = keyed.withColumn("place", place_of(F.col("key"), F.col("doc_id"), F.col("tie")))
+    # Where the parts begin is found on light rows; ids then move once and are cut where they arrive.
+    n_parts = max(1, -(-(encoded.agg(F.sum("n")).first()[0] or 0) * Encoder.of(tokenizer).width // PART_BYTES))
+    light = keyed.select("place", F.col("n").cast("long")).repartitionByRange(n_parts, "place").sortWithinPartitions("place")
+    parts = sorted(light.mapInArrow(_sums, "place binary, n long").collect())
+    if not parts:
         return spark.createDataFrame([], PIECES)
-    cut = partial(_cut, bases=bases, line=Line(total, size), width=Encoder.of(tokenizer).width)
-    return laid.mapInArrow(cut, PIECES)
+    firsts, sums = [bytes(p["place"]) for p in parts], [p["n"] for p in parts]
+    bases = [0, *accumulate(sums)]
+
+    def part_of(places: pd.Series) -> pd.Series:
+        return _part_of(places, firsts)
+
+    dealt = keyed.withColumn("part", F.pandas_udf(part_of, "int")("place")).repartitionById(len(parts), "part")
+    along = dealt.sortWithinPartitions("place").select("part", "doc_id", "n", "ids")
+    cut = partial(_cut, bases=bases, line=Line(bases[-1], size), width=Encoder.of(tokenizer).width)
+    return along.mapInArrow(cut, PIECES)

@@ -145,6 +145,35 @@ def test_every_id_lies_in_one_piece(docs, empty):
     assert packing.pack(empty, default_path(), end_id=2).count() == 0
 
 
+def test_packing_in_many_parts_is_one_line(spark, monkeypatch):
+    rows = [(i, f"word{i % 7} lies here " * (i % 11), "x") for i in range(120)]
+    rows += [(None, None, "y"), (None, "", "y"), (5, "again", "z"), (5, "again", "z")] + [(1000 + i, "hot text", "q") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, part string")
+    whole = sorted(packing.pack(docs, default_path(), end_id=2, size=64).collect(), key=str)
+    monkeypatch.setattr(packing, "PART_BYTES", 512)
+    parted = packing.pack(docs.repartition(5), default_path(), end_id=2, size=64)
+    assert sorted(parted.collect(), key=str) == whole
+    assert parted.rdd.getNumPartitions() > 3
+    fill = defaultdict(list)
+    for p in whole:
+        fill[p["sequence_id"]].append((p["offset"], p["length"]))
+        assert len(p["ids"]) == 4 * p["length"]
+    for held in fill.values():
+        ends = np.cumsum([n for _, n in sorted(held)])
+        assert [at for at, _ in sorted(held)] == [0, *ends[:-1]]
+        assert ends[-1] == 64 or ends[-1] & (ends[-1] - 1) == 0
+    assert sorted(fill) == list(range(len(fill)))
+
+
+def test_places_sort_by_key_id_and_tie(spark):
+    numbers = [-(1 << 63), -5, 0, 3, (1 << 63) - 1]
+    rows = [(k, d, t) for k in numbers for d in [None, *numbers] for t in numbers]
+    table = spark.createDataFrame(rows, "key long, doc_id long, tie long")
+    placed = table.withColumn("place", packing.place_of(F.col("key"), F.col("doc_id"), F.col("tie"))).collect()
+    by_place = [(r["key"], r["doc_id"], r["tie"]) for r in sorted(placed, key=lambda r: bytes(r["place"]))]
+    assert by_place == sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2]))
+
+
 # Mixing -----------------------------------------------------------------------------
 
 def plain_targets(sizes):
