@@ -2,8 +2,9 @@
 
 Measures of a text are computed inside its row. For each language and source, mergeable
 quantile sketches hold their distributions; a document fails where it lies far outside the
-middle half of its own group. Small groups use the merged sketch of their language, and
-small languages that of all documents. Only DataFrame functions are used.
+middle half of its own group. The quartiles of a group are blended with those of its language, and
+these with those of all documents, each by how many values it has: n / (n + `PRIOR`). So no
+group's rule changes at some size. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ RULES = (
     Rule("dup_line_share", 0.1),
     Rule("repeat_share", 0.05),
 )
-SKETCH_SIZE, REACH, LEAST_ROWS, GRID = 2000, 3.0, 100, 0.05
+SKETCH_SIZE, REACH, PRIOR, GRID = 2000, 3.0, 100, 0.05
 
 
 def measured(docs: DataFrame, text_col="text") -> DataFrame:
@@ -89,11 +90,23 @@ def _shares(rows: DataFrame) -> DataFrame:
     )
 
 
+def _blended(share: float, *sketches: Column) -> Column:
+    """Quantile of the first sketch, drawn towards that of the second, itself drawn towards the next."""
+    out = F.lit(None).cast("double")
+    for sketch in reversed(sketches):
+        n = F.kll_sketch_get_n_double(sketch)
+        own = F.when(n > 0, F.kll_sketch_get_quantile_double(sketch, F.lit(share)))
+        out = F.coalesce((n * own + PRIOR * F.coalesce(out, own)) / (n + PRIOR), out)
+    return out
+
+
 def thresholds(rows: DataFrame, lang_col="lang", source_col="source") -> DataFrame:
     """Lowest and highest passing value of each rule, per language and source.
 
     One sketch per group, measure and task is merged on the way, so no group is gathered;
     bounds are rounded outwards to a grid, which steadies them against the sketches' error.
+    A measure that no document of a group has is judged by the wider group alone; one that
+    none has at all gets null bounds. Repeated rows count as often as they occur. An empty table gives no bounds.
     """
     names = [r.measure for r in RULES]
     groups = _shares(rows).groupBy(F.col(lang_col).alias("g_lang"), F.col(source_col).alias("g_source"))
@@ -111,13 +124,8 @@ def thresholds(rows: DataFrame, lang_col="lang", source_col="source") -> DataFra
     levels = levels.withColumn("all", of_all.select(F.struct(*names)).scalar())  # one row
     out = [F.col("g_lang"), F.col("g_source")]
     for rule in RULES:
-        sketch = (
-            F.when(F.col("n") >= LEAST_ROWS, F.col(rule.measure))
-            .when(F.col("lang_n") >= LEAST_ROWS, F.col(f"lang_{rule.measure}"))
-            .otherwise(F.col(f"all.{rule.measure}"))
-        )
-        filled = F.kll_sketch_get_n_double(sketch) > 0
-        low, high = (F.when(filled, F.kll_sketch_get_quantile_double(sketch, F.lit(q))) for q in (0.25, 0.75))
+        sketches = [F.col(c) for c in (rule.measure, f"lang_{rule.measure}", f"all.{rule.measure}")]
+        low, high = (_blended(q, *sketches) for q in (0.25, 0.75))
         reach = REACH * F.greatest(high - low, F.lit(rule.spread))
         out.append((F.ceil((high + reach) / GRID) * GRID).alias(f"most_{rule.measure}"))
         if rule.both_sides:
@@ -126,7 +134,10 @@ def thresholds(rows: DataFrame, lang_col="lang", source_col="source") -> DataFra
 
 
 def judged(rows: DataFrame, bounds: DataFrame, lang_col="lang", source_col="source") -> DataFrame:
-    """The measured rows with `base_failed` and `kept`."""
+    """The measured rows with `base_failed` and `kept`; a measure that a text does not have passes.
+
+    Repeated rows are judged alike, each once. An empty table stays empty.
+    """
     own = F.col(lang_col).eqNullSafe(F.col("g_lang")) & F.col(source_col).eqNullSafe(F.col("g_source"))
     passed = F.lit(True)
     for rule in RULES:

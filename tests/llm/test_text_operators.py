@@ -395,6 +395,37 @@ def test_measures_and_verdicts(spark, docs, empty):
     assert quality.kept_documents(empty).columns == empty.columns
 
 
+def test_bounds_follow_the_size_of_a_group_smoothly(spark):
+    def share(values, q):
+        values = sorted(values)
+        return values[max(0, int(np.ceil(q * len(values))) - 1)]
+
+    def drawn(q, *groups):
+        out = share(groups[-1], q)
+        for g in groups[::-1]:
+            out = (len(g) * share(g, q) + quality.PRIOR * out) / (len(g) + quality.PRIOR) if g else out
+        return out
+
+    most = {}
+    for n in (0, 1, 2, 50, 99, 100, 101, 400):
+        # Words of nine letters in the small source, of three in the others of its language, of five elsewhere.
+        sizes = [("en", "small", 9, n), ("en", "large", 3, 900), ("de", None, 5, 200)]
+        rows = [(" ".join("x" * size for _ in range(12)), lang, source) for lang, source, size, k in sizes for _ in range(k)]
+        rows = quality.measured(spark.createDataFrame(rows, "text string, lang string, source string"))
+        bounds = {(r["g_lang"], r["g_source"]): r for r in quality.thresholds(rows).collect()}
+        lengths = {source: [float(size)] * k for _, source, size, k in sizes}
+        english, everything = lengths["small"] + lengths["large"], sum(lengths.values(), [])
+        for lang, source, _, k in filter(lambda x: x[3], sizes):
+            of_lang = english if lang == "en" else lengths[None]
+            low, high = (drawn(q, lengths[source], of_lang, everything) for q in (0.25, 0.75))
+            reach = quality.REACH * max(high - low, 1.5)
+            assert abs(bounds[lang, source]["most_mean_word"] - high - reach) < quality.GRID + 1e-9
+            assert abs(bounds[lang, source]["least_mean_word"] - low + reach) < quality.GRID + 1e-9
+        if n:
+            most[n] = bounds["en", "small"]["most_mean_word"]
+    assert most[1] < most[50] < most[99] <= most[100] <= most[101] < most[99] + 0.2 and most[101] < most[400]
+
+
 # Top k --------------------------------------------------------------------------------------------
 
 def test_top_k_equals_brute_force(spark, monkeypatch):
