@@ -23,6 +23,8 @@ from casewatch.session import stage
 
 ORDERS = (3, 4, 5)
 TABLE_BITS = 20
+PLACES = 1 << 40  # of text hashes in the order of a sample
+SEEN_TEXTS = 1 << 16
 
 
 class Classifier(NamedTuple):
@@ -77,25 +79,63 @@ def log_count_ratios(counts: np.ndarray, n: tuple[float, float], smoothing: floa
 
 
 def _rows(batches: Iterator[pa.RecordBatch], kept: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Features of texts; a text that this task has had before is left out where it is remembered."""
+    seen = set()
     for batch in batches:
+        fresh = []
+        for x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            fresh.append(x not in seen)
+            seen.add(x)
+        if len(seen) > SEEN_TEXTS:
+            seen.clear()
+        batch = batch.filter(pa.array(fresh, pa.bool_()))
         for a, b, texts in slices(batch.column(0)):
             doc, place = present(texts)
             column = np.searchsorted(kept, place)
             hit = (column < len(kept)) & (kept[np.minimum(column, len(kept) - 1)] == place)
             ends = np.searchsorted(doc[hit], np.arange(b - a + 1))
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(column[hit].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([lists, batch.column(1).slice(a, b - a)], ["features", "label"])
+            columns = [batch.column(i).slice(a, b - a) for i in (1, 2)]
+            yield pa.RecordBatch.from_arrays([lists, *columns], ["features", "label", "key"])
 
 
-def fit_logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, labels: np.ndarray, l2: float, steps=60):
-    """Weights and constant of a sparse logistic regression, by L-BFGS."""
-    n, width = len(labels), len(values)
+def bounded_sample(rows: DataFrame, kept: np.ndarray, max_rows: int, max_features: int) -> DataFrame:
+    """features, label and weight of distinct labelled texts, those with the smallest text hashes.
+
+    Equal texts of a label are one row, and their number is its weight, so a text that is very often there
+    takes no more room than another. At most `max_rows` rows with `max_features` features in
+    all are returned: rows are taken in order of hash, bin by bin, while both hold.
+    """
+    keyed = rows.withColumn("key", F.xxhash64("text")).withColumn("place", F.pmod("key", F.lit(PLACES)))
+    alike = stage(keyed.groupBy("key", "label").agg(F.count("*").alias("weight")))
+    # Half as many again as are asked for, so that the bounds and not chance end the sample.
+    end = int(PLACES * min(1.0, 1.5 * max_rows / max(1, alike.count()))) or 1
+    near = keyed.where(F.col("place") < end).select("text", "label", "key")
+    found = near.mapInArrow(partial(_rows, kept=kept), "features array<int>, label int, key long")
+    found = found.groupBy("key", "label").agg(F.first("features").alias("features"))
+    found = found.join(alike, ["key", "label"])
+    found = stage(found.withColumn("bin", F.floor(F.pmod("key", F.lit(PLACES)) * (4 * max_rows) / end).cast("int")))
+    sizes = found.groupBy("bin").agg(F.count("*").alias("n"), F.sum(F.size("features")).alias("m")).orderBy("bin").collect()
+    end, n, m = 0, 0, 0
+    for row in sizes:  # at most 4 * max_rows of them
+        n, m = n + row["n"], m + row["m"]
+        if n > max_rows or m > max_features:
+            break
+        end = row["bin"] + 1
+    return found.where(F.col("bin") < end).select("features", "label", "weight")
+
+
+def fit_logistic(
+    rows: np.ndarray, columns: np.ndarray, values: np.ndarray, labels: np.ndarray, counts: np.ndarray, l2: float, steps=60
+):
+    """Weights and constant of a sparse logistic regression on rows that count several times, by L-BFGS."""
+    n, width, counts = len(labels), len(values), counts / counts.sum()
 
     def loss(w):
         z = np.bincount(rows, (w[:-1] * values)[columns], n) + w[-1]
         p = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
-        value = np.mean(np.logaddexp(0, z) - labels * z) + l2 / 2 * (w[:-1] @ w[:-1])
-        g = (p - labels) / n
+        value = counts @ (np.logaddexp(0, z) - labels * z) + l2 / 2 * (w[:-1] @ w[:-1])
+        g = (p - labels) * counts
         return value, np.append(np.bincount(columns, g[rows], width) * values + l2 * w[:-1], g.sum())
 
     w, past = np.zeros(width + 1), []
@@ -133,6 +173,7 @@ def train(
     text_col="text",
     label_col="toxic",
     max_rows: int = 20_000,
+    max_features: int = 1 << 24,
     smoothing: float = 1.0,
     least: float = 10,
     ratio: float = 1.5,
@@ -140,12 +181,13 @@ def train(
 ) -> Classifier:
     """Classifier from labelled texts.
 
-    Counts, and so the ratios, cover all labelled rows. The regression is fitted on those with the smallest
-    text hashes, about `max_rows` of them, and on features with a ratio of at least `ratio`
-    either way that at least `least` texts hold. Rows without label do not count; with one
-    class only, the score is that class's share.
+    Counts, and so the ratios, cover all labelled rows. The regression is fitted on a sample that the driver
+    holds: distinct texts with the smallest hashes, weighted by how often they occur, at most
+    `max_rows` with `max_features` features in all. Features count that have a ratio of at least `ratio`
+    either way and that at least `least` texts hold. Rows without label do not count; with one
+    class only, the score is that class's share. A null text is like an empty one.
     """
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"))
+    rows = labelled.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("int").alias("label"))
     rows = stage(rows.where("label in (0, 1)"))
     sums = summed(rows.mapInArrow(_count, PARTS), (1 << TABLE_BITS) + 1)
     counts = np.stack([sums.get(k, np.zeros((1 << TABLE_BITS) + 1)) for k in ("0", "1")])
@@ -157,13 +199,13 @@ def train(
     kept = np.flatnonzero(np.abs(ratios) >= ratio)
     if not len(kept):
         return Classifier(weights, float(np.log(n[1] / n[0])))
-    share = min(1.0, max_rows / sum(n))
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    table = sample.mapInArrow(partial(_rows, kept=kept), "features array<int>, label int").toArrow()
+    table = bounded_sample(rows, kept, max_rows, max_features).toArrow()
     features = table.column("features").combine_chunks()
-    labels = np.asarray(table.column("label")).astype(float)
+    labels, counts = (np.asarray(table.column(c)).astype(float) for c in ("label", "weight"))
+    if not len(labels):  # not even the first text has room
+        return Classifier(weights, float(np.log(n[1] / n[0])))
     of = np.repeat(np.arange(len(labels)), np.diff(np.asarray(features.offsets)))
-    w, bias = fit_logistic(of, np.asarray(features.values), ratios[kept], labels, l2)
+    w, bias = fit_logistic(of, np.asarray(features.values), ratios[kept], labels, counts, l2)
     weights[kept] = w * ratios[kept]
     return Classifier(weights, bias)
 

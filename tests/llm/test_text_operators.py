@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casewatch.llm import languages, mixing, neardup, packing, privacy, quality, records, substrings, topk, toxicity
-from casewatch.llm.buffers import slices
+from casewatch.llm.buffers import Texts, slices
 from casewatch.llm.components import components
 from casewatch.llm.tokens import Encoder, default_path
 from casewatch.llm.vectors import held_out
@@ -517,6 +517,36 @@ def test_languages_are_told_apart(spark, docs, empty):
     assert {r["lang_pred"] for r in languages.identify(docs, languages.learn_profiles(empty)).collect()} == {"und"}
 
 
+def test_toxicity_learns_from_a_bounded_sample(spark):
+    rng = random.Random(12)
+    own = [(words(rng, 30) + (" vile" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(400)]
+    hot = [("the same again and again", 0)] * 200 + [(None, 0), ("", 0), ("", 0)]
+    everything = [(i, *row) for i, row in enumerate(own + hot)]
+    table = spark.createDataFrame(everything, "doc_id long, text string, toxic int").repartition(5)
+    rows = table.select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").alias("label"))
+    kept = np.arange(1 << toxicity.TABLE_BITS)
+
+    def sample(max_rows, max_features):
+        return toxicity.bounded_sample(rows, kept, max_rows, max_features).collect()
+
+    whole = sample(1000, 1 << 24)
+    assert sum(r["weight"] for r in whole) == len(own + hot)
+    assert sorted(r["weight"] for r in whole)[-2:] == [3, 200] and len(whole) == len(set(own)) + 2
+    features = set()
+    for t in {t for t, _ in own}:
+        data = np.frombuffer(t.encode(), np.uint8)
+        features.add(tuple(toxicity.present(Texts(data, np.array([0, len(data)])))[1].tolist()))
+    assert features <= {tuple(r["features"]) for r in whole}
+    some = sample(100, 1 << 24)
+    assert 60 <= len(some) <= 100
+    few = sample(1000, 10_000)
+    assert 5_000 < sum(len(r["features"]) for r in few) <= 10_000
+    assert sample(1000, 0) == [] or all(not r["features"] for r in sample(1000, 0))
+    for model in (toxicity.train(table, least=5), toxicity.train(table, least=5, max_rows=150)):
+        scored = {r["doc_id"]: r["score"] for r in toxicity.score(table, model).collect()}
+        assert all((scored[i] >= 0.5) == bool(t) for i, _, t in everything)
+
+
 def test_toxic_texts_score_high(spark, docs, empty):
     rng = random.Random(8)
     rows = []
