@@ -6,8 +6,8 @@ its short grams, so equal strings are cut around the same gram (its anchor). Onl
 whose anchor occurs in two documents can hold a repeated string; they are sent to the bucket of their anchor.
 Fragments of an anchor that very many have are cut into their strings first, and each string is sent
 to the bucket of its own hash, where equal ones meet as well.
-There each pack of documents is a shard with a Burrows-Wheeler transform of its new fragments,
-and the transforms are merged by refining how their entries interleave: each round sorts the
+There, anchors by anchors in pieces that a processor's cache holds, the new fragments of one or more packs of
+documents are a shard with a Burrows-Wheeler transform, and the transforms are merged by refining how their entries interleave: each round sorts the
 entries stably by the symbols before them, which extends the known common prefix by
 those symbols, until it has the asked length. Entries that are then still together begin with
 the same string, and the smallest document among them decides.
@@ -32,11 +32,15 @@ from casewatch.session import shared_dir, stage
 GRAM, MOST_STRINGS = 16, 100
 PACK_BYTES = 4 << 20
 HOT = 10_000  # fragments of one anchor, each counted once in a pack, beyond which they are cut into strings
+CUT_BYTES = 64 << 10  # of texts that are cut at a time, so that the work stays in a processor's cache
+CELLS = 256  # parts of a bucket by anchor, which are merged apart
+PIECE_BYTES, SHARD_BYTES = 256 << 10, 32 << 10  # of fragments merged at a time, and of a transform at least
+BUCKET_BYTES = 16 << 20  # of texts to a bucket, beyond a least number of buckets
 LAST = (1 << 63) - 1  # stands for a null id, which comes after all others
-PACKS = "pack long, doc_ids binary, known binary, sizes binary, data binary"
+PACKS = "pack long, n_bytes long, doc_ids binary, known binary, sizes binary, data binary"
 BLOBS = "bucket int, pack long, hashes binary, numbers binary"
 ANSWERS = "bucket int, pack long, hashes binary, hot binary"
-FRAGMENTS = "bucket int, pack long, lengths binary, firsts binary, data binary"
+FRAGMENTS = "bucket int, pack long, cells binary, lengths binary, firsts binary, data binary"
 REPLIES = "bucket int, pack long, runs binary, firsts binary"
 REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
@@ -48,14 +52,14 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.asarray(doc_ids.is_valid()).astype(np.uint8)
         numbers = np.asarray(doc_ids.fill_null(LAST)).astype(np.int64)
         for a, b, texts in slices(batch.column(1), PACK_BYTES):
-            row = [(part << 32) + count, numbers[a:b], known[a:b], np.diff(texts.offsets), texts.data]
-            yield _batch([row], ("pack", "doc_ids", "known", "sizes", "data"))
+            row = [(part << 32) + count, len(texts.data), numbers[a:b], known[a:b], np.diff(texts.offsets), texts.data]
+            yield _batch([row], ("pack", "n_bytes", "doc_ids", "known", "sizes", "data"))
             count += 1
 
 
 def _batch(rows: list[list], names: tuple) -> pa.RecordBatch:
     """Rows of whole numbers and arrays; arrays become bytes."""
-    kinds = {"pack": pa.int64(), "bucket": pa.int32()}
+    kinds = {"pack": pa.int64(), "n_bytes": pa.int64(), "bucket": pa.int32()}
     columns = [
         pa.array([v if isinstance(v, int) else np.ascontiguousarray(v).tobytes() for v in column], kinds.get(n, pa.binary()))
         for n, column in zip(names, zip(*rows))
@@ -75,13 +79,17 @@ class Pack:
 
     def _cut(self, length: int) -> None:
         """First string, end of strings, document, anchor hash and content hash of each fragment."""
-        n, window = len(self.texts.data), length - GRAM + 1
-        empty = np.empty(0, np.int64)
-        self.first = self.end = self.doc = empty
-        self.anchor = self.content = empty.view(np.uint64)
+        starts = range(0, max(1, len(self.texts.data) - length + 1), CUT_BYTES)
+        found = zip(*(self._cut_piece(at, length) for at in starts))
+        self.first, self.end, self.doc, self.anchor, self.content = (np.concatenate(x) for x in found)
+
+    def _cut_piece(self, at: int, length: int) -> tuple[np.ndarray, ...]:
+        """Fragments of the strings that start in a piece of the texts; a fragment ends with its piece."""
+        data, window = self.texts.data[at : at + CUT_BYTES + length - 1], length - GRAM + 1
+        n, empty = len(data), np.empty(0, np.int64)
         if n < length:
-            return
-        sums = self.texts.prefix_hash()
+            return empty, empty, empty, empty.view(np.uint64), empty.view(np.uint64)
+        sums = Texts(data, self.texts.offsets[:0]).prefix_hash()
         least = mix((sums[GRAM:] - sums[:-GRAM]) * powers(n - GRAM + 1, inverse=True))
         span = 1
         while span * 2 <= window:
@@ -90,18 +98,18 @@ class Pack:
         if span < window:
             least = np.minimum(least[: len(least) - (window - span)], least[window - span :])
         starts = np.arange(n - length + 1)
-        doc = np.repeat(np.arange(len(self.texts)), np.diff(self.texts.offsets))[: len(starts)]
-        whole = starts + length <= self.texts.offsets[doc + 1]
+        offsets = self.texts.offsets - at
+        doc = np.repeat(np.arange(len(self.texts)), np.diff(np.clip(offsets, 0, len(starts))))
+        whole = starts + length <= offsets[doc + 1]
         new = whole.copy()
         new[1:] &= (least[1:] != least[:-1]) | (doc[1:] != doc[:-1]) | ~whole[:-1]
         first = np.flatnonzero(new)
         count = np.add.reduceat(whole.astype(np.int64), first) if len(first) else empty
         parts = -(-count // MOST_STRINGS)  # text that repeats itself has long runs around one gram
-        self.first = np.repeat(first, parts) + MOST_STRINGS * ragged(np.zeros_like(parts), parts)
-        self.end = np.minimum(self.first + MOST_STRINGS, np.repeat(first + count, parts))
-        self.doc, self.anchor = doc[self.first], least[self.first]
-        ends = self.end + length - 1
-        self.content = mix((sums[ends] - sums[self.first]) * powers(n + 1, inverse=True)[self.first])
+        some = np.repeat(first, parts) + MOST_STRINGS * ragged(np.zeros_like(parts), parts)
+        end = np.minimum(some + MOST_STRINGS, np.repeat(first + count, parts))
+        content = mix((sums[end + length - 1] - sums[some]) * powers(n + 1, inverse=True)[some])
+        return some + at, end + at, doc[some], least[some], content
 
     def split(self, mask: np.ndarray, length: int) -> None:
         """Make fragments of one string out of those of a mask; their content stands for the anchor."""
@@ -124,6 +132,12 @@ def _by_bucket(values: np.ndarray, buckets: int) -> np.ndarray:
     return (values % np.uint64(buckets)).astype(np.int64)
 
 
+def _cells(values: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and part of the bucket, as one number."""
+    part = (values // np.uint64(buckets)) % np.uint64(CELLS)
+    return _by_bucket(values, buckets) * CELLS + part.astype(np.int64)
+
+
 def _groups(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """Bucket, start and end of each run of equal buckets."""
     edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
@@ -144,17 +158,18 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> It
     """
     for row in _rows(batches):
         pack = Pack(row, length)
-        order = np.lexsort((pack.ids[pack.doc], pack.anchor))
-        anchor, owner = pack.anchor[order], pack.ids[pack.doc[order]]
-        same = anchor[1:] == anchor[:-1]
-        several = np.unique(anchor[1:][same & (owner[1:] != owner[:-1])])
-        order = np.lexsort((pack.content, pack.anchor))
-        new = np.ones(len(order), bool)
-        new[1:] = (pack.content[order][1:] != pack.content[order][:-1]) | (pack.anchor[order][1:] != pack.anchor[order][:-1])
-        distinct, numbers = np.unique(pack.anchor[order[new]], return_counts=True)
+        several = np.empty(0, np.uint64)
+        if len(pack.anchor):
+            order = np.argsort(pack.anchor)
+            anchor, owner = pack.anchor[order], pack.ids[pack.doc[order]]
+            begins = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+            several = anchor[begins[np.minimum.reduceat(owner, begins) < np.maximum.reduceat(owner, begins)]]
+        _, one = np.unique(pack.content, return_index=True)  # equal fragments have one anchor
+        distinct, numbers = np.unique(pack.anchor[one], return_counts=True)
         values = np.concatenate([distinct, several])
         numbers = np.concatenate([np.minimum(numbers, 65535), np.zeros(len(several), np.int64)]).astype(np.uint16)
-        order = np.lexsort((values, _by_bucket(values, buckets)))
+        narrow = np.uint16 if buckets <= 1 << 16 else np.int64
+        order = np.argsort(_by_bucket(values, buckets).astype(narrow), kind="stable")
         values, numbers = values[order], numbers[order]
         rows = [[b, row["pack"], values[i:j], numbers[i:j]] for b, i, j in _groups(_by_bucket(values, buckets))]
         if rows:
@@ -199,12 +214,12 @@ def _candidates(pack: Pack, replies: list[bytes], hot: list[bytes], length: int)
 
 
 def _fragment_order(pack: Pack, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """One occurrence of each distinct fragment by bucket and content, and where each fragment stands in that."""
-    bucket = _by_bucket(pack.anchor, buckets)
-    order = np.lexsort((pack.ids[pack.doc], pack.content, bucket))
-    content, bucket = pack.content[order], bucket[order]
+    """One occurrence of each distinct fragment by cell and content, and where each fragment stands in that."""
+    cell = _cells(pack.anchor, buckets)
+    order = np.lexsort((pack.ids[pack.doc], pack.content, cell))
+    content, cell = pack.content[order], cell[order]
     new = np.ones(len(order), bool)
-    new[1:] = (content[1:] != content[:-1]) | (bucket[1:] != bucket[:-1])
+    new[1:] = (content[1:] != content[:-1]) | (cell[1:] != cell[:-1])
     where = np.empty(len(order), np.int64)
     where[order] = np.cumsum(new) - 1
     return order[new], where
@@ -217,12 +232,12 @@ def _fragments(batches: Iterator[pa.RecordBatch], length: int, buckets: int) ->
         _candidates(pack, row["replies"], row["hot"], length)
         chosen, _ = _fragment_order(pack, buckets)
         size = pack.end[chosen] - pack.first[chosen] + length - 1
-        rows = []
-        for b, i, j in _groups(_by_bucket(pack.anchor[chosen], buckets)):
+        cell, rows = _cells(pack.anchor[chosen], buckets), []
+        for b, i, j in _groups(cell // CELLS):
             data = pack.texts.data[ragged(pack.first[chosen[i:j]], size[i:j])]
-            rows.append([b, row["pack"], size[i:j].astype(np.uint8), pack.ids[pack.doc[chosen[i:j]]], data])
+            rows.append([b, row["pack"], (cell[i:j] % CELLS).astype(np.uint8), size[i:j].astype(np.uint8), pack.ids[pack.doc[chosen[i:j]]], data])
         if rows:
-            yield _batch(rows, ("bucket", "pack", "lengths", "firsts", "data"))
+            yield _batch(rows, ("bucket", "pack", "cells", "lengths", "firsts", "data"))
 
 
 def shard_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -244,16 +259,21 @@ def shard_order(text: np.ndarray, depth: int) -> np.ndarray:
 
 def _before(texts: list[np.ndarray], orders: list[np.ndarray], step: int) -> np.ndarray | None:
     """The `step` bytes before every suffix as one ordered number of 16 bits; None if there are too many."""
+    used = np.zeros(256, bool)
+    for text in texts:
+        used |= np.bincount(text, minlength=256) > 0
+    letter, letters = (np.cumsum(used) - 1).astype(np.int32), int(used.sum())
     grams = []
     for text, order in zip(texts, orders):
+        own = letter[text]
         gram = np.zeros(len(text), np.int32)
         for back in range(step, 0, -1):
-            gram = (gram << 8) | text.take(order - back, mode="wrap")
-        grams.append(gram)
+            gram = gram * letters + np.roll(own, back)
+        grams.append(gram[order])
     grams = np.concatenate(grams)
-    if step < 3:
+    if letters**step <= 1 << 16:
         return grams.astype(np.uint16)
-    present = np.zeros(1 << (8 * step), bool)
+    present = np.zeros(letters**step, bool)
     present[grams] = True
     found = np.flatnonzero(present)
     if len(found) > 1 << 16:
@@ -291,11 +311,35 @@ def merged_blocks(texts: list[np.ndarray], depth: int) -> tuple[np.ndarray, list
 
 
 def _merge(table: pa.Table, length: int) -> pa.Table:
-    """For each pack's fragments, the smallest document of every string in them, in runs."""
-    packs = [
-        (np.frombuffer(a, np.uint8).astype(np.int64), np.frombuffer(b, np.int64), np.frombuffer(c, np.uint8))
-        for a, b, c in zip(*(table.column(n).to_pylist() for n in ("lengths", "firsts", "data")))
-    ]
+    """For each pack's fragments, the smallest document of every string in them, in runs.
+
+    Neighbouring cells are merged together up to some bytes, so what is worked on stays small
+    whatever the size of the bucket.
+    """
+    packs, totals = [], np.zeros(CELLS, np.int64)
+    for cells, lengths, firsts, data in zip(*(table.column(n).to_pylist() for n in ("cells", "lengths", "firsts", "data"))):
+        cells, lengths = np.frombuffer(cells, np.uint8), np.frombuffer(lengths, np.uint8).astype(np.int64)
+        totals += np.bincount(cells, lengths, CELLS).astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        packs.append((cells, lengths, np.frombuffer(firsts, np.int64), np.frombuffer(data, np.uint8), ends))
+    piece = (np.cumsum(totals) - totals) // PIECE_BYTES
+    answers: list[list] = [[] for _ in packs]
+    for _, low, high in _groups(piece):
+        some, who = [], []
+        for k, (cells, lengths, firsts, data, ends) in enumerate(packs):
+            i, j = np.searchsorted(cells, [low, high])
+            if i < j:
+                some.append((lengths[i:j], firsts[i:j], data[ends[i] : ends[j]]))
+                who.append(k)
+        for k, answer in zip(who, _merged(some, length) if some else ()):
+            answers[k].append(answer)
+    columns = [table.column("bucket"), table.column("pack")]
+    columns += [pa.array([b"".join(x[k] for x in a) for a in answers], pa.binary()) for k in (0, 1)]
+    return pa.table(columns, names=["bucket", "pack", "runs", "firsts"])
+
+
+def _merged(packs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], length: int) -> list[tuple[bytes, bytes]]:
+    """Runs and smallest documents for the fragments of each pack: their lengths, documents and bytes."""
     size, first = np.concatenate([p[0] for p in packs]), np.concatenate([p[1] for p in packs])
     data = np.concatenate([p[2] for p in packs])
     start = np.cumsum(size) - size
@@ -305,10 +349,13 @@ def _merge(table: pa.Table, length: int) -> pa.Table:
     least = np.full(len(distinct), LAST)
     np.minimum.at(least, which, first)
     # Every fragment belongs to the shard of the first pack that has it; a zero byte ends it.
+    # Packs with little share a shard.
     of_pack = np.repeat(np.arange(len(packs)), [len(p[0]) for p in packs])
+    new_bytes = np.bincount(of_pack[seen], size[seen], len(packs)).astype(np.int64)
+    of_shard = (np.cumsum(new_bytes) - new_bytes) // SHARD_BYTES
     shards, base, at = [], np.empty(len(distinct), np.int64), 0
     by_pack = np.argsort(of_pack[seen], kind="stable")
-    for _, i, j in _groups(of_pack[seen[by_pack]]):
+    for _, i, j in _groups(of_shard[of_pack[seen[by_pack]]]):
         own = by_pack[i:j]
         n = size[seen[own]]
         text = np.zeros(int(n.sum()) + len(own), np.uint8)
@@ -339,9 +386,7 @@ def _merge(table: pa.Table, length: int) -> pa.Table:
         mine = which[of_pack == i]
         taken = ragged(first_run[mine], first_run[mine + 1] - first_run[mine])
         out.append((run_length[taken].astype(np.uint8).tobytes(), run_first[taken].tobytes()))
-    columns = [table.column("bucket"), table.column("pack")]
-    columns += [pa.array([o[k] for o in out], pa.binary()) for k in (0, 1)]
-    return pa.table(columns, names=["bucket", "pack", "runs", "firsts"])
+    return out
 
 
 def _remove(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -388,12 +433,14 @@ def without_repeats(docs: DataFrame, length: int = 50, id_col="doc_id", text_col
         raise ValueError("length must be between 32 and 150")
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Packs are bucketed, so that answers come to them and their texts never move again.
     name = f"packs_{uuid.uuid4().hex}"
-    writer = rows.mapInArrow(_pack, PACKS).write.bucketBy(buckets, "pack").option("compression", "zstd")
+    writer = rows.mapInArrow(_pack, PACKS).write.bucketBy(max(64, 4 * partitions), "pack").option("compression", "zstd")
     writer.option("path", f"{shared_dir(spark)}/staging/{name}").saveAsTable(name)
     packs = spark.table(name)
+    n_bytes = packs.agg(F.sum("n_bytes")).first()[0] or 0
+    buckets = max(64, 4 * partitions, n_bytes // BUCKET_BYTES)
 
     blobs = packs.mapInArrow(partial(_anchors, length=length, buckets=buckets), BLOBS)
     most = HOT

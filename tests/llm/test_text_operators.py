@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import types
 import zlib
 from collections import Counter, defaultdict
 
@@ -618,6 +619,47 @@ def test_hot_passages_are_met_by_strings(spark, monkeypatch):
     assert Counter(map(tuple, got)) == plain_removal(collected(table))
 
 
+def test_pieces_shards_and_cells_change_no_result(monkeypatch):
+    rng = random.Random(17)
+    passage = "".join(rng.choice("abcd ") for _ in range(400))
+    texts = ["".join(rng.choice("abcdefgh \n") for _ in range(rng.randrange(0, 400))) for _ in range(90)]
+    for i in range(0, 90, 3):
+        a = rng.randrange(0, 300)
+        texts[i] += passage[a : a + rng.randrange(40, 100)] + texts[i][:90]
+    texts += [texts[5], texts[5][10:], "ab" * 300, "x" + "ab" * 200, "", passage[:49]]
+    expected = plain_removal(list(enumerate(texts)))
+    sizes = {"CUT_BYTES": (64, 1000, 64 << 10), "PIECE_BYTES": (300, 5000, 1 << 20), "SHARD_BYTES": (1, 700, 1 << 20), "CELLS": (1, 7, 256)}
+    for k in range(3):
+        for name, values in sizes.items():
+            monkeypatch.setattr(substrings, name, values[k])
+        rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+        monkeypatch.setattr(substrings, "PACK_BYTES", 3000)
+        monkeypatch.setattr(substrings.TaskContext, "get", classmethod(lambda _: types.SimpleNamespace(partitionId=lambda: 0)))
+        packs = [r for batch in substrings._pack(iter([rows])) for r in batch.to_pylist()]
+        assert len(packs) > 5
+
+        def by_bucket(batches, function):
+            table = pa.Table.from_batches(list(batches))
+            for b in set(table.column("bucket").to_pylist()):
+                yield from function(table.filter(pa.compute.equal(table.column("bucket"), b))).to_pylist()
+
+        def asked(answers):
+            return iter([pa.RecordBatch.from_pylist([p | answers[p["pack"]]]) for p in packs])
+
+        answers = defaultdict(lambda: {"replies": [], "hot": [], "found": []})
+        plain = iter([pa.RecordBatch.from_pylist([p]) for p in packs])
+        for r in by_bucket(substrings._anchors(plain, 50, 8), lambda t: substrings._repeated(t, 10)):
+            answers[r["pack"]]["replies"].append(r["hashes"])
+            answers[r["pack"]]["hot"].append(r["hot"])
+        for r in by_bucket(substrings._fragments(asked(answers), 50, 8), lambda t: substrings._merge(t, 50)):
+            answers[r["pack"]]["found"].append(r)
+        got = Counter()
+        for batch in substrings._remove(asked(answers), 50, 8):
+            for r in batch.to_pylist():
+                got[(*list(r.values())[:-1], hashlib.sha256(r["kept"]).hexdigest())] += 1
+        assert got == expected
+
+
 def test_no_bucket_holds_the_edges_of_a_hot_passage():
     texts, buckets, packs = hot_texts(random.Random(16), 400), 64, []
     for k in range(4):
