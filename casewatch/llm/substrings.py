@@ -213,16 +213,22 @@ def _candidates(pack: Pack, replies: list[bytes], hot: list[bytes], length: int)
     pack.split(_member(pack.anchor, hot), length)
 
 
-def _fragment_order(pack: Pack, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """One occurrence of each distinct fragment by cell and content, and where each fragment stands in that."""
-    cell = _cells(pack.anchor, buckets)
-    order = np.lexsort((pack.ids[pack.doc], pack.content, cell))
-    content, cell = pack.content[order], cell[order]
+def _fragment_order(pack: Pack, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct fragments by cell and content: an occurrence of each, its smallest document, and where each fragment stands."""
+    order = np.argsort(pack.content)
+    content = pack.content[order]
     new = np.ones(len(order), bool)
-    new[1:] = (content[1:] != content[:-1]) | (cell[1:] != cell[:-1])
+    new[1:] = content[1:] != content[:-1]
+    begins = np.flatnonzero(new)
+    chosen = order[begins]  # equal fragments have one anchor, and so one cell
+    least = np.minimum.reduceat(pack.ids[pack.doc[order]], begins) if len(begins) else begins
+    cell = _cells(pack.anchor[chosen], buckets)
+    by_cell = np.argsort(cell.astype(np.uint16) if buckets * CELLS <= 1 << 16 else cell, kind="stable")
+    rank = np.empty(len(chosen), np.int64)
+    rank[by_cell] = np.arange(len(chosen))
     where = np.empty(len(order), np.int64)
-    where[order] = np.cumsum(new) - 1
-    return order[new], where
+    where[order] = rank[np.cumsum(new) - 1]
+    return chosen[by_cell], least[by_cell], where
 
 
 def _fragments(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -230,12 +236,12 @@ def _fragments(batches: Iterator[pa.RecordBatch], length: int, buckets: int) ->
     for row in _rows(batches):
         pack = Pack(row, length)
         _candidates(pack, row["replies"], row["hot"], length)
-        chosen, _ = _fragment_order(pack, buckets)
+        chosen, least, _ = _fragment_order(pack, buckets)
         size = pack.end[chosen] - pack.first[chosen] + length - 1
         cell, rows = _cells(pack.anchor[chosen], buckets), []
         for b, i, j in _groups(cell // CELLS):
             data = pack.texts.data[ragged(pack.first[chosen[i:j]], size[i:j])]
-            rows.append([b, row["pack"], (cell[i:j] % CELLS).astype(np.uint8), size[i:j].astype(np.uint8), pack.ids[pack.doc[chosen[i:j]]], data])
+            rows.append([b, row["pack"], (cell[i:j] % CELLS).astype(np.uint8), size[i:j].astype(np.uint8), least[i:j], data])
         if rows:
             yield _batch(rows, ("bucket", "pack", "cells", "lengths", "firsts", "data"))
 
@@ -394,20 +400,23 @@ def _remove(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Ite
         pack = Pack(row, length)
         _candidates(pack, row["replies"] or [], row["hot"] or [], length)
         data, offsets = pack.texts.data, pack.texts.offsets
-        cover = np.zeros(len(data) + 1, np.int32)
+        cover = np.zeros(len(data) + 1, np.int64)
         if len(pack.first):
-            _, where = _fragment_order(pack, buckets)
+            _, _, where = _fragment_order(pack, buckets)
             found = sorted(row["found"] or [], key=lambda x: x["bucket"])
             runs = np.concatenate([np.frombuffer(x["runs"], np.uint8) for x in found]).astype(np.int64)
-            least = np.repeat(np.concatenate([np.frombuffer(x["firsts"], np.int64) for x in found]), runs)
-            strings = pack.end - pack.first
-            per = np.zeros(int(where.max()) + 1, np.int64)
-            per[where] = strings
-            place = np.cumsum(per) - per
-            least = least[ragged(place[where], strings)]
-            at = ragged(pack.first, strings)[least < np.repeat(pack.ids[pack.doc], strings)]
-            np.add.at(cover, at, 1)
-            np.add.at(cover, at + length, -1)
+            least = np.concatenate([np.frombuffer(x["firsts"], np.int64) for x in found])
+            # Runs never pass the end of a fragment, so each distinct fragment has whole ones.
+            strings = np.zeros(int(where.max()) + 1, np.int64)
+            strings[where] = pack.end - pack.first
+            place, run_at = np.cumsum(strings) - strings, np.cumsum(runs) - runs
+            first_run = np.searchsorted(run_at, np.append(place, len(runs) and run_at[-1] + 1))
+            n_runs = np.diff(first_run)[where]
+            taken, of = ragged(first_run[where], n_runs), np.repeat(np.arange(len(where)), n_runs)
+            earlier = least[taken] < pack.ids[pack.doc[of]]
+            taken, of = taken[earlier], of[earlier]
+            at = pack.first[of] + run_at[taken] - place[where[of]]
+            cover += np.bincount(at, minlength=len(cover)) - np.bincount(at + runs[taken] + length - 1, minlength=len(cover))
         gone = np.cumsum(cover[:-1]) > 0
         begins = gone.copy()
         begins[1:] &= ~gone[:-1]
