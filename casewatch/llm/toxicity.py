@@ -25,6 +25,8 @@ ORDERS = (3, 4, 5)
 TABLE_BITS = 20
 PLACES = 1 << 40  # of text hashes in the order of a sample
 SEEN_TEXTS = 1 << 16
+HELD = 1 << 18  # code points whose n-grams are held at a time, some 100 bytes each
+TEXT_BYTES = 1 << 19  # of texts whose n-grams are looked at together
 
 
 class Classifier(NamedTuple):
@@ -37,11 +39,21 @@ class Classifier(NamedTuple):
 def present(texts) -> tuple[np.ndarray, np.ndarray]:
     """Document and table place of each distinct n-gram of each text, lower-cased."""
     codes, offsets = code_points(texts)
-    doc = np.repeat(np.arange(len(texts), dtype=np.uint64), np.diff(offsets))
+    found = [np.empty(0, np.uint64)]
+    for at in range(0, len(codes), HELD):  # n-grams that start here; a few of the next piece come twice
+        end = min(at + HELD + ORDERS[-1] - 1, len(codes))
+        found.append(_cells(codes[at:end], np.diff(np.clip(offsets, at, end))))
+    cells = found[-1] if len(found) <= 2 else _distinct(np.concatenate(found))
+    return (cells >> np.uint64(TABLE_BITS)).astype(np.int64), (cells & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)
+
+
+def _cells(codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Document and table place in one number, of the n-grams within documents of these lengths."""
+    doc = np.repeat(np.arange(len(lengths), dtype=np.uint64), lengths)
     values = mix((codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
     sums = np.zeros(len(codes) + 1, np.uint64)
     np.cumsum(values * powers(len(codes)), out=sums[1:])
-    down, found = powers(len(codes) + 1, inverse=True), []
+    down, found = powers(len(codes) + 1, inverse=True), [np.empty(0, np.uint64)]
     for n in ORDERS:
         if len(codes) < n:
             continue
@@ -49,12 +61,12 @@ def present(texts) -> tuple[np.ndarray, np.ndarray]:
         key = (sums[n:] - sums[:-n]) * down[: len(codes) - n + 1] * np.uint64(0xD6E8FEB86659FD93)
         key = mix(key + np.uint64(n)) >> np.uint64(64 - TABLE_BITS)
         found.append((doc[: len(whole)] << np.uint64(TABLE_BITS) | key)[whole])
-    if not found:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    cells = np.concatenate(found)
+    return _distinct(np.concatenate(found))
+
+
+def _distinct(cells: np.ndarray) -> np.ndarray:
     cells.sort()
-    cells = cells[np.concatenate([[True], cells[1:] != cells[:-1]])] if len(cells) else cells
-    return (cells >> np.uint64(TABLE_BITS)).astype(np.int64), (cells & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)
+    return cells[np.concatenate([[True], cells[1:] != cells[:-1]])] if len(cells) else cells
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,7 +74,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals = np.zeros((2, (1 << TABLE_BITS) + 1))
     for batch in batches:
         labels = np.asarray(batch.column(1)).astype(np.int64)
-        for a, b, texts in slices(batch.column(0)):
+        for a, b, texts in slices(batch.column(0), TEXT_BYTES):
             doc, place = present(texts)
             for label in (0, 1):
                 totals[label, :-1] += np.bincount(place[labels[a:b][doc] == label], minlength=1 << TABLE_BITS)
@@ -89,7 +101,7 @@ def _rows(batches: Iterator[pa.RecordBatch], kept: np.ndarray) -> Iterator[pa.Re
         if len(seen) > SEEN_TEXTS:
             seen.clear()
         batch = batch.filter(pa.array(fresh, pa.bool_()))
-        for a, b, texts in slices(batch.column(0)):
+        for a, b, texts in slices(batch.column(0), TEXT_BYTES):
             doc, place = present(texts)
             column = np.searchsorted(kept, place)
             hit = (column < len(kept)) & (kept[np.minimum(column, len(kept) - 1)] == place)
@@ -213,7 +225,7 @@ def train(
 def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     weights, bias = shared.value
     for batch in batches:
-        for a, b, texts in slices(batch.column(1)):
+        for a, b, texts in slices(batch.column(1), TEXT_BYTES):
             doc, place = present(texts)
             z = np.bincount(doc, weights[place], b - a) + bias
             score = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
