@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from casewatch.llm.buffers import Texts, mix, slices
+from casewatch.llm.buffers import Texts, mix, slices, text_arrays
 from casewatch.llm.components import components
 from casewatch.llm.vectors import PARTS, chunks, part_batch, summed
 from casewatch.session import stage
@@ -29,6 +29,8 @@ from casewatch.session import stage
 WORDS = 5
 COUNTER_BITS = 20
 SEEN_CLASSES = 1 << 16
+TEXT_BYTES = 1 << 20  # of texts whose shingles are held at a time
+PAIRS = 1 << 11  # of sets that are compared at a time
 SIEVE_BITS = 20  # places of a table of fixed size that tells which texts can be of wanted classes
 PARTS_OF_SET = 64
 _LOW = np.uint64((1 << 56) - 1)
@@ -71,7 +73,7 @@ def shingles(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << COUNTER_BITS, np.int64)
     for batch in batches:
-        for _, _, texts in slices(batch.column(0)):
+        for _, _, texts in slices(batch.column(0), TEXT_BYTES):
             value, _ = shingles(texts)
             place = (value >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
             counts += np.bincount(place, minlength=len(counts))
@@ -103,10 +105,22 @@ def _classes(value: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return mix(_sum_by(mix(value + np.uint64(0x51ED270B)), offsets))
 
 
+def _fresh(own: np.ndarray, n: np.ndarray, seen: set) -> np.ndarray:
+    """Which classes a task has not had before, as far as it remembers."""
+    fresh = np.zeros(len(n), bool)
+    for i, key in enumerate(zip(own.tolist(), n.tolist())):
+        if key not in seen:
+            fresh[i] = True
+            seen.add(key)
+            if len(seen) > SEEN_CLASSES:
+                seen.clear()
+    return fresh
+
+
 def _prefixes(batches: Iterator[pa.RecordBatch], shared, percent: int) -> Iterator[pa.RecordBatch]:
     level, seen = shared.value, set()
     for batch in batches:
-        for a, b, texts in slices(batch.column(1)):
+        for a, b, texts in slices(batch.column(1), TEXT_BYTES):
             value, offsets = shingles(texts)
             n = np.diff(offsets)
             own = _classes(value, offsets)
@@ -116,15 +130,8 @@ def _prefixes(batches: Iterator[pa.RecordBatch], shared, percent: int) -> Iterat
             token = token[np.lexsort((token, doc))]
             place = np.arange(len(token)) - offsets[:-1][doc]
             length = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
-            fresh = np.zeros(len(n), bool)
-            for i, key in enumerate(zip(own.tolist(), n.tolist())):
-                # A class that this task has had before adds nothing to the lists.
-                if key not in seen:
-                    fresh[i] = True
-                    seen.add(key)
-                    if len(seen) > SEEN_CLASSES:
-                        seen.clear()
-            length = np.where(fresh, length, 0)
+            # A class that this task has had before adds nothing to the lists.
+            length = np.where(_fresh(own, n, seen), length, 0)
             kept = place < length[doc]
             ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), _int64(token[kept]))
@@ -163,25 +170,34 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], sieve) -> Iterator[pa.RecordBatch]:
-    marks = sieve.value
+    """Sets of wanted classes; a class that this task has had before is not sent again."""
+    marks, seen = sieve.value, set()
     for batch in batches:
-        for _, _, texts in slices(batch.column(0)):
+        for _, _, texts in slices(batch.column(0), TEXT_BYTES):
             value, offsets = shingles(texts)
             own = _classes(value, offsets)
-            chosen = np.flatnonzero(marks[_places(own.view(np.int64))] & (np.diff(offsets) > 0))
+            n = np.diff(offsets)
+            chosen = np.flatnonzero(marks[_places(own.view(np.int64))] & (n > 0))
+            chosen = chosen[_fresh(own[chosen], n[chosen], seen)]
             sets = [value[offsets[i] : offsets[i + 1]].tobytes() for i in chosen]
             yield pa.RecordBatch.from_arrays([_int64(own[chosen]), pa.array(sets, pa.binary())], ["class", "shingles"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        keep = []
-        for x, y in zip(a, b):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= percent * (len(x) + len(y) - both))
-        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        for at in range(0, batch.num_rows, PAIRS):
+            some = batch.slice(at, PAIRS)
+            (x, x_at), (y, y_at) = (text_arrays(some.column(i)) for i in (2, 3))
+            x, y, x_at, y_at = x.view(np.uint64), y.view(np.uint64), x_at // 8, y_at // 8
+            n, m = np.diff(x_at), np.diff(y_at)
+            both = np.array(
+                [
+                    len(np.intersect1d(x[x_at[i] : x_at[i + 1]], y[y_at[i] : y_at[i + 1]], assume_unique=True))
+                    for i in range(len(n))
+                ],
+                np.int64,
+            )
+            yield some.select([0, 1]).filter(pa.array(100 * both >= percent * (n + m - both)))
 
 
 def _fits(n: str, m: str, before: str, other: str, percent: int) -> Column:
@@ -203,7 +219,8 @@ def _linked(pairs: DataFrame, texts: DataFrame, signatures: DataFrame, percent:
     marks = summed(wanted.mapInArrow(_mark, PARTS), 1 << SIEVE_BITS, "<u4").get("", np.zeros(1 << SIEVE_BITS))
     sieve = spark.sparkContext.broadcast(marks > 0)
     sets = texts.select("text").mapInArrow(partial(_sets, sieve=sieve), "class long, shingles binary")
-    sets = sets.join(wanted, sets["class"] == wanted["a"], "left_semi").dropDuplicates(["class"])
+    # Equal sets become one in the tasks, then one per task, before they meet the classes.
+    sets = sets.dropDuplicates(["class"]).join(wanted, F.col("class") == wanted["a"], "left_semi")
     sets = stage(sets)
     a = sets.select(F.col("class").alias("a"), F.col("shingles").alias("x"))
     b = sets.select(F.col("class").alias("b"), F.col("shingles").alias("y"))

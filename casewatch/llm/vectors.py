@@ -48,7 +48,7 @@ def summed(parts: DataFrame, size: int, kind: str = "<f8") -> dict[str | None, n
     for groups in (["key", "chunk", "salt"], ["key", "chunk"]):
         parts = parts.groupBy(*groups).applyInPandas(add, PARTS)
     out: dict[str | None, np.ndarray] = {}
-    for row in parts.select("key", "chunk", "value").toLocalIterator():
+    for row in parts.select("key", "chunk", "value").toArrow().to_pylist():  # one job, however many partitions
         vector = out.setdefault(row["key"], np.zeros(size, kind))
         value = np.frombuffer(row["value"], kind)
         vector[row["chunk"] * CHUNK : row["chunk"] * CHUNK + len(value)] = value

@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES_DIR = "spark.casewatch.tables.dir"
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20  # of rows that a staged frame's Python steps get at a time
 
 # What the plans in this package rely on. All are runtime settings, so they can
 # also be applied to a session somebody else created.
@@ -83,8 +85,14 @@ def stage(df: DataFrame, folder: str | None = None) -> DataFrame:
 
     What follows neither computes it again nor loses it with an executor, and
     Spark knows its size: a join broadcasts it only below the session's limit and
-    shuffles it otherwise. The folder is one of this run alone.
+    shuffles it otherwise. The folder is one of this run alone. While it is written,
+    Python steps get batches of a few megabytes, which both sides of the pipe hold.
     """
-    folder = folder or staging_folder(df.sparkSession)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    spark, folder = df.sparkSession, folder or staging_folder(df.sparkSession)
+    before = spark.conf.get(BATCH_SETTING, None)
+    spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    try:
+        df.write.mode("overwrite").option("compression", "zstd").parquet(folder)
+    finally:
+        spark.conf.unset(BATCH_SETTING) if before is None else spark.conf.set(BATCH_SETTING, before)
+    return spark.read.schema(df.schema).parquet(folder)
