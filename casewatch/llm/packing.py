@@ -50,6 +50,8 @@ def points(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     vectors = np.bincount(cell, sign, n * HASHED).reshape(n, HASHED)
     vectors = np.sign(vectors) * np.log1p(np.abs(vectors))
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+    if n == 1:  # a single row would be multiplied by another routine, which rounds otherwise
+        return (vectors.repeat(2, axis=0).astype(np.float32) @ _projection())[:1]
     return vectors.astype(np.float32) @ _projection()
 
 

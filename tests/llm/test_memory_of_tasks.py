@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from casewatch.llm import neardup, toxicity
+from casewatch.llm import neardup, packing, toxicity
 from casewatch.llm.buffers import Texts
 from casewatch.session import BATCH_SETTING, stage
 
@@ -92,3 +92,11 @@ def test_pairs_are_verified_however_many_come_at_once(monkeypatch):
         monkeypatch.setattr(neardup, "PAIRS", at_once)
         got = pa.Table.from_batches(neardup._verify(iter([batch]), 80)).to_pydict()
         assert list(zip(got["a"], got["b"])) == [p for p in pairs[3:] if linked(*p)]
+
+
+def test_points_are_the_same_however_documents_come():
+    lengths = np.random.default_rng(1).integers(0, 300, 200)
+    ids = np.random.default_rng(2).integers(0, 49_000, lengths.sum()).astype(np.uint32)
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    alone = [packing.points(ids[a:b], np.array([0, b - a])) for a, b in zip(ends, ends[1:])]
+    assert np.array_equal(np.concatenate(alone), packing.points(ids, ends))
