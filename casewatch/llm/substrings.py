@@ -8,8 +8,9 @@ Fragments of an anchor that very many have are cut into their strings first, and
 to the bucket of its own hash, where equal ones meet as well.
 There, anchors by anchors in pieces that a processor's cache holds, the new fragments of one or more packs of
 documents are a shard with a Burrows-Wheeler transform, and the transforms are merged by refining how their entries interleave: each round sorts the
-entries stably by the symbols before them, which extends the known common prefix by
-those symbols, until it has the asked length. Entries that are then still together begin with
+entries by the symbols before them within what is known, which extends the known common prefix by
+those symbols, until it has the asked length. A round holds only the entries from which the rounds
+left come to a string of a fragment. Entries that are then still together begin with
 the same string, and the smallest document among them decides.
 """
 
@@ -246,74 +247,115 @@ def _fragments(batches: Iterator[pa.RecordBatch], length: int, buckets: int) ->
             yield _batch(rows, ("bucket", "pack", "cells", "lengths", "firsts", "data"))
 
 
-def shard_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Positions of a text (taken as a circle) by the first `depth` bytes from there, by doubling."""
-    n, known = len(text), 8
-    circle = np.concatenate([text, text[np.arange(known - 1) % n]])
-    key = np.zeros(n, np.uint64)
-    for i in range(known):
-        key = (key << np.uint64(8)) | circle[i : i + n]
-    order = np.argsort(key)
-    while True:
-        rank = np.empty(n, np.uint64)
-        rank[order] = np.cumsum(np.concatenate([[False], key[order][1:] != key[order][:-1]]))
-        if known >= depth or int(rank[order[-1]]) == n - 1:
-            return order
-        key = (rank << np.uint64(32)) | np.roll(rank, -known)
-        order, known = np.argsort(key), known * 2
-
-
-def _before(texts: list[np.ndarray], orders: list[np.ndarray], step: int) -> np.ndarray | None:
-    """The `step` bytes before every suffix as one ordered number of 16 bits; None if there are too many."""
+def _letters(texts: list[np.ndarray]) -> tuple[np.ndarray, int]:
+    """Numbers from 0, in their order, for the bytes that occur; and how many there are, two at least."""
     used = np.zeros(256, bool)
     for text in texts:
         used |= np.bincount(text, minlength=256) > 0
-    letter, letters = (np.cumsum(used) - 1).astype(np.int32), int(used.sum())
+    return (np.cumsum(used) - 1).astype(np.uint64), max(2, int(used.sum()))
+
+
+def _most(letters: int, bits: int, limit: int) -> int:
+    """How many letters one number of some bits holds, up to a limit."""
+    return max(k for k in range(1, limit + 1) if k == 1 or letters**k <= 1 << bits)
+
+
+def shard_order(text: np.ndarray, depth: int) -> np.ndarray:
+    """Positions of a text (taken as a circle) by the first `depth` bytes from there, by doubling.
+
+    Positions that stand alone already are left out of the next doubling.
+    """
+    n, (letter, letters) = len(text), _letters([text])
+    bits = n.bit_length()
+    known = _most(letters, 64 - bits, depth)
+    circle = letter[np.concatenate([text, text[np.arange(known - 1) % n]])]
+    key = circle[:n]
+    for i in range(1, known):
+        key = key * np.uint64(letters) + circle[i : i + n]
+    order, new = _sorted_by(key, np.arange(n), 64 - bits)
+    begins = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    rank, slots = np.empty(n, np.int64), np.arange(n)
+    while True:
+        rank[order[slots]] = begins
+        shared = ~(new & np.append(new[1:], True))
+        slots = slots[shared]
+        if known >= depth or not len(slots):
+            return order
+        some = order[slots]
+        key = (rank[some] << bits | rank[(some + known) % n]).astype(np.uint64)
+        order[slots], new = _sorted_by(key, some, 2 * bits)
+        begins = slots[np.maximum.accumulate(np.where(new, np.arange(len(slots)), 0))]
+        known *= 2
+
+
+def _sorted_by(key: np.ndarray, values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values by their keys, which have some bits, and which of the sorted keys differ from the one before."""
+    spare = len(values).bit_length()
+    if bits + spare <= 64:  # keys with their places behind them sort faster than places by keys
+        both = np.sort(key << np.uint64(spare) | np.arange(len(values), dtype=np.uint64))
+        key, order = both >> np.uint64(spare), (both & np.uint64((1 << spare) - 1)).astype(np.int64)
+    else:
+        order = np.argsort(key)
+        key = key[order]
+    return values[order], np.concatenate([[True], key[1:] != key[:-1]])
+
+
+def _before(texts: list[np.ndarray], letter: np.ndarray, letters: int, step: int) -> np.ndarray:
+    """The `step` letters before every position as one ordered number."""
     grams = []
-    for text, order in zip(texts, orders):
+    for text in texts:
         own = letter[text]
-        gram = np.zeros(len(text), np.int32)
+        gram = np.zeros(len(text), np.uint64)
         for back in range(step, 0, -1):
-            gram = gram * letters + np.roll(own, back)
-        grams.append(gram[order])
-    grams = np.concatenate(grams)
-    if letters**step <= 1 << 16:
-        return grams.astype(np.uint16)
-    present = np.zeros(letters**step, bool)
-    present[grams] = True
-    found = np.flatnonzero(present)
-    if len(found) > 1 << 16:
-        return None
-    rank = np.zeros(len(present), np.uint16)
-    rank[found] = np.arange(len(found))
-    return rank[grams]
-
-
-def merged_blocks(texts: list[np.ndarray], depth: int) -> tuple[np.ndarray, list[np.ndarray]]:
+            gram = gram * np.uint64(letters) + np.roll(own, back)
+        grams.append(gram)
+    return np.concatenate(grams)
+
+
+def merged_blocks(texts: list[np.ndarray], depth: int, begins: list[np.ndarray] | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
     """Interleave the transforms of shards up to `depth` symbols.
 
     Returns for each shard its suffix order, and one array with the block of every suffix (all
     shards' suffixes one behind the other, each in its own order): suffixes with the same
     first `depth` bytes have the same block. Each round reads, for every entry of the interleave, the
-    symbols before the next suffix of its shard and sorts the entries by them, keeping their
-    order otherwise: the entries then stand for suffixes that start that many bytes earlier.
+    symbols before the next suffix of its shard and sorts the entries by them, then by their blocks: the
+    entries then stand for suffixes that start that many bytes earlier. Entries are ordered by
+    shard within a block, where their order does not matter.
+
+    If only the suffixes that a mask of each text marks are asked for, whose first `depth` bytes
+    may not hold the last byte of their text, a round holds only the entries that come to them in the rounds left.
     """
     orders = [shard_order(t, depth) for t in texts]
-    one = np.uint8 if len(texts) <= 256 else np.uint16 if len(texts) <= 1 << 16 else np.int64
-    shard = np.repeat(np.arange(len(texts)).astype(one), [len(t) for t in texts])
-    block = np.zeros(len(shard), np.int32 if len(shard) < 1 << 31 else np.int64)
-    wide = _before(texts, orders, 3)
-    rounds = [3] * (depth // 3) + [depth % 3] if wide is not None else [2] * (depth // 2) + [depth % 2]
-    symbols = {step: wide if step == 3 else _before(texts, orders, step) for step in {*rounds} - {0}}
-    for step in filter(None, rounds):
-        read = np.empty_like(symbols[step])
-        read[np.argsort(shard, kind="stable")] = symbols[step]
-        order = np.argsort(read, kind="stable")
-        read, shard, block = read[order], shard[order], block[order]
-        new = np.zeros(len(order), bool)
-        new[1:] = (read[1:] != read[:-1]) | (block[1:] != block[:-1])
-        block = np.cumsum(new, dtype=block.dtype)
-    return block[np.argsort(shard, kind="stable")], orders
+    letter, letters = _letters(texts)
+    moved = np.cumsum([0, *map(len, texts)])
+    places = np.concatenate([o + m for o, m in zip(orders, moved)])
+    asked = None if begins is None else np.concatenate([np.zeros(depth, bool), *begins])
+    n_asked = [len(t) for t in texts] if begins is None else [int(b.sum()) for b in begins]
+    total = sum(n_asked)
+    shard = np.repeat(np.arange(len(texts)), n_asked).astype(_narrow(len(texts)))
+    shard_bits, block_bits = len(texts).bit_length(), total.bit_length()
+    block, low = np.zeros(total, np.uint64), np.uint64(shard_bits)
+    most = _most(letters, 64 - shard_bits - block_bits, depth)
+    grams, left = _before(texts, letter, letters, most), depth
+    while left:
+        step = -(-left // -(-left // most))  # rounds of about one size
+        # The suffix asked for starts `left` bytes before its entry, and `asked` has `depth` more in front.
+        entries = places if asked is None else places[asked[places + (depth - left)]]
+        read = np.empty(total, np.uint64)
+        gram = grams[entries] if step == most else grams[entries] % np.uint64(letters**step)
+        read[np.argsort(shard, kind="stable")] = gram
+        key = np.sort((read << np.uint64(block_bits) | block) << low | shard.astype(np.uint64))
+        shard, key = (key & np.uint64((1 << shard_bits) - 1)).astype(shard.dtype), key >> low
+        block = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]])[:total], dtype=np.uint64)
+        left -= step
+    if begins is not None:
+        orders = [o[b[o]] for o, b in zip(orders, begins)]
+    return block[np.argsort(shard, kind="stable")].astype(np.int64), orders
+
+
+def _narrow(n: int) -> type:
+    """A type for numbers below n; small ones are sorted faster."""
+    return np.uint8 if n <= 256 else np.uint16 if n <= 1 << 16 else np.int64
 
 
 def _merge(table: pa.Table, length: int) -> pa.Table:
@@ -370,12 +412,14 @@ def _merged(packs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], length: int)
         shards.append(text)
         base[own] = at + place
         at += len(text)
-    block, orders = merged_blocks(shards, length)
+    strings = size[seen] - length + 1
+    place = ragged(base, strings)
+    begins = np.zeros(at, bool)
+    begins[place] = True
     moved = np.concatenate([[0], np.cumsum([len(t) for t in shards])])
+    block, orders = merged_blocks(shards, length, np.split(begins, moved[1:-1]))
     of_text = np.empty(at, np.int64)
     of_text[np.concatenate([o + m for o, m in zip(orders, moved)])] = block
-    strings = size[seen] - length + 1
-    place = ragged(base, strings)
     owner = np.repeat(np.arange(len(distinct)), strings)
     smallest = np.full(int(block.max()) + 1, LAST)
     np.minimum.at(smallest, of_text[place], least[owner])

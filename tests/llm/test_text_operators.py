@@ -704,3 +704,44 @@ def test_merged_transforms_sort_all_suffixes():
     assert len(set.union(*seen.values())) == len(seen)
     ordered = [next(iter(seen[b])) for b in sorted(seen)]
     assert ordered == sorted(ordered)
+
+
+def test_merged_transforms_keep_to_the_suffixes_asked_for(monkeypatch):
+    """Blocks of marked suffixes alone, in rounds that sort no other entries."""
+    rng = np.random.default_rng(4)
+    sizes, sort = [], np.sort
+    for letters, depth, count in ((3, 10, 5), (1, 7, 3), (255, 20, 4), (2, 50, 300)):
+        texts = [np.append(rng.integers(1, letters + 1, rng.integers(0, 150)), 0).astype(np.uint8) for _ in range(count)]
+        begins = [(rng.random(len(t)) < 0.2) & (np.arange(len(t)) + depth < len(t)) for t in texts]
+        orders = [substrings.shard_order(t, depth) for t in texts]
+        with monkeypatch.context() as patched:
+            patched.setattr(substrings, "shard_order", lambda t, _: orders[next(i for i, x in enumerate(texts) if x is t)])
+            patched.setattr(np, "sort", lambda x: sizes.append(len(x)) or sort(x))
+            sizes.clear()
+            block, found = substrings.merged_blocks(texts, depth, begins)
+        asked = sum(int(b.sum()) for b in begins)
+        assert asked > 0 and set(sizes) == {asked}
+        assert [sorted(o) for o in found] == [list(np.flatnonzero(b)) for b in begins]
+        strings = [t[p : p + depth].tobytes() for t, o in zip(texts, found) for p in o]
+        rank = {s: i for i, s in enumerate(sorted(set(strings)))}
+        assert block.tolist() == [rank[s] for s in strings]
+
+
+def test_shard_order_sorts_each_circle():
+    rng = np.random.default_rng(5)
+    for n, letters in ((1, 1), (2, 1), (300, 1), (300, 2), (500, 256), (999, 20)):
+        text = rng.integers(0, letters, n).astype(np.uint8)
+        text[n // 2 :] = text[: n - n // 2]  # long repeats take several rounds
+        circle = np.concatenate([text] * (2 + 70 // n)).tobytes()
+        order = substrings.shard_order(text, 70)
+        assert sorted(order) == list(range(n))
+        found = [circle[p : p + 70] for p in order]
+        assert found == sorted(found)
+
+
+def test_values_are_sorted_by_keys_of_any_width():
+    key = np.random.default_rng(6).integers(0, 50, 400).astype(np.uint64)
+    for bits in (6, 64):
+        values, new = substrings._sorted_by(key << np.uint64(58 if bits == 64 else 0), np.arange(400), bits)
+        assert (np.diff(key[values].astype(int)) >= 0).all() and sorted(values) == list(range(400))
+        assert new.tolist() == [True, *(np.diff(key[values].astype(int)) > 0).tolist()]
