@@ -745,3 +745,14 @@ def test_values_are_sorted_by_keys_of_any_width():
         values, new = substrings._sorted_by(key << np.uint64(58 if bits == 64 else 0), np.arange(400), bits)
         assert (np.diff(key[values].astype(int)) >= 0).all() and sorted(values) == list(range(400))
         assert new.tolist() == [True, *(np.diff(key[values].astype(int)) > 0).tolist()]
+
+
+def test_fragments_are_sent_compressed():
+    texts = [t.encode() for t in hot_texts(random.Random(19), 60)]
+    sizes, ids = np.array([len(t) for t in texts]), np.arange(60)
+    pack = {"pack": 0, "doc_ids": ids.tobytes(), "known": b"\1" * 60, "sizes": sizes.tobytes(), "data": b"".join(texts)}
+    anchors = substrings.Pack(pack, 50).anchor
+    sent = pa.RecordBatch.from_pylist([pack | {"replies": [np.unique(anchors).tobytes()], "hot": []}])
+    rows = [r for batch in substrings._fragments(iter([sent]), 50, 1) for r in batch.to_pylist()]
+    n_bytes = sum(int(np.frombuffer(r["lengths"], np.uint8).sum()) for r in rows)
+    assert 0 < sum(len(r["data"]) for r in rows) < 0.7 * n_bytes
