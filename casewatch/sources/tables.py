@@ -344,6 +344,9 @@ def in_partitions(parts, affected):
     return tests[0]
 
 
+_in_partitions = in_partitions  # its name before other modules called it
+
+
 def _literal(value) -> str:
     if value is None:
         return "null"
